@@ -1,0 +1 @@
+"""Operators for large training-data pipelines. Nothing else in the library imports this subpackage."""
