@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .quality_rules import op8_quality_rules
 
-QUERIES = {"op9_line_dedup": op9_line_dedup}
+QUERIES = {"op8_quality_rules": op8_quality_rules, "op9_line_dedup": op9_line_dedup}
 ORACLE_SQL = {"op9_line_dedup": OP9_SQL}
