@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, documents, let, whole
+from .common import SPACES, ascii_lower, documents, let, whole, written
 
 
 def line_key(line: Column) -> Column:
@@ -40,7 +40,8 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     holders = keyed if min_docs == 2 else keyed.select("h1", "h2", "doc").distinct()
     shared = holders.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("n"))
     shared = shared.where(F.col("keeper") != F.col("last") if min_docs == 2 else F.col("n") >= min_docs)
-    lost = keyed.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
+    shared = written(shared.select("h1", "h2", "keeper"), "shared_lines")  # its own shuffle in the join, so that hot lines are split
+    lost = keyed.join(shared, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
     lost = lost.groupBy("doc", "row").agg(F.collect_set("pos").alias("pos"))
     lost = lost.select(F.col("doc.id").alias("__id"), F.col("row").alias("__row"), F.col("pos").alias("__pos"))
     on = docs[id_col].eqNullSafe(lost["__id"]) & (F.xxhash64(whole(docs[text_col])) == lost["__row"])
