@@ -11,19 +11,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MARK, OTHER = "\x01", "\x02"
-SPAN = "array<struct<start:int,kind:int,stop:int,match:string>>"
+SPAN = "array<struct<start:int,kind:int,stop:int,match:string,before:string>>"
+#: Code points of context kept before a match.
+BEFORE = 24
 
 
 def found(text: Column, kind: int, pattern: str, keep) -> Column:
     """The leftmost non-overlapping matches of pattern for which keep(match) holds, as SPAN. text: not null."""
     parts = F.split(F.regexp_replace(F.translate(text, MARK, OTHER), pattern, MARK + "$0" + MARK), MARK)
-    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.array().cast(SPAN).alias("out"))
+    start = F.struct(F.lit(0).alias("at"), F.lit(False).alias("odd"), F.lit("").alias("last"), F.array().cast(SPAN).alias("out"))
 
     def step(acc: Column, part: Column) -> Column:
         stop = acc["at"] + F.length(part)
-        span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), part.alias("match"))
+        span = F.struct(acc["at"].alias("start"), F.lit(kind).alias("kind"), stop.alias("stop"), part.alias("match"), F.right(acc["last"], F.lit(BEFORE)).alias("before"))
         out = F.when(acc["odd"] & keep(part), F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-        return F.struct(stop.alias("at"), (~acc["odd"]).alias("odd"), out.alias("out"))
+        return F.struct(stop.alias("at"), (~acc["odd"]).alias("odd"), part.alias("last"), out.alias("out"))
 
     spans = F.aggregate(parts, start, step, lambda acc: acc["out"])
     return F.when(F.regexp_like(text, F.lit(pattern)), spans).otherwise(F.array().cast(SPAN))
