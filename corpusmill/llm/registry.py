@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from .decontaminate import op3_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
 from .pii import op1_pii
 from .quality_rules import op8_quality_rules
 from .secret_scan import OP2_SQL, op2_secret_scan
 
-QUERIES = {"op1_pii": op1_pii, "op2_secret_scan": op2_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_line_dedup": op9_line_dedup}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op1_pii": op1_pii, "op2_secret_scan": op2_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_line_dedup": op9_line_dedup}
 ORACLE_SQL = {"op2_secret_scan": OP2_SQL, "op9_line_dedup": OP9_SQL}
