@@ -30,7 +30,7 @@ CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: The generators, by kind.
 MORE = [
-    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[\[(](?:at|AT|@)[\])]|\x20(?:at|AT)\x20)\x20?[A-Za-z0-9-]{1,64}+\x20?(?:[\[(](?:dot|DOT|\.)[\])]|\x20(?:dot|DOT)\x20|\.)\x20?[A-Za-z]{2,24}+",
+    r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:[\[(](?:at|AT|@)[\])]|\x20(?:at|AT)\x20)\x20?[A-Za-z0-9-]{1,64}+\x20?(?:[\[(](?:dot|DOT|\.)[\])]\x20?|\x20(?:dot|DOT)\x20|\.)[A-Za-z]{2,24}+",
     r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     r"(?<![0-9A-Za-z._/])[0-9]{4}(?:[._/][0-9]{4}){2}[._/][0-9]{1,7}(?![0-9A-Za-z])",
     r"(?<![0-9A-Za-z.+-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])",
@@ -83,7 +83,7 @@ def features(s: Column) -> dict[str, Column]:
     values = [
         s["kind"].cast("double"), F.length(d).cast("double"), F.length(m).cast("double"), F.length(F.regexp_replace(m, "[0-9A-Za-z]", "")).cast("double"),
         yes(luhn(d)), yes(cue), yes(F.regexp_like(s["before"], F.lit(NOT_CUES))), yes(F.regexp_like(m, F.lit(r"[(\[]"))), yes(F.regexp_like(m, F.lit(r"^\(?0"))),
-        yes(F.regexp_like(s["before"], F.lit(r"(?:^|[\s:=,;(])$"))), F.size(F.array_distinct(F.split(d, ""))).cast("double"), yes(F.regexp_like(m, F.lit(r"(?i)[a-z]{2,3}$"))),
+        yes(F.regexp_like(s["before"], F.lit(r"(?:^|[\s:=,;(])$"))), F.size(F.array_distinct(F.split(d, ""))).cast("double"), yes(F.regexp_like(m, F.lit(r"(?:\.|(?:dot|DOT)[\])]?\x20?)[a-z]{2,4}$"))),
     ]
     return dict(zip(FEATURES, values, strict=True))
 
@@ -102,7 +102,7 @@ def training_spans(spark: SparkSession, rows: int = TRAIN_ROWS) -> DataFrame:
     wrong = F.pmod(check.cast("int") + 1 + F.pmod(F.xxhash64("id", F.lit("w")), F.lit(9)), F.lit(10)).cast("string")
     card = F.concat(body[0], dot, body[1], dot, body[2], dot, body[3], F.when(y == 1, check).otherwise(wrong))
     at = pick("at", [" (at) ", "[at]", " at ", "(at)"])
-    mail = F.concat(word("u"), at, word("h"), F.when(y == 1, pick("d1", ["[dot]", " dot ", "."])).otherwise(pick("d2", [". ", " dot "])), F.when(y == 1, pick("tld", ["com", "org", "net", "de"])).otherwise(pick("end", ["there", "then", "line", "where"])))
+    mail = F.concat(word("u"), at, word("h"), F.when(y == 1, pick("d1", ["[dot]", " dot ", "."])).otherwise(pick("d2", [".", " dot "])), F.when(y == 1, pick("tld", ["com", "org", "net", "de"])).otherwise(pick("end", ["there", "then", "line", "where"])))
     six = F.when(y == 1, F.concat_ws(":", *[hexa(f"h{i}") for i in range(8)])).otherwise(F.concat_ws(":", num("t1", 2), num("t2", 2), num("t3", 2), num("t4", 2)))
     phone = F.when(y == 1, F.concat(pick("p", ["(", ""]), num("a", 3), F.when(pick("p", ["(", ""]) == "(", ") ").otherwise(sep), num("b", 3), sep, num("c", 4))).otherwise(F.concat(num("a", 4), sep, num("b", 4), sep, num("c", 4)))
     good = reduce(lambda acc, k: F.when(kind == k, pick(f"g{k}", [["mail: ", "contact ", "write to "], ["host ", "server: ", "ip "], ["card ", "visa: ", "pay with "], ["tel. ", "phone: ", "call "]][k])).otherwise(acc), range(4), F.lit(""))
