@@ -4,9 +4,19 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .packing import op7_packing
 from .pii import op1_pii
 from .quality_rules import op8_quality_rules
 from .secret_scan import OP2_SQL, op2_secret_scan
+from .token_files import op4_token_files
 
-QUERIES = {"op3_decontaminate": op3_decontaminate, "op1_pii": op1_pii, "op2_secret_scan": op2_secret_scan, "op8_quality_rules": op8_quality_rules, "op9_line_dedup": op9_line_dedup}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op2_secret_scan": op2_secret_scan,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_token_files": op4_token_files,
+    "op7_packing": op7_packing,
+    "op8_quality_rules": op8_quality_rules,
+    "op9_line_dedup": op9_line_dedup,
+}
 ORACLE_SQL = {"op2_secret_scan": OP2_SQL, "op9_line_dedup": OP9_SQL}
