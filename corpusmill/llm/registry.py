@@ -8,6 +8,7 @@ from .packing import op7_packing
 from .pii import op1_pii
 from .quality_rules import op8_quality_rules
 from .secret_scan import OP2_SQL, op2_secret_scan
+from .substring_dedup import op6_substring_dedup
 from .token_files import op4_token_files
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
+    "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
