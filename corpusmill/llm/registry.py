@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontaminate import op3_decontaminate
 from .line_dedup import OP9_SQL, op9_line_dedup
+from .ngram_join import op5_ngram_join
 from .packing import op7_packing
 from .pii import op1_pii
 from .quality_rules import op8_quality_rules
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_secret_scan": op2_secret_scan,
     "op3_decontaminate": op3_decontaminate,
     "op4_token_files": op4_token_files,
+    "op5_ngram_join": op5_ngram_join,
     "op6_substring_dedup": op6_substring_dedup,
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
