@@ -8,6 +8,7 @@ from .ngram_join import op5_ngram_join
 from .packing import op7_packing
 from .pii import op1_pii
 from .quality_rules import op8_quality_rules
+from .resample import op10_quality_classifier
 from .secret_scan import OP2_SQL, op2_secret_scan
 from .substring_dedup import op6_substring_dedup
 from .token_files import op4_token_files
@@ -22,5 +23,6 @@ QUERIES = {
     "op7_packing": op7_packing,
     "op8_quality_rules": op8_quality_rules,
     "op9_line_dedup": op9_line_dedup,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLE_SQL = {"op2_secret_scan": OP2_SQL, "op9_line_dedup": OP9_SQL}
