@@ -1,8 +1,9 @@
 """Hashed n-gram multinomials of a trusted target and of the raw corpus, by DataFrame functions alone.
 
-A document's words and word pairs fall into a fixed number of buckets by hash. Counting them over the whole corpus
-shuffles at most one row per bucket and task. The log ratio of each bucket is a whole number of micro-nats, so that sums
-don't depend on the order of adding. The table of all ratios has a fixed size (BUCKETS numbers) whatever the corpus.
+A document's words and word pairs fall into a fixed number of buckets by hash, each kind into its own. Counting them
+over the whole corpus shuffles at most one row per bucket and task. The log ratio of each bucket is a whole number of
+micro-nats, so that sums don't depend on the order of adding; ratios near 1 count as 1, as most buckets differ between
+the two models by chance. The table of all ratios has a fixed size (BUCKETS numbers) whatever the corpus.
 """
 
 from __future__ import annotations
@@ -12,11 +13,14 @@ from pyspark.sql import functions as F
 
 from .common import let, whole
 
-BUCKETS = 1 << 16
+#: Buckets of words, of word pairs, and of both.
+WORD_BUCKETS, PAIR_BUCKETS = 1 << 20, 1 << 16
+BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
 #: Labelled rows used at most, those of the smallest hashes; the bound of what is broadcast.
 MAX_LABELS = 20_000
-#: Added to the observed and to the expected target count of a bucket: rare buckets say little.
-PRIOR = 10.0
+#: Added to the observed and to the expected target count of a bucket, since rare buckets say little, and the least
+#: |ln ratio| that counts; words, pairs.
+PRIORS, LEAST = (3.0, 10.0), (1.0, 0.5)
 WORDS = r"[\x20\x09-\x0D]+"
 
 
@@ -25,10 +29,15 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(whole(text), WORDS), "")
 
 
-def buckets_of(words: Column) -> Column:
-    """The bucket of each word, then of each pair of neighbours. words: a lambda variable or a cheap column."""
-    one = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int"))
-    two = F.zip_with(words, F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda v, w: F.when(w.isNotNull(), F.pmod(F.xxhash64(v, w), F.lit(BUCKETS)).cast("int")))
+def hashes_of(text: Column) -> Column:
+    """A hash of each word of a text."""
+    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+
+
+def buckets_of(hashes: Column) -> Column:
+    """The bucket of each word, then of each pair of neighbours. hashes: a lambda variable or a cheap column."""
+    one = F.transform(hashes, lambda w: F.pmod(w, F.lit(WORD_BUCKETS)).cast("int"))
+    two = F.zip_with(hashes, F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1))), lambda v, w: F.when(w.isNotNull(), (F.pmod(F.xxhash64(v, w), F.lit(PAIR_BUCKETS)) + WORD_BUCKETS).cast("int")))
     return F.concat(one, F.array_compact(two))
 
 
@@ -49,27 +58,28 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -
     """
     fit = sample.where(F.col("__good") & (F.col("__fold") == 0)).select("__id", F.lit(1).alias("__fit"))
     rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(fit), "__id", "left")
-    grams = rows.select("__fit", F.explode(let(words_of(F.col("__text")), buckets_of)).alias("b"))
+    grams = rows.select("__fit", F.explode(let(hashes_of(F.col("__text")), buckets_of)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("__fit").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0)
-    one = every.agg(F.sum("raw").cast("double").alias("raw"), F.sum("target").cast("double").alias("target"), F.array_sort(F.collect_list(F.struct("b", F.col("raw").alias("r"), F.col("target").alias("t")))).alias("of"))
+    pair = F.col("b") >= WORD_BUCKETS
+    of_kind = lambda c, k: F.sum(F.when(pair == F.lit(bool(k)), F.col(c))).cast("double")
+    one = every.agg(*[of_kind(c, k).alias(f"{c}{k}") for c in ("raw", "target") for k in (0, 1)], F.array_sort(F.collect_list(F.struct("b", F.col("raw").alias("r"), F.col("target").alias("t")))).alias("of"))
 
     def ratio(n: Column) -> Column:
-        expected = F.try_divide(n["r"] * F.col("target"), F.col("raw"))
-        value = F.round(F.log((n["t"] + PRIOR) / (expected + PRIOR)) * 1e6).cast("long")
-        return F.coalesce(value, F.lit(0).cast("long"))
+        def of(k: int) -> Column:
+            expected = F.try_divide(n["r"] * F.col(f"target{k}"), F.col(f"raw{k}"))
+            value = F.log((n["t"] + PRIORS[k]) / (expected + PRIORS[k]))
+            return F.when(F.abs(value) >= LEAST[k], F.round(value * 1e6))
+
+        return F.coalesce(F.when(n["b"] < WORD_BUCKETS, of(0)).otherwise(of(1)).cast("int"), F.lit(0))
 
     return one.select(F.transform("of", ratio).alias("ratios"))
 
 
-def log_ratio_sum(words: Column, ratios: Column) -> Column:
+def log_ratio_sum(hashes: Column, ratios: Column) -> Column:
     """Sum over words and word pairs, in micro-nats. ratios: the one array of log_ratios()."""
     zero = F.lit(0).cast("long")
-    return let(F.struct(ratios.alias("r"), buckets_of(words).alias("b")), lambda x: F.aggregate(x["b"], zero, lambda acc, b: acc + F.get(x["r"], b)))
-
-
-def n_grams(n_words: Column) -> Column:
-    return F.greatest(2 * n_words - 1, F.lit(0))
+    return let(F.struct(ratios.alias("r"), buckets_of(hashes).alias("b")), lambda x: F.aggregate(x["b"], zero, lambda acc, b: acc + F.get(x["r"], b)))
 
 
 def best_cut(scores: DataFrame, good: str, score: str, keep: float) -> DataFrame:
