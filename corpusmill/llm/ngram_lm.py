@@ -90,8 +90,8 @@ def best_cut(scores: DataFrame, good: str, score: str, keep: float) -> DataFrame
     bounded number of rows are compared however many are scored. Null where there are no good rows.
     """
     bins = scores.groupBy(F.floor(F.col(score) * 1000).alias("bin")).agg(F.count_if(F.col(good)).alias("g"), F.count_if(~F.col(good)).alias("n"))
-    bins = bins.where("bin is not null")  # after the grouping: before it, the scores of all rows would be computed for it
-    one = bins.agg(F.array_sort(F.collect_list(F.struct("bin", "g", "n"))).alias("bins"), F.sum("g").alias("good"), F.sum("n").alias("bad"))
+    has = lambda c: F.when(F.col("bin").isNotNull(), c)  # noqa: E731  no filter: it would be pushed down to all rows' scores
+    one = bins.agg(F.array_sort(F.collect_list(has(F.struct("bin", "g", "n")))).alias("bins"), F.sum(has(F.col("g"))).alias("good"), F.sum(has(F.col("n"))).alias("bad"))
     start = F.struct(F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("n"), F.lit(-1.0).alias("best"), F.lit(None).cast("long").alias("bin"))
 
     def step(acc: Column, x: Column) -> Column:
