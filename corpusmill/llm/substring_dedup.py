@@ -3,8 +3,9 @@
 The index is a family of sorted suffix arrays, each truncated to the first 50 bytes of its suffixes. Suffixes are dealt to
 buckets by content, so that equal ones meet: the bucket of a 50-byte window follows from the smallest hash of the
 16-byte strings in it, and neighbouring windows with the same one travel together as one stretch of text. In a bucket,
-batches of stretches get sorted arrays, levels of equal size are merged geometrically, and each batch is merge-scanned
-against the levels for matches in smaller documents.
+batches of windows get sorted arrays, levels of equal size are merged geometrically, and each batch is merge-scanned
+against the levels for matches in smaller documents. Windows that nothing else in the bucket can equal, as a table of
+single bits of their fingerprints shows, are left out of the arrays.
 
 The arrays are ordered by a 64-bit fingerprint of the 50 bytes and not alphabetically: only equality is asked for, and
 each match is confirmed byte by byte.
@@ -230,6 +231,17 @@ def same(raw: memoryview, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def repeated(prints: np.ndarray) -> np.ndarray:
+    """Positions of the fingerprints whose slot (some of their bits) another position has too; none that repeats is missed."""
+    bits = min(24, max(10, (4 * len(prints)).bit_length()))
+    slot, here = (prints >> np.uint64(64 - bits)).astype(np.int32), np.arange(len(prints), dtype=np.int32)
+    one = np.empty(1 << bits, np.int32)
+    one[slot] = here
+    twice = np.zeros(1 << bits, bool)
+    twice[slot[one[slot] != here]] = True
+    return np.flatnonzero(twice[slot])
+
+
 def scan_bucket(rows: list[tuple[int, bytes]], batch_windows: int = BATCH_WINDOWS) -> list[tuple[int, bytes]]:
     """(pack, body of marks): for each stretch of which windows are in a smaller document, their runs."""
     number, smallest, lengths, owner, parts = [], [], [], [], []
@@ -245,28 +257,29 @@ def scan_bucket(rows: list[tuple[int, bytes]], batch_windows: int = BATCH_WINDOW
     windows = lengths - LENGTH + 1
     begin = np.concatenate(([0], np.cumsum(lengths)[:-1]))
     window_at = np.concatenate(([0], np.cumsum(windows)))
-    levels: list[Level] = []
-    batches = []
     cuts = np.unique(np.append(np.searchsorted(window_at, np.arange(0, window_at[-1], batch_windows)), len(lengths)))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-        n = windows[a:b]
-        starts = np.arange(window_at[b] - window_at[a]) + np.repeat(begin[a:b] - (window_at[a:b] - window_at[a]), n)
-        prints, ids = fingerprints(raw, starts), np.repeat(smallest[a:b], n)
-        add_batch(levels, Level(prints, ids, starts))
-        batches.append((a, b, prints, starts))
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    prints = np.concatenate([fingerprints(raw, np.arange(window_at[b] - window_at[a]) + np.repeat(begin[a:b] - (window_at[a:b] - window_at[a]), windows[a:b])) for a, b in spans])
+    window = repeated(prints)
+    if not len(window):
+        return []
+    stretch = np.searchsorted(window_at, window, side="right") - 1
+    prints, ids, starts = prints[window], smallest[stretch], begin[stretch] + window - window_at[stretch]
+    batches = [slice(a, a + batch_windows) for a in range(0, len(window), batch_windows)]
+    levels: list[Level] = []
+    for x in batches:
+        add_batch(levels, Level(prints[x], ids[x], starts[x]))
     while len(levels) > 1:
         add_batch(levels, levels.pop().merged(levels.pop()))
     level, out = levels[0], {}
-    for a, b, prints, starts in batches:
-        ids = np.repeat(smallest[a:b], windows[a:b])
-        at = np.searchsorted(level.prints, prints)
-        less = np.flatnonzero(level.ids[at] < ids)
-        less = less[same(raw, starts[less], level.places[at[less]])]
-        stretch = np.repeat(np.arange(a, b), windows[a:b])[less]
-        first = np.flatnonzero((np.diff(less, prepend=-2) != 1) | (np.diff(stretch, prepend=-1) != 0))
+    for x in batches:
+        at = np.searchsorted(level.prints, prints[x])
+        less = np.flatnonzero(level.ids[at] < ids[x])
+        less = less[same(raw, starts[x][less], level.places[at[less]])] + x.start
+        first = np.flatnonzero((np.diff(window[less], prepend=-2) != 1) | (np.diff(stretch[less], prepend=-1) != 0))
         count = np.diff(np.append(first, len(less)))
-        of = stretch[first]
-        offset = less[first] + window_at[a] - window_at[of]
+        of = stretch[less[first]]
+        offset = window[less[first]] - window_at[of]
         for k in np.unique(owner[of]).tolist():
             mine = owner[of] == k
             out.setdefault(k, []).append((number[of[mine]], offset[mine].astype("<u4"), count[mine].astype("<u4")))
