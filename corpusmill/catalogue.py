@@ -196,11 +196,11 @@ SELECT *, round(rate_now - rate_before, 4) AS delta, round(rate_now - rate_befor
 
 
 def report_trend(spark, d):
-    daily = query_log(spark, d).groupBy("project_id", F.to_date("at").alias("day")).agg(F.round(F.avg("value"), 2).alias("score"))
+    daily = query_log(spark, d).groupBy("project_id", F.to_date("at").alias("day")).agg((F.sum("latency_ms") / 1000).alias("score"))
     return observability.report_trend(daily, ["project_id"], "day", "score").select("project_id", "n", "newest", "oldest", "delta", "alert")
 
 
-REPORTS = f"""WITH {LOG}, d AS (SELECT project_id, CAST(occ AS DATE) AS day, round(avg(value), 2) AS score FROM log GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY day DESC) AS place FROM d),
+REPORTS = f"""WITH {LOG}, d AS (SELECT project_id, CAST(occ AS DATE) AS day, sum(latency_ms)::BIGINT / 1000::DOUBLE AS score FROM log GROUP BY ALL), p AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY day DESC) AS place FROM d),
 a AS (SELECT project_id, count(*) AS n, arg_min(score, place) AS newest, arg_max(score, place) AS oldest FROM p WHERE place <= 10 GROUP BY 1)
 SELECT *, round(newest - oldest, 4) AS delta, round(newest - oldest, 4) < -0.1 AS alert FROM a"""
 

@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from ..functions.text import safe_ratio
 
 
-def value_at(rows: DataFrame, keys: list[str], value: str, index: Column, name: str) -> DataFrame:
-    """keys and the value at a 0-based index (an expression of n, the group's rows) of each group's sorted values.
+def value_at(rows: DataFrame, keys: list[str], value: str, index: str, name: str) -> DataFrame:
+    """keys and the value at a 0-based index (an SQL expression of n, the group's rows) of each group's sorted values.
 
     Values are counted first, so that the window sees each distinct value of a group once.
     """
@@ -19,12 +19,12 @@ def value_at(rows: DataFrame, keys: list[str], value: str, index: Column, name:
     upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     total = F.sum("c").over(Window.partitionBy(*keys))
     placed = counts.withColumn("upto", upto).withColumn("n", total)
-    return placed.where(F.col("upto") > index).groupBy(*keys).agg(F.min(value).alias(name))
+    return placed.where(F.col("upto") > F.expr(index)).groupBy(*keys).agg(F.min(value).alias(name))
 
 
 #: The two positions in use for a 95th percentile of n sorted values.
-LOWER_P95 = F.expr("greatest(0L, cast(floor(0.95D * n) as bigint) - 1)")
-UPPER_P95 = F.expr("least(n - 1, cast(floor(n * 0.95D) as bigint))")
+LOWER_P95 = "greatest(0L, cast(floor(0.95D * n) as bigint) - 1)"
+UPPER_P95 = "least(n - 1, cast(floor(n * 0.95D) as bigint))"
 
 
 def query_aggregate(log: DataFrame, keys: list[str]) -> DataFrame:
