@@ -184,7 +184,7 @@ def send_stretches(packs: DataFrame, buckets: int) -> DataFrame:
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
                 rows = []
-                for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
+                for a, b in zip(edges.tolist(), np.append(edges, len(order))[1:].tolist(), strict=True):
                     mine = order[a:b]
                     parts = [found[i] for i in mine.tolist()]
                     rows.append(_pack(mine.astype("<u4"), smallest[mine].astype("<i8"), np.array([len(p) for p in parts], "<u4"), b"".join(parts)))
