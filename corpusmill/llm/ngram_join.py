@@ -107,8 +107,9 @@ def rare_lists(docs: DataFrame, rarity_table: np.ndarray, share: int) -> DataFra
     """Of the rarest shingles of each class (node: its smallest id) the lists that have two classes or more, as a written table.
 
     shingle, salt, node, n, pos (the shingle's place among the class's, rarest first), and first, first_n: the list's
-    smallest node. Lists that the counters show to be longer than
-    HOT are split by salt.
+    smallest node. Lists that the counters show to be longer than HOT are split by salt (-1: not split). The counters
+    count documents, copies too, so a split list may have few classes and each in a part of its own: whether it has two
+    is counted over all its parts.
     """
     sent = docs.sparkSession.sparkContext.broadcast(rarity_table)
 
@@ -127,8 +128,8 @@ def rare_lists(docs: DataFrame, rarity_table: np.ndarray, share: int) -> DataFra
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s, pa.int64()), *lists], names=["id", "n", "set", "rare", "hot"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The rows of lists of two or more, with the list's first. Rows stream by in the order of their lists."""
-        names = ["shingle", "salt", "node", "n", "pos", "first", "first_n"]
+        """The rows of lists of two or more and of parts of split lists (alone: the part's only row), with the list's or part's first. Rows stream by in the order of their lists."""
+        names = ["shingle", "salt", "node", "n", "pos", "first", "first_n", "alone"]
         last, pending, head = None, None, None  # the last list, its only row if not yet given out, its first (node, n)
         for batch in batches:
             if not batch.num_rows:
@@ -141,19 +142,29 @@ def rare_lists(docs: DataFrame, rarity_table: np.ndarray, share: int) -> DataFra
             if goes_on:
                 first[: sizes[0]], first_n[: sizes[0]] = head
                 if pending is not None:
-                    yield pending
+                    yield pending.set_column(7, "alone", pa.array([False]))
+            elif pending is not None and last[1] >= 0:
+                yield pending
             keep = sizes > 1
             keep[0] |= goes_on
-            rows = pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(first_n)], names=names)
+            alone = np.repeat(~keep, sizes)
+            rows = pa.RecordBatch.from_arrays([*batch.columns, pa.array(first), pa.array(first_n), pa.array(alone)], names=names)
             pending = None if keep[-1] else rows.slice(len(shingle) - 1, 1)
             last, head = (shingle[-1], salt[-1]), (first[-1], first_n[-1])
-            yield rows.filter(pa.array(np.repeat(keep, sizes)))
+            given = ~alone | (salt >= 0)
+            given[-1] &= pending is None
+            yield rows.filter(pa.array(given))
+        if pending is not None and last[1] >= 0:
+            yield pending
 
     described = docs.mapInArrow(rare, "id long, n long, set long, rare array<long>, hot array<int>").where("n > 0 and id is not null")
     classes = described.groupBy("n", "set").agg(F.min("id").alias("node"), F.first("rare").alias("rare"), F.first("hot").alias("hot"))
-    rows = classes.select("node", "n", F.posexplode(F.arrays_zip("rare", "hot")).alias("pos", "x")).select(F.col("x.rare").alias("shingle"), F.when(F.col("x.hot") > 0, F.pmod(F.xxhash64("node"), F.col("x.hot") + 1)).otherwise(0).cast("int").alias("salt"), "node", "n", "pos")
+    rows = classes.select("node", "n", F.posexplode(F.arrays_zip("rare", "hot")).alias("pos", "x")).select(F.col("x.rare").alias("shingle"), F.when(F.col("x.hot") > 0, F.pmod(F.xxhash64("node"), F.col("x.hot") + 1)).otherwise(-1).cast("int").alias("salt"), "node", "n", "pos")
     rows = rows.repartition("shingle", "salt").sortWithinPartitions("shingle", "salt", "node")
-    return written(rows.mapInArrow(shared, "shingle long, salt int, node long, n long, pos int, first long, first_n long"), "lists")
+    parts = written(rows.mapInArrow(shared, "shingle long, salt int, node long, n long, pos int, first long, first_n long, alone boolean"), "lists")
+    several = parts.where("salt >= 0 and node = first").groupBy("shingle").agg(F.count("*").alias("parts")).where("parts > 1").select("shingle")
+    lone = written(parts.where("alone").join(several, "shingle", "left_semi").select(*parts.columns), "lone_parts")
+    return parts.where("not alone").union(lone).drop("alone")
 
 
 def _may_link(a: str, b: str, share: int) -> Column:

@@ -1,0 +1,18 @@
+"""Cases of the review's first round, against brute force."""
+
+import test_contract
+
+from corpusmill.llm import ngram_join
+
+
+def test_op5_with_all_lists_split(spark, sf, texts, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 1)
+    test_contract.test_op5(spark, sf, texts)
+
+
+def test_op5_links_near_copies_of_many_copies(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    words = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(words)) for i in range(90)] + [(100, " ".join([*words, "end"])), (101, " ".join(["start", *words])), (102, " ".join(f"v{i}" for i in range(120)))]
+    out = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {i: 102 if i == 102 else 0 for i, _ in rows}
