@@ -438,7 +438,7 @@ def node_merge(spark, d):
 
 
 def shared_entity_docs(spark, d):
-    return graph.shared_entities(read(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("entity")), most=200)
+    return graph.shared_entities(read(spark, d, "lineitem").select(F.col("l_suppkey").alias("doc"), F.col("l_partkey").alias("entity")))
 
 
 def degree_centrality(spark, d):

@@ -20,18 +20,27 @@ def merge_edges(relations: DataFrame, keys: list[str]) -> DataFrame:
     return relations.groupBy(*keys).agg(F.count("*").alias("weight"))
 
 
+#: Documents of an entity whose pairs are made in one place.
+SHARED = 200
+
+
 def shared_entities(bridge: DataFrame, most: int | None = None) -> DataFrame:
     """Pairs of documents (a < b) and how many entities they share. bridge: doc, entity.
 
     An entity that n documents have makes n squared pairs, which is the result asked for; most leaves out entities of
-    more documents than that, which say little about any two of them.
+    more documents than that, which say little about any two of them. The first documents of the pairs of an entity with
+    more than SHARED are dealt to parts of about so many, and the second ones go to all of its parts; pairs are counted
+    before the shuffle.
     """
     rows = bridge.distinct()
     if most is not None:
         rare = rows.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") <= most)
         rows = rows.join(rare.select("entity"), "entity", "left_semi")
-    other = rows.select("entity", F.col("doc").alias("b"))
-    return rows.withColumnRenamed("doc", "a").join(other, "entity").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    sizes = rows.groupBy("entity").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("parts")).where("parts > 1")
+    rows = rows.join(sizes, "entity", "left").select("entity", "doc", F.coalesce("parts", F.lit(1)).alias("parts"))
+    firsts = rows.select("entity", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.col("doc").alias("a"))
+    seconds = rows.select("entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc").alias("b"))
+    return firsts.join(seconds, ["entity", "part"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
