@@ -13,7 +13,9 @@ each match is confirmed byte by byte.
 Scale: texts are gathered in packs of about PACK_BYTES, compressed, and written once. A pack sends each distinct stretch
 once, however often it holds it, with the smallest id that has it; so a passage that a third of all documents share is
 one entry from each pack. Buckets hold about BUCKET_WINDOWS windows whatever the corpus (their number grows), and a task
-takes its buckets one after the other. Only the marks go back to the packs.
+takes its buckets one after the other. Windows are counted by minimum beforehand; those of a minimum that would fill a
+large part of a bucket (a common string in differing surroundings) travel alone and are dealt by a hash of all their 50
+bytes, so that a pack sends each of them once. Only the marks go back to the packs.
 """
 
 from __future__ import annotations
@@ -37,6 +39,8 @@ SEED = 16
 PACK_BYTES, BUCKET_WINDOWS, BATCH_WINDOWS = 2 << 20, 2_000_000, 250_000
 #: Windows of a text that are dealt at a time; longer texts are taken in parts.
 PART = 4 << 20
+#: Counters of windows by minimum for each bucket.
+SLOTS = 16
 NO_ID = (1 << 63) - 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -111,9 +115,21 @@ def _deal(raw: bytes, at: int, lengths: list[int], firsts: list, counts: list, m
         minima.append(low[first[keep]])
 
 
-def distinct_stretches(raw: bytes, lengths: list[int], ids: list[int]):
-    """Occurrences (first window, windows, number of its stretch, id) and distinct stretches (bytes, minimum, smallest id), in the order of first sight."""
+def distinct_stretches(raw: bytes, lengths: list[int], ids: list[int], hot: tuple[int, np.ndarray] | None = None):
+    """Occurrences (first window, windows, number of its stretch, id) and distinct stretches (bytes, minimum, smallest id), in the order of first sight.
+
+    hot: the number of counters and, ascending, those of the minima whose windows are stretches of their own, with the
+    hash of the window for the minimum.
+    """
     first, count, low = stretches(raw, lengths)
+    if hot is not None and len(hot[1]) and len(first):
+        slot = low % np.uint64(hot[0])
+        alone = hot[1][np.minimum(np.searchsorted(hot[1], slot), len(hot[1]) - 1)] == slot
+        times = np.where(alone, count, 1)
+        begin = np.cumsum(times) - times
+        first = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(begin, times)
+        count, low, alone = np.repeat(np.where(alone, 1, count), times), np.repeat(low, times), np.repeat(alone, times)
+        low[alone] = fingerprints(memoryview(raw), first[alone])
     seen: dict[bytes, int] = {}
     number = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)), np.int64, len(first))
     doc = np.array(ids, np.int64)[np.searchsorted(np.cumsum(lengths), first, side="right")] if len(first) else np.zeros(0, np.int64)
@@ -172,14 +188,36 @@ def _body(blob: bytes) -> tuple[list[int], list[int], list[int], bytes]:
     return np.frombuffer(ids, "<i8").tolist(), np.frombuffer(known, np.uint8).tolist(), np.frombuffer(lengths, "<u4").tolist(), bytes(raw)
 
 
-def send_stretches(packs: DataFrame, buckets: int) -> DataFrame:
+def hot_minima(packs: DataFrame, n_packs: int, slots: int, most: int) -> np.ndarray:
+    """Ascending, the counters (minimum % slots) whose distinct stretches have `most` windows or more in all packs.
+
+    A task leaves out a counter with less than half its packs' share of `most`. What is left out of one is then less
+    than half of `most`, so few rows are sent and no such counter is missed (some of half as many windows come too).
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros(slots, np.int64), 0
+        for batch in batches:
+            for blob in batch.column(0):
+                ids, _, lengths, raw = _body(blob.as_py())
+                _, (found, minimum, _) = distinct_stretches(raw, lengths, ids)
+                np.add.at(total, (minimum % np.uint64(slots)).astype(np.int64), np.array([len(x) - LENGTH + 1 for x in found], np.int64))
+                seen += 1
+        large = np.flatnonzero((total > 0) & (2 * n_packs * total >= most * seen))
+        yield pa.RecordBatch.from_arrays([pa.array(large, pa.int64()), pa.array(total[large], pa.int64())], names=["slot", "windows"])
+
+    counted = packs.select("body").mapInArrow(count, "slot long, windows long").groupBy("slot").agg(F.sum("windows").alias("windows"))
+    return np.array(sorted(r["slot"] for r in counted.where(2 * F.col("windows") >= most).select("slot").collect()), np.uint64)
+
+
+def send_stretches(packs: DataFrame, buckets: int, hot: tuple[int, np.ndarray] | None = None) -> DataFrame:
     """bucket, pack, body (numbers, smallest ids, lengths and bytes of the distinct stretches)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, _, lengths, raw = _body(blob.as_py())
-                _, (found, minimum, smallest) = distinct_stretches(raw, lengths, ids)
+                _, (found, minimum, smallest) = distinct_stretches(raw, lengths, ids, hot)
                 bucket = (minimum % np.uint64(buckets)).astype(np.int64)
                 order = np.argsort(bucket, kind="stable")
                 edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -312,21 +350,21 @@ def mark_stretches(sent: DataFrame) -> DataFrame:
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_marked(packs: DataFrame, marks: DataFrame, with_kept: bool) -> DataFrame:
+def remove_marked(packs: DataFrame, marks: DataFrame, with_kept: bool, hot: tuple[int, np.ndarray] | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay)."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for body, marked in zip(batch.column(0), batch.column(1), strict=True):
-                yield _removed(body.as_py(), marked.as_py() or [], with_kept)
+                yield _removed(body.as_py(), marked.as_py() or [], with_kept, hot)
 
     by_pack = marks.groupBy("pack").agg(F.collect_list("marks").alias("marks"))
     return packs.select("pack", "body").join(by_pack, "pack", "left").select("body", "marks").mapInArrow(remove, _OUT)
 
 
-def _removed(blob: bytes, marked: list[bytes], with_kept: bool) -> pa.RecordBatch:
+def _removed(blob: bytes, marked: list[bytes], with_kept: bool, hot: tuple[int, np.ndarray] | None = None) -> pa.RecordBatch:
     ids, known, lengths, raw = _body(blob)
-    (first, count, number, doc), (_, _, smallest) = distinct_stretches(raw, lengths, ids)
+    (first, count, number, doc), (_, _, smallest) = distinct_stretches(raw, lengths, ids, hot)
     later = doc > smallest[number]  # the pack itself has a smaller document with the whole stretch
     begins, counts = [first[later]], [count[later]]
     if marked:
@@ -365,9 +403,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at. An empty table gives no rows.
     """
     packs = make_packs(docs, id_col, text_col, pack_bytes)
-    total = packs.agg(F.sum("n_bytes")).first()[0] or 0
-    sent = send_stretches(packs, max(1, math.ceil(total / bucket_windows)))
-    out = remove_marked(packs, mark_stretches(sent), with_kept)
+    total, n_packs = packs.agg(F.sum("n_bytes"), F.count("*")).first()
+    buckets = max(1, math.ceil((total or 0) / bucket_windows))
+    # One bucket takes all there is.
+    hot = (SLOTS * buckets, hot_minima(packs, n_packs, SLOTS * buckets, bucket_windows // 2)) if buckets > 1 else None
+    sent = send_stretches(packs, buckets, hot)
+    out = remove_marked(packs, mark_stretches(sent), with_kept, hot)
     return out if with_kept else out.drop("kept")
 
 
