@@ -64,6 +64,16 @@ CORPUS = """c AS (SELECT d.doc_id, least(length(text) / 500.0::DOUBLE, 10.0::DOU
 kpi AS (SELECT *, round((greatest(least(density / 10, 1.0::DOUBLE), 0.0::DOUBLE) * 0.6::DOUBLE + (1 - least(age::DOUBLE / 730, 1.0::DOUBLE)) * 0.4::DOUBLE) / (redundancy + 1), 4) AS kpi FROM c)"""
 
 
+def all_corpus_rows(spark: SparkSession, d: str) -> DataFrame:
+    """All documents, labelled or not, with density, age in days and redundancy."""
+    density = F.least(F.length("text") / 500.0, F.lit(10.0))
+    return read(spark, d, "documents").select("doc_id", density.alias("density"), (F.col("doc_id") % 900).alias("age"), ((F.col("doc_id") % 4) / 4.0).alias("redundancy"))
+
+
+ALL_CORPUS = """c AS (SELECT doc_id, least(length(text) / 500.0::DOUBLE, 10.0::DOUBLE) AS density, doc_id % 900 AS age, (doc_id % 4) / 4.0::DOUBLE AS redundancy FROM documents),
+kpi AS (SELECT *, round((greatest(least(density / 10, 1.0::DOUBLE), 0.0::DOUBLE) * 0.6::DOUBLE + (1 - least(age::DOUBLE / 730, 1.0::DOUBLE)) * 0.4::DOUBLE) / (redundancy + 1), 4) AS kpi FROM c)"""
+
+
 def kpi_of() -> F.Column:
     return S.kpi_retain(F.col("density"), F.col("age"), F.col("redundancy"))
 
@@ -329,6 +339,10 @@ def quality_histogram(spark, d):
     return governance.quality_histogram(corpus_rows(spark, d), kpi_of())
 
 
+def quality_histogram_all(spark, d):
+    return governance.quality_histogram(all_corpus_rows(spark, d), kpi_of())
+
+
 def knowledge_gaps(spark, d):
     parts = read(spark, d, "part").select(F.col("p_brand").alias("domain"), "p_size")
     return governance.knowledge_gaps(parts.select("domain").distinct(), parts.where("p_size = 50"), "domain")
@@ -352,6 +366,10 @@ def kpi_retain(spark, d):
     return corpus_rows(spark, d).select("doc_id", kpi_of().alias("kpi"))
 
 
+def kpi_retain_all(spark, d):
+    return all_corpus_rows(spark, d).select("doc_id", kpi_of().alias("kpi"))
+
+
 def judge_rules(spark, d):
     rows = corpus_rows(spark, d).select("doc_id", S.retain_decision(kpi_of(), F.col("proposed"), F.col("confidence")).alias("r"))
     return rows.select("doc_id", "r.decision", "r.needs_review", "r.rule")
@@ -520,7 +538,7 @@ QUERIES = {
     for f in (
         bm25_search, rerank_terms, vector_topk, vector_topk_filtered, hybrid_search, recall_at_k, intent_classify, query_aggregate, feedback_reasons, decision_aggregate, ingest_trend, count_bucket_trend,
         useful_two_windows, report_trend, truth_candidates, scd2_intervals, prompt_ab, condition_health, session_activity, dashboard, corpus_stats, catalog_rollup, domain_count_one_level, rbac_filter,
-        datascope_descendants, queue_matrix, overdue, sla_sweep, quality_histogram, knowledge_gaps, noise_ratio, kpi_retain, judge_rules, keyword_domain_inference, topic_group_overlap, chunk_hash_incremental,
+        datascope_descendants, queue_matrix, overdue, sla_sweep, quality_histogram, quality_histogram_all, knowledge_gaps, noise_ratio, kpi_retain, kpi_retain_all, judge_rules, keyword_domain_inference, topic_group_overlap, chunk_hash_incremental,
         exact_duplicates, title_duplicates, version_chain, fixed_chunks, boundary_chunks, context_window, redact_numbers, page_text, edge_merge, node_merge, shared_entity_docs, degree_centrality, shortest_path,
         blast_radius, link_components, entity_resolution, ontology_diff, as_of_snapshot, drift, rebuild_plan, rebuild_cost, latest_order, metadata_upsert,
     )
@@ -563,9 +581,11 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
     "overdue": f"WITH {QUEUE} SELECT id, role, due FROM items WHERE status IN ('pending', 'reviewing') AND due < TIMESTAMP '1997-01-01'",
     "sla_sweep": f"WITH {QUEUE}, l AS (SELECT *, status IN ('pending', 'reviewing') AND due < TIMESTAMP '1997-01-01' AS late FROM items) SELECT id, CASE WHEN late THEN 'escalated' ELSE status END AS status, CASE WHEN late THEN CASE role WHEN '5-LOW' THEN '3-MEDIUM' WHEN '3-MEDIUM' THEN '2-HIGH' WHEN '2-HIGH' THEN '1-URGENT' ELSE role END ELSE role END AS role, workstation, CASE WHEN NOT late THEN due END AS due FROM l",
     "quality_histogram": f"WITH {CORPUS}, p AS (SELECT round(kpi * 100) AS pct FROM kpi), b AS (SELECT pct, CASE WHEN pct >= 85 THEN 'excellent' WHEN pct >= 70 THEN 'good' WHEN pct >= 50 THEN 'fair' ELSE 'poor' END AS band FROM p) SELECT band, count(*) AS n, round(avg(pct), 4) AS avg_pct FROM b GROUP BY 1",
+    "quality_histogram_all": f"WITH {ALL_CORPUS}, p AS (SELECT round(kpi * 100) AS pct FROM kpi), b AS (SELECT pct, CASE WHEN pct >= 85 THEN 'excellent' WHEN pct >= 70 THEN 'good' WHEN pct >= 50 THEN 'fair' ELSE 'poor' END AS band FROM p) SELECT band, count(*) AS n, round(avg(pct), 4) AS avg_pct FROM b GROUP BY 1",
     "knowledge_gaps": "SELECT p_brand AS domain, count(*) FILTER (WHERE p_size = 50) AS n FROM part GROUP BY 1 HAVING count(*) FILTER (WHERE p_size = 50) <= 1",
     "noise_ratio": NOISE,
     "kpi_retain": f"WITH {CORPUS} SELECT doc_id, kpi FROM kpi",
+    "kpi_retain_all": f"WITH {ALL_CORPUS} SELECT doc_id, kpi FROM kpi",
     "judge_rules": JUDGE,
     "keyword_domain_inference": DOMAIN,
     "topic_group_overlap": "SELECT doc_id, CASE WHEN n > 1 THEN round(0.5::DOUBLE * (0.6::DOUBLE + 0.4::DOUBLE * least(n / 5.0::DOUBLE, 1.0::DOUBLE)), 4) ELSE 0 END AS overlap FROM (SELECT doc_id, count(*) OVER (PARTITION BY n_chars) AS n FROM documents)",
