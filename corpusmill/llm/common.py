@@ -14,9 +14,11 @@ SPACES = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a local one of our own where it is unset (as in tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Where it is unset and the master is local (as in tests), one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -42,6 +44,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def columns_but(docs: DataFrame, *names: str) -> list[Column]:
+    """The columns of docs in order, without those of these names (Spark's names don't depend on case)."""
+    gone = {n.lower() for n in names}
+    return [F.col(quoted(c)) for c in docs.columns if c.lower() not in gone]
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """These names, each with so many underscores before it that docs has no such column."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once although body uses it in lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

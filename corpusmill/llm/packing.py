@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, quoted, written
 from .encoding import END_ID, encoder, slices, tokenizer_path
 
 SIZE = 4096
@@ -113,13 +113,13 @@ def places(patterns: list[tuple[int, dict[int, int]]]) -> tuple[np.ndarray, ...]
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, spaces: bool, id_col: str, text_col: str, size: int = SIZE) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, spaces: bool, id_col: str, text_col: str, size: int = SIZE, special: bool = True) -> DataFrame:
     """Full windows and the rest of each document's ids and END_ID, as a written table."""
     schema = f"doc_id {docs.schema[id_col].dataType.simpleString()}, {PIECE}"
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = encoder(tokenizer, spaces), TaskContext.get().partitionId()
+        encode, part = encoder(tokenizer, spaces, special), TaskContext.get().partitionId()
         ranks, end = [0] * (size + 1), struct.pack("<I", END_ID)
         for batch in slices(batches):
             rows: list[tuple] = []
@@ -136,18 +136,18 @@ def cut_pieces(docs: DataFrame, tokenizer: str, spaces: bool, id_col: str, text_
             arrays = [docs_, *(pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"])
 
-    return written(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, schema), "pieces")
+    return written(docs.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).cast("string").alias("text")).mapInArrow(cut, schema), "pieces")
 
 
-def pack(docs: DataFrame, tokenizer: str, spaces: bool = False, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, spaces: bool = False, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, special: bool = True) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     Each id of each document (its text's ids, then END_ID) is in exactly one piece; null text counts as empty, so it is
     END_ID alone. Repeated rows and rows that share an id or have none are documents of their own. An empty table gives
-    no pieces. Other columns of docs are not looked at.
+    no pieces. Other columns of docs are not looked at. special: as in encoder().
     """
     spark = docs.sparkSession
-    pieces = cut_pieces(docs, tokenizer, spaces, id_col, text_col, size)
+    pieces = cut_pieces(docs, tokenizer, spaces, id_col, text_col, size, special)
     by_task = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_task = written(by_task.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))), "lengths")
@@ -163,7 +163,8 @@ def pack(docs: DataFrame, tokenizer: str, spaces: bool = False, id_col: str = "d
             new = [pa.array(sequences[k] + sequence), pa.array(offsets[k] + slot * length)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], *new], names=[*batch.schema.names[:5], "sequence_id", "offset"])
 
-    based = pieces.join(by_task.select("part", "length", "base"), ["part", "length"])
+    # The table grows with the tasks, so it is not broadcast; the pieces are small rows, and (task, length) has few of them.
+    based = pieces.join(by_task.select("part", "length", "base").hint("merge"), ["part", "length"])
     based = based.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "base", "rank")
     return based.mapInArrow(place, f"doc_id {docs.schema[id_col].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 

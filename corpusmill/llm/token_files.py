@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, written
+from .common import documents, fresh_path, quoted, written
 from .encoding import END_ID, encoder, slices, tokenizer_path
 
 FRAME_BYTES = 1 << 20
@@ -116,19 +116,20 @@ def read_file(folder: str, name: str, wanted: set[int] | None = None) -> Iterato
             yield doc, int(starts[i]), raw[at : at + int(lengths[i]) * 4]
 
 
-def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: bool = True, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_token_files(docs: DataFrame, folder: str, tokenizer: str, spaces: bool = True, id_col: str = "doc_id", text_col: str = "text", frame_bytes: int = FRAME_BYTES, file_bytes: int = FILE_BYTES, special: bool = True) -> DataFrame:
     """Writes all documents in ascending id order and returns the manifest: part, seq, file, n_docs, n_tokens, start.
 
     Each text's ids are followed by END_ID; null text counts as empty, so it is END_ID alone. Rows without an id come
     first; rows that share an id are kept, in the order of their texts' hashes. An empty table gives an empty manifest.
-    start: ids of all files before.
+    start: ids of all files before. special: as in encoder().
     """
     folder = folder.rstrip("/")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("h"))
+    text = F.col(quoted(text_col)).cast("string")
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, done = encoder(tokenizer, spaces), TaskContext.get().partitionId(), []
+        encode, part, done = encoder(tokenizer, spaces, special), TaskContext.get().partitionId(), []
         end, out = struct.pack("<I", END_ID), None
 
         def close() -> None:

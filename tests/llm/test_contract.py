@@ -91,7 +91,6 @@ def ids_of():
 
     def make(name):
         t = Tokenizer.from_file(public_tokenizers.path(name))
-        t.encode_special_tokens = True
         return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 2]
 
     return make
