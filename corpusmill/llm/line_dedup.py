@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, ascii_lower, documents, let, whole, written
+from .common import SPACES, ascii_lower, documents, let, quoted, unused, whole, written
 
 
 def line_key(line: Column) -> Column:
@@ -33,27 +33,29 @@ def drop_shared_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     count as one document that is greater than all others. An empty table gives an empty table. A column of docs named
     `line_dedup` is replaced.
     """
-    doc = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"))  # orders null last
-    rows = docs.select(doc.alias("doc"), F.xxhash64(whole(F.col(text_col))).alias("row"), F.posexplode(_lines(F.col(text_col))).alias("pos", "line"))
-    keyed = rows.select("doc", "row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
-    keyed = keyed.select("doc", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(min_chars), F.col("key")).alias("h2"))
-    holders = keyed if min_docs == 2 else keyed.select("h1", "h2", "doc").distinct()
-    shared = holders.groupBy("h1", "h2").agg(F.min("doc").alias("keeper"), F.max("doc").alias("last"), F.count("*").alias("n"))
-    shared = shared.where(F.col("keeper") != F.col("last") if min_docs == 2 else F.col("n") >= min_docs)
+    id_, text = F.col(quoted(id_col)), F.col(quoted(text_col))
+    rows = docs.select(id_.alias("id"), F.xxhash64(whole(text)).alias("row"), F.posexplode(_lines(text)).alias("pos", "line"))
+    keyed = rows.select("id", "row", "pos", line_key(F.col("line")).alias("key")).where(F.length("key") >= min_chars)
+    keyed = keyed.select("id", "row", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(min_chars), F.col("key")).alias("h2"))
+    holders = keyed if min_docs == 2 else keyed.select("h1", "h2", "id").distinct()
+    # Plain columns, so that the aggregate hashes instead of sorting every line.
+    none = F.max(F.col("id").isNull().cast("int"))
+    shared = holders.groupBy("h1", "h2").agg(F.min("id").alias("keeper"), F.max("id").alias("last"), none.alias("none"), F.count("*").alias("n"))
+    several = (F.col("keeper") != F.col("last")) | ((F.col("none") == 1) & F.col("keeper").isNotNull())
+    shared = shared.where(several if min_docs == 2 else F.col("n") >= min_docs)
     shared = written(shared.select("h1", "h2", "keeper"), "shared_lines")  # its own shuffle in the join, so that hot lines are split
-    lost = keyed.join(shared, ["h1", "h2"]).where(F.col("doc") != F.col("keeper"))
-    lost = lost.groupBy("doc", "row").agg(F.collect_set("pos").alias("pos"))
-    lost = lost.select(F.col("doc.id").alias("__id"), F.col("row").alias("__row"), F.col("pos").alias("__pos"))
-    on = docs[id_col].eqNullSafe(lost["__id"]) & (F.xxhash64(whole(docs[text_col])) == lost["__row"])
-    joined = docs.join(lost, on, "left")
-    lines = _lines(docs[text_col])
-    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("__pos")), lambda i: F.get(x, i)), "\n"))
-    text = F.when(F.col("__pos").isNull(), docs[text_col]).otherwise(left)
-    dropped = F.when(F.col("__pos").isNull(), F.lit(0)).otherwise(F.size("__pos"))
+    lost = keyed.join(shared, ["h1", "h2"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
+    lost = lost.groupBy("id", "row").agg(F.collect_set("pos").alias("pos"))
+    of, row, pos = unused(docs, "id", "row", "pos")
+    lost = lost.select(F.col("id").alias(of), F.col("row").alias(row), F.col("pos").alias(pos))
+    own = {c: docs[quoted(c)] for c in docs.columns}
+    joined = docs.join(lost, own[id_col].eqNullSafe(lost[of]) & (F.xxhash64(whole(own[text_col])) == lost[row]), "left")
+    lines = _lines(own[text_col])
+    left = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(pos)), lambda i: F.get(x, i)), "\n"))
+    new = F.when(F.col(pos).isNull(), own[text_col]).otherwise(left)
+    dropped = F.when(F.col(pos).isNull(), F.lit(0)).otherwise(F.size(pos))
     counts = F.struct(F.size(lines).cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"))
-    others = [docs[c] for c in docs.columns if c not in (text_col, "line_dedup")]
-    out = joined.select(*others, text.alias(text_col), counts.alias("line_dedup"))
-    return out.select(*[c for c in docs.columns if c != "line_dedup"], "line_dedup")
+    return joined.select(*[new.alias(c) if c == text_col else own[c] for c in docs.columns if c.lower() != "line_dedup"], counts.alias("line_dedup"))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
