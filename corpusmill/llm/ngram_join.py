@@ -8,8 +8,9 @@ lists and binary-probes the long ones for those that reach the required overlap.
 components but in one list are paired where the list's shingle comes early enough in both, and searched in the same
 way. So a group of copies makes links in proportion to its size and no link between different components is lost.
 
-Scale: the shuffles carry (shingle, class) rows for about a fifth of the shingles, and the texts of classes that share
-lists. A query with very many partners is split into groups of GROUP. Lists are streamed, never held.
+Scale: the shuffles carry (shingle, class) rows for about a fifth of the shingles, and the texts of classes in a pair;
+those are picked where they are read, by a table of BITS bits. A query with very many partners is split into groups of
+about GROUP. Lists are streamed, never held.
 """
 
 from __future__ import annotations
@@ -20,10 +21,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, quoted, written
 from .components import components
 from .encoding import slices
 
@@ -32,8 +34,10 @@ WORDS = 5
 SHARE = 80
 #: Counters of the rarity table, in so many parts.
 SLOTS, PARTS = 1 << 20, 16
-#: Partners of a query in one group; documents indexed at a time.
-GROUP, BLOCK = 2000, 256
+#: Partners of a query in one group, about; documents indexed at a time.
+GROUP, BLOCK = 128, 256
+#: Bits of the table that says which documents a search may need, in PARTS parts.
+BITS = 1 << 25
 #: Counted shingles from which on a list is split, into parts of about so many.
 HOT = 100_000
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -252,12 +256,51 @@ def _probe(owner: np.ndarray, lo: np.ndarray, hi: np.ndarray, d: int) -> np.ndar
     return a - lo
 
 
-def search(pairs: DataFrame, texts: DataFrame, share: int, name: str) -> DataFrame:
-    """a, b of those pairs whose sets link. texts: id, text."""
+def _bit(ids: np.ndarray) -> np.ndarray:
+    return ((ids.astype(np.uint64) * _ODD[0]) >> np.uint64(64 - BITS.bit_length() + 1)).astype(np.int64)
+
+
+def picked(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The rows (id, text) of nodes (id), and some others: those with a bit that a node has. No row is shuffled."""
+    width = BITS // PARTS
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITS, bool)
+        for batch in batches:
+            bits[_bit(batch.column(0).to_numpy())] = True
+        found = [k for k in range(PARTS) if bits[k * width : (k + 1) * width].any()]
+        packed = [zstandard.compress(np.packbits(bits[k * width : (k + 1) * width]).tobytes()) for k in found]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(packed, pa.binary())], names=["part", "bits"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                new = np.frombuffer(zstandard.decompress(blob.as_py()), np.uint8)
+                total[k] = total[k] | new if k in total else new
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["part", "bits"])
+
+    kind = "part int, bits binary"
+    packed = np.zeros(BITS // 8, np.uint8)
+    for x in nodes.mapInArrow(mark, kind).repartition(PARTS, "part").mapInArrow(add, kind).collect():  # PARTS rows of fixed size
+        packed[x["part"] * width // 8 : (x["part"] + 1) * width // 8] = np.frombuffer(x["bits"], np.uint8)
+    sent = rows.sparkSession.sparkContext.broadcast(packed)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = _bit(batch.column(0).to_numpy())
+            yield batch.filter(pa.array((sent.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1))
+
+    return rows.where("id is not null").mapInArrow(pick, rows.schema)
+
+
+def search(pairs: DataFrame, docs: DataFrame, share: int, name: str) -> DataFrame:
+    """a, b of those pairs whose sets link. docs: id, text."""
     pairs = written(pairs.select("a", "b"), f"{name}_pairs")
     groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
     asks = groups.select("a", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("g"), F.col("a").alias("id"), F.lit(0).alias("role"))
     gives = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), F.col("groups")).cast("int").alias("g"), F.col("b").alias("id"), F.lit(1).alias("role"))
+    texts = picked(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
     rows = asks.union(gives).join(texts, "id").select("a", "g", "role", "id", "text")
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,15 +335,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     their own text. A row without an id links with nothing and has no component. Other columns aren't looked at. An
     empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     described = describe(rows)
     lists = rare_lists(rows, rarity(described), share)
-    texts = written(rows.join(lists.select(F.col("node").alias("id")).distinct(), "id"), "texts")
     first = first_pairs(lists, share)
-    links = search(first, texts, share, "first")
+    links = search(first, rows, share, "first")
     if not lists.isEmpty():
         rest = left_pairs(lists, components(links), share).join(first.select("a", "b"), ["a", "b"], "left_anti")
-        links = links.union(search(rest, texts, share, "rest"))
+        links = links.union(search(rest, rows, share, "rest"))
     sets = described.where("part is null").select("id", "n", "set")
     classes = sets.where("n > 0 and id is not null").groupBy("n", "set").agg(F.min("id").alias("node"))
     named = classes.join(components(links), "node", "left").select("n", "set", F.coalesce("component", "node").alias("component"))

@@ -48,3 +48,9 @@ def test_op6_common_string_in_differing_surroundings_fills_no_bucket(spark, monk
         gone = {p for j in range(len(t) - 49) if first[t[j : j + 50]] < i for p in range(j, j + 50)}
         assert bytes(got[i]["kept"]).decode() == "".join(c for p, c in enumerate(t) if p not in gone)
     assert any(r["n_removed"] for r in got.values())
+
+
+def test_op5_with_small_groups_and_blocks(spark, sf, texts, monkeypatch):
+    for name, value in (("GROUP", 2), ("BLOCK", 2), ("BITS", 1 << 10), ("HOT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    test_contract.test_op5(spark, sf, texts)
