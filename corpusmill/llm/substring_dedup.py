@@ -1,21 +1,21 @@
 """Substring dedup: bytes of a 50-byte string that also starts in a document with a smaller id are removed.
 
-The index is a family of sorted suffix arrays, each truncated to the first 50 bytes of its suffixes. Suffixes are dealt to
-buckets by content, so that equal ones meet: the bucket of a 50-byte window follows from the smallest hash of the
-16-byte strings in it, and neighbouring windows with the same one travel together as one stretch of text. In a bucket,
-batches of windows get sorted arrays, levels of equal size are merged geometrically, and each batch is merge-scanned
-against the levels for matches in smaller documents. Windows that nothing else in the bucket can equal, as a table of
-single bits of their fingerprints shows, are left out of the arrays.
+The index is a family of suffix arrays: positions of texts in the alphabetical order of what begins there, sorted to a
+depth of 50 bytes, which is all that is asked for. Batches come in the order of the document id. A new batch gets its
+suffix array and is merge-scanned against the existing levels for strings of smaller documents; then it joins the family,
+where levels of like size merge geometrically, each string with the smallest id that has it.
 
-The arrays are ordered by a 64-bit fingerprint of the 50 bytes and not alphabetically: only equality is asked for, and
-each match is confirmed byte by byte.
+Suffixes are dealt to buckets by content, so that equal ones meet: the bucket of a 50-byte window follows from the
+smallest hash of the 16-byte strings in it (its seed), and neighbouring windows with the same one travel together as one
+stretch of text. Each bucket has a family of its own. Two passes come before: seeds are counted, and only stretches whose
+seed occurs elsewhere travel at all.
 
 Scale: texts are gathered in packs of about PACK_BYTES, compressed, and written once. A pack sends each distinct stretch
 once, however often it holds it, with the smallest id that has it; so a passage that a third of all documents share is
 one entry from each pack. Buckets hold about BUCKET_WINDOWS windows whatever the corpus (their number grows), and a task
-takes its buckets one after the other. Windows are counted by minimum beforehand; those of a minimum that would fill a
-large part of a bucket (a common string in differing surroundings) travel alone and are dealt by a hash of all their 50
-bytes, so that a pack sends each of them once. Only the marks go back to the packs.
+takes its buckets one after the other. Windows of a seed that would fill a large part of a bucket (a common string in
+differing surroundings) travel alone and are dealt by a hash of all their 50 bytes, so that a pack sends each of them
+once. Only the marks go back to the packs.
 """
 
 from __future__ import annotations
@@ -31,16 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, written
+from .common import documents, quoted, written
 
 LENGTH = 50
 #: Length of the strings whose smallest hash deals a window to its bucket.
 SEED = 16
-PACK_BYTES, BUCKET_WINDOWS, BATCH_WINDOWS = 2 << 20, 2_000_000, 250_000
+PACK_BYTES, BUCKET_WINDOWS, BATCH_WINDOWS = 2 << 20, 1_000_000, 125_000
 #: Windows of a text that are dealt at a time; longer texts are taken in parts.
 PART = 4 << 20
-#: Counters of windows by minimum for each bucket.
-SLOTS = 16
+#: Text of which the seeds are counted together.
+COUNT_BYTES = 32 << 20
 NO_ID = (1 << 63) - 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -115,16 +115,15 @@ def _deal(raw: bytes, at: int, lengths: list[int], firsts: list, counts: list, m
         minima.append(low[first[keep]])
 
 
-def distinct_stretches(raw: bytes, lengths: list[int], ids: list[int], hot: tuple[int, np.ndarray] | None = None):
-    """Occurrences (first window, windows, number of its stretch, id) and distinct stretches (bytes, minimum, smallest id), in the order of first sight.
+def distinct_stretches(raw: bytes, lengths: list[int], ids: list[int], hot: np.ndarray | None = None):
+    """Occurrences (first window, windows, number of its stretch, id) and distinct stretches (bytes, minimum, smallest id, alone), in the order of first sight.
 
-    hot: the number of counters and, ascending, those of the minima whose windows are stretches of their own, with the
-    hash of the window for the minimum.
+    hot: the minima, ascending, whose windows are stretches of their own (alone), with the hash of the window for the minimum.
     """
     first, count, low = stretches(raw, lengths)
-    if hot is not None and len(hot[1]) and len(first):
-        slot = low % np.uint64(hot[0])
-        alone = hot[1][np.minimum(np.searchsorted(hot[1], slot), len(hot[1]) - 1)] == slot
+    alone = np.zeros(len(first), bool)
+    if hot is not None and len(hot) and len(first):
+        alone = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
         times = np.where(alone, count, 1)
         begin = np.cumsum(times) - times
         first = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(begin, times)
@@ -135,9 +134,9 @@ def distinct_stretches(raw: bytes, lengths: list[int], ids: list[int], hot: tupl
     doc = np.array(ids, np.int64)[np.searchsorted(np.cumsum(lengths), first, side="right")] if len(first) else np.zeros(0, np.int64)
     smallest = np.full(len(seen), NO_ID, np.int64)
     np.minimum.at(smallest, number, doc)
-    minimum = np.zeros(len(seen), np.uint64)
-    minimum[number] = low
-    return (first, count, number, doc), (list(seen), minimum, smallest)
+    minimum, by_itself = np.zeros(len(seen), np.uint64), np.zeros(len(seen), bool)
+    minimum[number], by_itself[number] = low, alone
+    return (first, count, number, doc), (list(seen), minimum, smallest, by_itself)
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -179,7 +178,7 @@ def make_packs(docs: DataFrame, id_col: str, text_col: str, pack_bytes: int) ->
         if ids:
             yield row()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).cast("string").alias("text"))
     return written(rows.mapInArrow(gather, "pack long, n_bytes long, body binary"), "packs")
 
 
@@ -188,67 +187,171 @@ def _body(blob: bytes) -> tuple[list[int], list[int], list[int], bytes]:
     return np.frombuffer(ids, "<i8").tolist(), np.frombuffer(known, np.uint8).tolist(), np.frombuffer(lengths, "<u4").tolist(), bytes(raw)
 
 
-def hot_minima(packs: DataFrame, n_packs: int, slots: int, most: int) -> np.ndarray:
-    """Ascending, the counters (minimum % slots) whose distinct stretches have `most` windows or more in all packs.
+def _by_bucket(values: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, positions in order) of the values, dealt by their remainder."""
+    bucket = (values % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for a, b in zip(edges.tolist(), np.append(edges, len(order))[1:].tolist(), strict=True):
+        yield int(bucket[order[a]]), order[a:b]
 
-    A task leaves out a counter with less than half its packs' share of `most`. What is left out of one is then less
-    than half of `most`, so few rows are sent and no such counter is missed (some of half as many windows come too).
+
+UNIQUE, SHARED, HOT = 0, 1, 2
+
+
+def seed_kinds(packs: DataFrame, parts: int, most: int) -> DataFrame:
+    """pack, part, kinds (one byte for each of the pack's minima in that part, ascending), windows (of what is not UNIQUE, this pack's), hot (whether any is HOT), as a written table.
+
+    A minimum of one distinct stretch in all packs is UNIQUE: nothing can equal its windows. One with `most` windows or
+    more is HOT. Minima are counted by 32 of their bits, so that one may be taken for SHARED or HOT that isn't.
     """
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, seen = np.zeros(slots, np.int64), 0
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for blob in batch.column(0):
+            for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 ids, _, lengths, raw = _body(blob.as_py())
-                _, (found, minimum, _) = distinct_stretches(raw, lengths, ids)
-                np.add.at(total, (minimum % np.uint64(slots)).astype(np.int64), np.array([len(x) - LENGTH + 1 for x in found], np.int64))
-                seen += 1
-        large = np.flatnonzero((total > 0) & (2 * n_packs * total >= most * seen))
-        yield pa.RecordBatch.from_arrays([pa.array(large, pa.int64()), pa.array(total[large], pa.int64())], names=["slot", "windows"])
+                _, (found, minimum, _, _) = distinct_stretches(raw, lengths, ids)
+                seeds, of = np.unique(minimum, return_inverse=True)
+                several = (np.bincount(of, minlength=len(seeds)) > 1).astype(np.uint8)
+                windows = np.bincount(of, [len(x) - LENGTH + 1 for x in found], len(seeds)).astype("<u4")
+                rows = [(part, _pack(((seeds[at] // np.uint64(parts)) & np.uint64(0xFFFFFFFF)).astype("<u4"), several[at], windows[at])) for part, at in _by_bucket(seeds, parts)]
+                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int64()), pa.array([pack] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["part", "pack", "body"])
+
+    def decide(part: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        own = [[np.frombuffer(x, k) for x, k in zip(_unpack(b), ("<u4", np.uint8, "<u4"), strict=True)] for _, b in rows]
+        keys, several, windows = (np.concatenate(x) for x in zip(*own, strict=True))
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        sizes = np.diff(np.append(first, len(order)))
+        kind = np.where(np.add.reduceat(windows[order].astype(np.int64), first) >= most, HOT, np.where((sizes > 1) | (np.maximum.reduceat(several[order], first) > 0), SHARED, UNIQUE))
+        kind[(sizes == 1) & (several[order[first]] == 0)] = UNIQUE
+        kinds = np.empty(len(keys), np.uint8)
+        kinds[order] = np.repeat(kind, sizes)
+        ends = np.cumsum([len(x[0]) for x in own])
+        mine = [kinds[b - len(x[0]) : b] for x, b in zip(own, ends.tolist(), strict=True)]
+        columns = [pa.array([p for p, _ in rows], pa.int64()), pa.array([part] * len(rows), pa.int64()), pa.array([zstandard.compress(k.tobytes()) for k in mine], pa.binary())]
+        columns += [pa.array([int(x[2][k > 0].sum()) for x, k in zip(own, mine, strict=True)], pa.int64()), pa.array([bool((k == HOT).any()) for k in mine])]
+        return pa.RecordBatch.from_arrays(columns, names=["pack", "part", "kinds", "windows", "hot"])
+
+    sent = packs.select("pack", "body").mapInArrow(send, "part long, pack long, body binary")
+    return written(_bucketwise(sent, "part", decide, "pack long, part long, kinds binary, windows long, hot boolean"), "seed_kinds")
+
+
+def _bucketwise(sent: DataFrame, key: str, result, schema: str) -> DataFrame:
+    """result(bucket, [(pack, body)]) of each bucket; sent: bucket (named key), pack, body."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, rows = None, []
+        for batch in batches:
+            for bucket, pack, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                if bucket != last and rows:
+                    yield result(last, rows)
+                    rows = []
+                last = bucket
+                rows.append((pack, body.as_py()))
+        if rows:
+            yield result(last, rows)
+
+    return sent.repartition(key).sortWithinPartitions(key, "pack").mapInArrow(run, schema)
+
 
-    counted = packs.select("body").mapInArrow(count, "slot long, windows long").groupBy("slot").agg(F.sum("windows").alias("windows"))
-    return np.array(sorted(r["slot"] for r in counted.where(2 * F.col("windows") >= most).select("slot").collect()), np.uint64)
+def _kinds(minimum: np.ndarray, told: list[tuple[int, bytes]], parts: int) -> np.ndarray:
+    """The kind of each minimum by the pack's rows of seed_kinds (part, kinds); SHARED where a part is not among them."""
+    seeds, of = np.unique(minimum, return_inverse=True)
+    kinds, given = np.full(len(seeds), SHARED, np.uint8), dict(told)
+    for part, at in _by_bucket(seeds, parts):
+        if part in given:
+            kinds[at] = np.frombuffer(zstandard.decompress(given[part]), np.uint8)
+    return kinds[of]
 
 
-def send_stretches(packs: DataFrame, buckets: int, hot: tuple[int, np.ndarray] | None = None) -> DataFrame:
-    """bucket, pack, body (numbers, smallest ids, lengths and bytes of the distinct stretches)."""
+def _hot(raw: bytes, lengths: list[int], told: list[tuple[int, bytes]], parts: int) -> np.ndarray | None:
+    if not told:
+        return None
+    low = np.unique(stretches(raw, lengths)[2])
+    return low[_kinds(low, told, parts) == HOT]
+
+
+def send_stretches(packs: DataFrame, kinds: DataFrame, parts: int, buckets: int) -> DataFrame:
+    """bucket, pack, body (numbers, smallest ids, lengths and bytes of the distinct stretches that may occur elsewhere)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for pack, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for pack, blob, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids, _, lengths, raw = _body(blob.as_py())
-                _, (found, minimum, smallest) = distinct_stretches(raw, lengths, ids, hot)
-                bucket = (minimum % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edges = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+                told = [(x["part"], x["kinds"]) for x in told or []]
+                hot = _hot(raw, lengths, [x for x in told if HOT in zstandard.decompress(x[1])], parts)
+                _, (found, minimum, smallest, alone) = distinct_stretches(raw, lengths, ids, hot)
+                go = alone.copy()
+                go[~alone] = _kinds(minimum[~alone], told, parts) > 0 if hot is None or not len(hot) else _among(minimum[~alone], raw, lengths, told, parts)
+                go = np.flatnonzero(go)
                 rows = []
-                for a, b in zip(edges.tolist(), np.append(edges, len(order))[1:].tolist(), strict=True):
-                    mine = order[a:b]
-                    parts = [found[i] for i in mine.tolist()]
-                    rows.append(_pack(mine.astype("<u4"), smallest[mine].astype("<i8"), np.array([len(p) for p in parts], "<u4"), b"".join(parts)))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[order[edges]]), pa.array([pack] * len(rows), pa.int64()), pa.array(rows, pa.binary())], names=["bucket", "pack", "body"])
+                for bucket, at in _by_bucket(minimum[go], buckets):
+                    mine = go[at]
+                    texts = [found[i] for i in mine.tolist()]
+                    rows.append((bucket, _pack(mine.astype("<u4"), smallest[mine].astype("<i8"), np.array([len(p) for p in texts], "<u4"), b"".join(texts))))
+                yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([pack] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "pack", "body"])
+
+    told = kinds.groupBy("pack").agg(F.collect_list(F.struct("part", "kinds")).alias("told"))
+    return packs.select("pack", "body").join(told, "pack", "left").select("pack", "body", "told").mapInArrow(send, "bucket long, pack long, body binary")
+
 
-    return packs.select("pack", "body").mapInArrow(send, "bucket long, pack long, body binary")
+def _among(minimum: np.ndarray, raw: bytes, lengths: list[int], told: list[tuple[int, bytes]], parts: int) -> np.ndarray:
+    """Whether each minimum is of a kind that travels, where some of the pack's minima (the hot ones) are not among these."""
+    low = np.unique(stretches(raw, lengths)[2])
+    goes = low[_kinds(low, told, parts) > 0]
+    return goes[np.minimum(np.searchsorted(goes, minimum), len(goes) - 1)] == minimum if len(goes) else np.zeros(len(minimum), bool)
 
 
 class Level:
-    """A sorted array of fingerprints with the smallest id of each and where that one's 50 bytes are."""
+    """The distinct strings of a suffix array, ascending, each with the smallest id that has it."""
 
-    def __init__(self, prints: np.ndarray, ids: np.ndarray, places: np.ndarray):
-        order = np.lexsort((ids, prints)) if len(prints) else np.zeros(0, np.int64)
-        prints = prints[order]
-        first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1])) if len(prints) else order
-        self.prints, self.ids, self.places = prints[first], ids[order][first], places[order][first]
+    def __init__(self, strings: np.ndarray, ids: np.ndarray):
+        self.strings, self.ids = strings, ids
 
     def merged(self, other: Level) -> Level:
-        return Level(np.concatenate((self.prints, other.prints)), np.concatenate((self.ids, other.ids)), np.concatenate((self.places, other.places)))
+        strings, ids = np.concatenate((self.strings, other.strings)), np.concatenate((self.ids, other.ids))
+        order = np.argsort(strings, kind="stable")  # two runs, which are merged
+        strings, first = _runs(strings[order])
+        return Level(strings, np.minimum.reduceat(ids[order], first) if len(first) else ids)
 
+    def smallest(self, strings: np.ndarray) -> np.ndarray:
+        """The smallest id that has each of the strings (ascending); NO_ID where none has."""
+        at = np.minimum(np.searchsorted(self.strings, strings), len(self.strings) - 1)
+        return np.where(self.strings[at] == strings, self.ids[at], NO_ID)
 
-def add_batch(levels: list[Level], new: Level) -> None:
-    """The new level joins the family; levels of like size (less than twice as large) are merged, the smallest last."""
-    while levels and len(levels[-1].prints) < 2 * len(new.prints):
+
+def _runs(strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ones of ascending strings, and where each begins."""
+    first = np.flatnonzero(np.append(True, strings[1:] != strings[:-1])) if len(strings) else np.zeros(0, np.int64)
+    return strings[first], first
+
+
+def suffix_array(text: memoryview, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the starts by the 50 bytes from each on (equal ones as given), and those bytes in that order."""
+    strings = np.ndarray((len(text) - LENGTH + 1,), f"S{LENGTH}", text, strides=(1,))[starts]
+    order = np.argsort(strings, kind="stable")
+    return order, strings[order]
+
+
+def add_batch(levels: list[Level], text: memoryview, starts: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the starts have a string that a smaller id has, in the batch or in a level. The batch then joins the family.
+
+    ids: ascending, and none below those of the batches before. Levels less than twice as large as the new one merge
+    with it, so that the family has as many levels as the logarithm of its strings.
+    """
+    order, sorted_ = suffix_array(text, starts)
+    strings, first = _runs(sorted_)
+    least = ids[order][first]
+    for level in levels:
+        np.minimum(least, level.smallest(strings), out=least)
+    hit = np.empty(len(starts), bool)
+    hit[order] = ids[order] > np.repeat(least, np.diff(np.append(first, len(order))))
+    new = Level(strings, least)
+    while levels and len(levels[-1].strings) < 2 * len(new.strings):
         new = levels.pop().merged(new)
     levels.append(new)
+    return hit
 
 
 def fingerprints(raw: memoryview, starts: np.ndarray) -> np.ndarray:
@@ -261,14 +364,6 @@ def fingerprints(raw: memoryview, starts: np.ndarray) -> np.ndarray:
     return _mixed(h)
 
 
-def same(raw: memoryview, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    at = _words(raw)
-    out = np.ones(len(a), bool)
-    for step in (0, 8, 16, 24, 32, 40, LENGTH - 8):
-        out &= at[a + step] == at[b + step]
-    return out
-
-
 def repeated(prints: np.ndarray) -> np.ndarray:
     """Positions of the fingerprints whose slot (some of their bits) another position has too; none that repeats is missed."""
     bits = min(24, max(10, (4 * len(prints)).bit_length()))
@@ -302,69 +397,53 @@ def scan_bucket(rows: list[tuple[int, bytes]], batch_windows: int = BATCH_WINDOW
     if not len(window):
         return []
     stretch = np.searchsorted(window_at, window, side="right") - 1
-    prints, ids, starts = prints[window], smallest[stretch], begin[stretch] + window - window_at[stretch]
-    batches = [slice(a, a + batch_windows) for a in range(0, len(window), batch_windows)]
-    levels: list[Level] = []
-    for x in batches:
-        add_batch(levels, Level(prints[x], ids[x], starts[x]))
-    while len(levels) > 1:
-        add_batch(levels, levels.pop().merged(levels.pop()))
-    level, out = levels[0], {}
-    for x in batches:
-        at = np.searchsorted(level.prints, prints[x])
-        less = np.flatnonzero(level.ids[at] < ids[x])
-        less = less[same(raw, starts[x][less], level.places[at[less]])] + x.start
-        first = np.flatnonzero((np.diff(window[less], prepend=-2) != 1) | (np.diff(stretch[less], prepend=-1) != 0))
-        count = np.diff(np.append(first, len(less)))
-        of = stretch[less[first]]
-        offset = window[less[first]] - window_at[of]
-        for k in np.unique(owner[of]).tolist():
-            mine = owner[of] == k
-            out.setdefault(k, []).append((number[of[mine]], offset[mine].astype("<u4"), count[mine].astype("<u4")))
-    return [(rows[k][0], _pack(*[np.concatenate(x).astype("<u4") for x in zip(*v, strict=True)])) for k, v in out.items()]
+    ids, starts = smallest[stretch], begin[stretch] + window - window_at[stretch]
+    by_id, hit, levels = np.argsort(ids, kind="stable"), np.zeros(len(window), bool), []
+    for a in range(0, len(window), batch_windows):
+        x = by_id[a : a + batch_windows]
+        hit[x] = add_batch(levels, raw, starts[x], ids[x])
+    less, out = np.flatnonzero(hit), {}
+    first = np.flatnonzero((np.diff(window[less], prepend=-2) != 1) | (np.diff(stretch[less], prepend=-1) != 0))
+    count, of = np.diff(np.append(first, len(less))), stretch[less[first]]
+    offset = window[less[first]] - window_at[of]
+    for k in np.unique(owner[of]).tolist():
+        mine = owner[of] == k
+        out[k] = _pack(number[of[mine]].astype("<u4"), offset[mine].astype("<u4"), count[mine].astype("<u4"))
+    return [(rows[k][0], v) for k, v in out.items()]
 
 
 def mark_stretches(sent: DataFrame) -> DataFrame:
     """pack, marks."""
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, rows = None, []
-
-        def result() -> pa.RecordBatch:
-            marks = scan_bucket(rows)
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.binary())], names=["pack", "marks"])
-
-        for batch in batches:
-            for bucket, pack, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if bucket != last and rows:
-                    yield result()
-                    rows = []
-                last = bucket
-                rows.append((pack, body.as_py()))
-        if rows:
-            yield result()
+    def scan(_: int, rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        marks = scan_bucket(rows)
+        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.binary())], names=["pack", "marks"])
 
-    return sent.repartition("bucket").sortWithinPartitions("bucket", "pack").mapInArrow(scan, "pack long, marks binary")
+    return _bucketwise(sent, "bucket", scan, "pack long, marks binary")
 
 
 _OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
-def remove_marked(packs: DataFrame, marks: DataFrame, with_kept: bool, hot: tuple[int, np.ndarray] | None = None) -> DataFrame:
+def remove_marked(packs: DataFrame, marks: DataFrame, kinds: DataFrame, parts: int, with_kept: bool) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that stay)."""
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for body, marked in zip(batch.column(0), batch.column(1), strict=True):
-                yield _removed(body.as_py(), marked.as_py() or [], with_kept, hot)
+            for body, told in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                marked = [x["marks"] for x in told or [] if x["marks"] is not None]
+                yield _removed(body.as_py(), marked, with_kept, [(x["part"], x["kinds"]) for x in told or [] if x["marks"] is None], parts)
 
-    by_pack = marks.groupBy("pack").agg(F.collect_list("marks").alias("marks"))
-    return packs.select("pack", "body").join(by_pack, "pack", "left").select("body", "marks").mapInArrow(remove, _OUT)
+    # Packs with hot seeds have to know them, so as to number their stretches in the same way again.
+    rows = marks.select("pack", "marks", F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("kinds"))
+    rows = rows.union(kinds.where("hot").select("pack", F.lit(None).cast("binary"), "part", "kinds"))
+    by_pack = rows.groupBy("pack").agg(F.collect_list(F.struct("marks", "part", "kinds")).alias("told"))
+    return packs.select("pack", "body").join(by_pack, "pack", "left").select("body", "told").mapInArrow(remove, _OUT)
 
 
-def _removed(blob: bytes, marked: list[bytes], with_kept: bool, hot: tuple[int, np.ndarray] | None = None) -> pa.RecordBatch:
+def _removed(blob: bytes, marked: list[bytes], with_kept: bool, told: list[tuple[int, bytes]], parts: int) -> pa.RecordBatch:
     ids, known, lengths, raw = _body(blob)
-    (first, count, number, doc), (_, _, smallest) = distinct_stretches(raw, lengths, ids, hot)
+    (first, count, number, doc), (_, _, smallest, _) = distinct_stretches(raw, lengths, ids, _hot(raw, lengths, told, parts))
     later = doc > smallest[number]  # the pack itself has a smaller document with the whole stretch
     begins, counts = [first[later]], [count[later]]
     if marked:
@@ -395,7 +474,7 @@ def _removed(blob: bytes, marked: list[bytes], with_kept: bool, hot: tuple[int,
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, pack_bytes: int = PACK_BYTES, bucket_windows: int = BUCKET_WINDOWS) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, pack_bytes: int = PACK_BYTES, bucket_windows: int = BUCKET_WINDOWS, count_bytes: int = COUNT_BYTES) -> DataFrame:
     """One row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and (with_kept) kept, the bytes that stay.
 
     Null text counts as empty. Rows that share an id are one document: they don't cut each other. A row without an id
@@ -403,12 +482,12 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     at. An empty table gives no rows.
     """
     packs = make_packs(docs, id_col, text_col, pack_bytes)
-    total, n_packs = packs.agg(F.sum("n_bytes"), F.count("*")).first()
-    buckets = max(1, math.ceil((total or 0) / bucket_windows))
-    # One bucket takes all there is.
-    hot = (SLOTS * buckets, hot_minima(packs, n_packs, SLOTS * buckets, bucket_windows // 2)) if buckets > 1 else None
-    sent = send_stretches(packs, buckets, hot)
-    out = remove_marked(packs, mark_stretches(sent), with_kept, hot)
+    total = packs.agg(F.sum("n_bytes")).first()[0] or 0
+    parts = max(1, math.ceil(total / count_bytes))
+    kinds = seed_kinds(packs, parts, max(2, bucket_windows // 4))
+    buckets = max(1, math.ceil((kinds.agg(F.sum("windows")).first()[0] or 0) / bucket_windows))
+    marks = written(mark_stretches(send_stretches(packs, kinds, parts, buckets)), "marks")
+    out = remove_marked(packs, marks, kinds, parts, with_kept)
     return out if with_kept else out.drop("kept")
 
 

@@ -54,3 +54,12 @@ def test_op5_with_small_groups_and_blocks(spark, sf, texts, monkeypatch):
     for name, value in (("GROUP", 2), ("BLOCK", 2), ("BITS", 1 << 10), ("HOT", 3)):
         monkeypatch.setattr(ngram_join, name, value)
     test_contract.test_op5(spark, sf, texts)
+
+
+def test_op6_with_many_batches_levels_and_buckets(spark, sf, texts, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BATCH_WINDOWS", 300)
+    small = substring_dedup.dedup_substrings.__defaults__
+    monkeypatch.setattr(substring_dedup.dedup_substrings, "__defaults__", (*small[:3], 20_000, 2_000, 30_000))
+    monkeypatch.setattr(substring_dedup.scan_bucket, "__defaults__", (300,))
+    monkeypatch.setattr(substring_dedup, "PART", 5_000)
+    test_contract.test_op6(spark, sf, texts)
