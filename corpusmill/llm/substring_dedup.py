@@ -115,28 +115,37 @@ def _deal(raw: bytes, at: int, lengths: list[int], firsts: list, counts: list, m
         minima.append(low[first[keep]])
 
 
-def distinct_stretches(raw: bytes, lengths: list[int], ids: list[int], hot: np.ndarray | None = None):
-    """Occurrences (first window, windows, number of its stretch, id) and distinct stretches (bytes, minimum, smallest id, alone), in the order of first sight.
+def distinct_stretches(raw: bytes, lengths: list[int], ids: list[int], found: tuple[np.ndarray, ...] | None = None, hot: np.ndarray | None = None, goes: np.ndarray | None = None):
+    """Occurrences (first window, windows, number of its stretch, id) and distinct stretches (bytes, minimum, smallest id, name), in the order of first sight.
 
-    hot: the minima, ascending, whose windows are stretches of their own (alone), with the hash of the window for the minimum.
+    found: stretches() of the texts. hot: the minima, ascending, whose windows are stretches of their own, with the hash
+    of the window for the minimum. goes: if given, the minima, ascending, of the other stretches that are wanted. A
+    stretch's name is the place of its first occurrence among all, whether wanted or not.
     """
-    first, count, low = stretches(raw, lengths)
-    alone = np.zeros(len(first), bool)
-    if hot is not None and len(hot) and len(first):
-        alone = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low
+    first, count, low = stretches(raw, lengths) if found is None else found
+    alone = _in(low, hot)
+    if alone.any():
         times = np.where(alone, count, 1)
         begin = np.cumsum(times) - times
         first = np.repeat(first, times) + np.arange(times.sum()) - np.repeat(begin, times)
         count, low, alone = np.repeat(np.where(alone, 1, count), times), np.repeat(low, times), np.repeat(alone, times)
         low[alone] = fingerprints(memoryview(raw), first[alone])
+    place = np.arange(len(first)) if goes is None else np.flatnonzero(alone | _in(low, goes))
+    first, count, low = first[place], count[place], low[place]
     seen: dict[bytes, int] = {}
     number = np.fromiter((seen.setdefault(raw[a:b], len(seen)) for a, b in zip(first.tolist(), (first + count + LENGTH - 1).tolist(), strict=True)), np.int64, len(first))
     doc = np.array(ids, np.int64)[np.searchsorted(np.cumsum(lengths), first, side="right")] if len(first) else np.zeros(0, np.int64)
     smallest = np.full(len(seen), NO_ID, np.int64)
     np.minimum.at(smallest, number, doc)
-    minimum, by_itself = np.zeros(len(seen), np.uint64), np.zeros(len(seen), bool)
-    minimum[number], by_itself[number] = low, alone
-    return (first, count, number, doc), (list(seen), minimum, smallest, by_itself)
+    at = np.unique(number, return_index=True)[1]
+    return (first, count, number, doc), (list(seen), low[at], smallest, place[at])
+
+
+def _in(values: np.ndarray, some: np.ndarray | None) -> np.ndarray:
+    """Whether each value is among some (ascending; None: none)."""
+    if some is None or not len(some):
+        return np.zeros(len(values), bool)
+    return some[np.minimum(np.searchsorted(some, values), len(some) - 1)] == values
 
 
 def _pack(*arrays: np.ndarray | bytes) -> bytes:
@@ -255,54 +264,36 @@ def _bucketwise(sent: DataFrame, key: str, result, schema: str) -> DataFrame:
     return sent.repartition(key).sortWithinPartitions(key, "pack").mapInArrow(run, schema)
 
 
-def _kinds(minimum: np.ndarray, told: list[tuple[int, bytes]], parts: int) -> np.ndarray:
-    """The kind of each minimum by the pack's rows of seed_kinds (part, kinds); SHARED where a part is not among them."""
-    seeds, of = np.unique(minimum, return_inverse=True)
-    kinds, given = np.full(len(seeds), SHARED, np.uint8), dict(told)
-    for part, at in _by_bucket(seeds, parts):
+def _of_kind(found: tuple[np.ndarray, ...], told: list[tuple[int, bytes]], parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The minima of a pack's stretches that are HOT, and those that are SHARED, by its rows of seed_kinds (part, kinds)."""
+    seeds = np.unique(found[2])
+    kinds, given = np.zeros(len(seeds), np.uint8), dict(told)
+    for part, at in _by_bucket(seeds, parts) if told else ():
         if part in given:
             kinds[at] = np.frombuffer(zstandard.decompress(given[part]), np.uint8)
-    return kinds[of]
-
-
-def _hot(raw: bytes, lengths: list[int], told: list[tuple[int, bytes]], parts: int) -> np.ndarray | None:
-    if not told:
-        return None
-    low = np.unique(stretches(raw, lengths)[2])
-    return low[_kinds(low, told, parts) == HOT]
+    return seeds[kinds == HOT], seeds[kinds == SHARED]
 
 
 def send_stretches(packs: DataFrame, kinds: DataFrame, parts: int, buckets: int) -> DataFrame:
-    """bucket, pack, body (numbers, smallest ids, lengths and bytes of the distinct stretches that may occur elsewhere)."""
+    """bucket, pack, body (names, smallest ids, lengths and bytes of the distinct stretches that may occur elsewhere)."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pack, blob, told in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 ids, _, lengths, raw = _body(blob.as_py())
-                told = [(x["part"], x["kinds"]) for x in told or []]
-                hot = _hot(raw, lengths, [x for x in told if HOT in zstandard.decompress(x[1])], parts)
-                _, (found, minimum, smallest, alone) = distinct_stretches(raw, lengths, ids, hot)
-                go = alone.copy()
-                go[~alone] = _kinds(minimum[~alone], told, parts) > 0 if hot is None or not len(hot) else _among(minimum[~alone], raw, lengths, told, parts)
-                go = np.flatnonzero(go)
+                found = stretches(raw, lengths)
+                hot, goes = _of_kind(found, [(x["part"], x["kinds"]) for x in told or []], parts)
+                _, (texts, minimum, smallest, name) = distinct_stretches(raw, lengths, ids, found, hot, goes)
                 rows = []
-                for bucket, at in _by_bucket(minimum[go], buckets):
-                    mine = go[at]
-                    texts = [found[i] for i in mine.tolist()]
-                    rows.append((bucket, _pack(mine.astype("<u4"), smallest[mine].astype("<i8"), np.array([len(p) for p in texts], "<u4"), b"".join(texts))))
+                for bucket, mine in _by_bucket(minimum, buckets):
+                    own = [texts[i] for i in mine.tolist()]
+                    rows.append((bucket, _pack(name[mine].astype("<u4"), smallest[mine].astype("<i8"), np.array([len(p) for p in own], "<u4"), b"".join(own))))
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([pack] * len(rows), pa.int64()), pa.array([b for _, b in rows], pa.binary())], names=["bucket", "pack", "body"])
 
     told = kinds.groupBy("pack").agg(F.collect_list(F.struct("part", "kinds")).alias("told"))
     return packs.select("pack", "body").join(told, "pack", "left").select("pack", "body", "told").mapInArrow(send, "bucket long, pack long, body binary")
 
 
-def _among(minimum: np.ndarray, raw: bytes, lengths: list[int], told: list[tuple[int, bytes]], parts: int) -> np.ndarray:
-    """Whether each minimum is of a kind that travels, where some of the pack's minima (the hot ones) are not among these."""
-    low = np.unique(stretches(raw, lengths)[2])
-    goes = low[_kinds(low, told, parts) > 0]
-    return goes[np.minimum(np.searchsorted(goes, minimum), len(goes) - 1)] == minimum if len(goes) else np.zeros(len(minimum), bool)
-
-
 class Level:
     """The distinct strings of a suffix array, ascending, each with the smallest id that has it."""
 
@@ -443,7 +434,8 @@ def remove_marked(packs: DataFrame, marks: DataFrame, kinds: DataFrame, parts: i
 
 def _removed(blob: bytes, marked: list[bytes], with_kept: bool, told: list[tuple[int, bytes]], parts: int) -> pa.RecordBatch:
     ids, known, lengths, raw = _body(blob)
-    (first, count, number, doc), (_, _, smallest, _) = distinct_stretches(raw, lengths, ids, _hot(raw, lengths, told, parts))
+    found = stretches(raw, lengths)
+    (first, count, number, doc), (_, _, smallest, name) = distinct_stretches(raw, lengths, ids, found, _of_kind(found, told, parts)[0])
     later = doc > smallest[number]  # the pack itself has a smaller document with the whole stretch
     begins, counts = [first[later]], [count[later]]
     if marked:
@@ -451,7 +443,8 @@ def _removed(blob: bytes, marked: list[bytes], with_kept: bool, told: list[tuple
         order = np.argsort(of, kind="stable")
         of, offset, n = of[order], offset[order], n[order]
         own = np.flatnonzero(~later)
-        lo, hi = np.searchsorted(of, number[own]), np.searchsorted(of, number[own], side="right")
+        named = name[number[own]]
+        lo, hi = np.searchsorted(of, named), np.searchsorted(of, named, side="right")
         times = hi - lo
         run = np.arange(times.sum()) + np.repeat(lo - np.concatenate(([0], np.cumsum(times)[:-1])), times)
         begins.append(np.repeat(first[own], times) + offset[run])
