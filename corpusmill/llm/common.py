@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: The ASCII white space that the word and line rules strip: \x20 and \x09 to \x0D.
@@ -66,6 +67,13 @@ def unused(docs: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def mapped(docs: DataFrame, run, name: str, kind: T.DataType) -> DataFrame:
+    """The columns of docs, whatever their names, and the column `name`, by mapInArrow(run); run sees columns c0, c1, ..."""
+    plain = [f"c{k}" for k in range(len(docs.columns))]
+    schema = T.StructType([*[T.StructField(p, f.dataType) for p, f in zip(plain, docs.schema, strict=True)], T.StructField(name, kind)])
+    return docs.toDF(*plain).mapInArrow(run, schema).toDF(*docs.columns, name)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once although body uses it in lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)

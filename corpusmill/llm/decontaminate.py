@@ -4,8 +4,9 @@ The normalised windows of the benchmark are broadcast as a set of hashes; each d
 verified word for word, and hit spans or whole documents are removed.
 
 Scale: documents are never shuffled; each is scanned where it is read. What is broadcast is bounded: the benchmark's size
-is measured first, and one larger than BLOCK_BYTES is split by item into blocks that are broadcast one after the other,
-each scanned against all documents in the same pass over the rows (a stated query set against all rows, in blocks).
+is measured first, and one larger than BLOCK_BYTES is split by item into blocks, of which one is gathered and broadcast at
+a time, in a pass of its own over all documents (a stated query set against all rows, in blocks). A pass after the first
+reads what the last one wrote: the rows with the words that were hit and the items that were found so far.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, table
+from .common import columns_but, documents, mapped, quoted, table, unused, written
 
 WINDOW = 10
-#: Benchmark text in one broadcast block.
-BLOCK_BYTES = 32 << 20
+#: Benchmark text in one broadcast block; a worker needs about a hundred bytes for each.
+BLOCK_BYTES = 1 << 20
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -80,13 +81,14 @@ def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> list[tuple[dict, dict, dict]]:
-    """The benchmark in blocks of about block_bytes of text, each gathered on its own after its size is known."""
-    items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("text is not null")
+def blocks_of(benchmark: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[tuple[dict, dict, dict], bool]]:
+    """The benchmark in blocks of about block_bytes of text, each gathered when it is asked for, and whether it is the last."""
+    items = benchmark.select(F.col(quoted(id_col)).cast("string").alias("item"), F.col(quoted(text_col)).alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / block_bytes))
     part = F.pmod(F.xxhash64("item"), F.lit(n))
-    return [windows_of([(x["item"], words_of(x["text"])) for x in items.where(part == k).collect()]) for k in range(n)]
+    for k in range(n):
+        yield windows_of([(x["item"], words_of(x["text"])) for x in items.where(part == k).collect()]), k == n - 1
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_bytes: int = BLOCK_BYTES, mask: bool = False) -> DataFrame:
@@ -98,27 +100,41 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     listed. Rows are looked at one by one: repeated rows repeat their result, empty tables give an empty or clean one.
     An own column named `contamination` is replaced.
     """
-    spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in blocks_of(benchmark, item_col, item_text, block_bytes)]
-    rest = [c for c in docs.columns if c != "contamination"]
-    kind = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items", "string").add("clean_text", "string")
-    schema = T.StructType([*[docs.schema[c] for c in rest], T.StructField("contamination", kind)])
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text in batch.column(rest.index(text_col)).to_pylist():
-                words, found = words_of(text), set()
-                hit = np.zeros(len(words), bool)
-                for b in sent:
-                    scan_windows(b.value, words, hit, found)
-                out.append({"n_words": len(words), "n_hit": int(hit.sum()), "n_items": len(found), "items": ",".join(sorted(found)), "clean_text": without(text, hit) if mask and hit.any() else text if mask else None})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _ARROW)], names=[*rest, "contamination"])
-
-    return docs.select(*rest).mapInArrow(scan, schema)
-
-
-_ARROW = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.string()), ("clean_text", pa.string())])
+    out = docs.select(*columns_but(docs, "contamination"))
+    n, at = len(out.columns), out.columns.index(text_col)
+    final = T.StructType().add("n_words", "long").add("n_hit", "long").add("n_items", "long").add("items", "string").add("clean_text", "string")
+    so_far = T.StructType().add("hit", "binary").add("found", T.ArrayType(T.StringType()))
+
+    def scan(block, first: bool, last: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = []
+                before = [None] * batch.num_rows if first else batch.column(n).to_pylist()
+                for text, old in zip(batch.column(at).to_pylist(), before, strict=True):
+                    words = words_of(text)
+                    hit, found = (np.zeros(len(words), bool), set()) if first else (np.unpackbits(np.frombuffer(old["hit"], np.uint8), count=len(words)).astype(bool), set(old["found"]))
+                    scan_windows(block.value, words, hit, found)
+                    if last:
+                        clean = (without(text, hit) if hit.any() else text) if mask else None
+                        rows.append({"n_words": len(words), "n_hit": int(hit.sum()), "n_items": len(found), "items": ",".join(sorted(found)), "clean_text": clean})
+                    else:
+                        rows.append({"hit": np.packbits(hit).tobytes(), "found": sorted(found)})
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, _FINAL if last else _SO_FAR)], names=[*batch.schema.names, new])
+
+        return run
+
+    first, (new,) = True, unused(docs, "next")
+    for block, last in blocks_of(benchmark, item_col, item_text, block_bytes):
+        run = scan(docs.sparkSession.sparkContext.broadcast(block), first, last)
+        out = mapped(out, run, new, final if last else so_far)
+        out = out.select(*columns_but(docs, "contamination"), F.col(new).alias("contamination"))
+        if not last:
+            out, first = written(out, "scanned"), False
+    return out
+
+
+_FINAL = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.string()), ("clean_text", pa.string())])
+_SO_FAR = pa.struct([("hit", pa.binary()), ("found", pa.list_(pa.string()))])
 
 
 def without(text: str, hit: np.ndarray) -> str:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, whole
+from .common import let, quoted, whole
 
 #: Buckets of words, of word pairs, and of both.
 WORD_BUCKETS, PAIR_BUCKETS = 1 << 20, 1 << 16
@@ -57,7 +57,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -
     Without documents or target words all ratios are 0.
     """
     fit = sample.where(F.col("__good") & (F.col("__fold") == 0)).select("__id", F.lit(1).alias("__fit"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(fit), "__id", "left")
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(F.broadcast(fit), "__id", "left")
     grams = rows.select("__fit", F.explode(let(hashes_of(F.col("__text")), buckets_of)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("__fit").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0)

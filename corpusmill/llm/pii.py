@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from functools import reduce
+from itertools import groupby
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -18,8 +19,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, let, whole
-from .spans import SPAN, found, listed, n_of, ordered
+from .common import columns_but, documents, let, quoted, whole
+from .spans import found, listed, n_of, ordered
 
 KINDS = ["email", "ip", "card", "phone"]
 # The contract's patterns, possessive where nothing can be given back, and a match begins at the start of
@@ -37,6 +38,8 @@ MORE = [
 ]
 CUES = [r"(?i)mail|contact|write|reach", r"(?i)\bip\b|host|addr|server|login", r"(?i)card|visa|credit|pay|debit", r"(?i)tel|phone|call|mobile|fax|cell"]
 NOT_CUES = r"(?i)order|ref\b|invoice|version|isbn|serial|\bid\b|date|page|total|[#$€£]\s*$"
+#: Endings that make a mail address likely.
+ENDINGS = "com|org|net|edu|gov|info|io|eu|de|fr|es|it|uk|ch|at|nl|be|pl|pt|se"
 FEATURES = ["kind", "digits", "length", "marks", "luhn", "cue", "other", "bracket", "zero", "apart", "variety", "suffix"]
 #: Made-up spans for fitting and calibration; the precision that a threshold must reach on the held-out third.
 TRAIN_ROWS, PRECISION = 3000, 0.95
@@ -83,7 +86,7 @@ def features(s: Column) -> dict[str, Column]:
     values = [
         s["kind"].cast("double"), F.length(d).cast("double"), F.length(m).cast("double"), F.length(F.regexp_replace(m, "[0-9A-Za-z]", "")).cast("double"),
         yes(luhn(d)), yes(cue), yes(F.regexp_like(s["before"], F.lit(NOT_CUES))), yes(F.regexp_like(m, F.lit(r"[(\[]"))), yes(F.regexp_like(m, F.lit(r"^\(?0"))),
-        yes(F.regexp_like(s["before"], F.lit(r"(?:^|[\s:=,;(])$"))), F.size(F.array_distinct(F.split(d, ""))).cast("double"), yes(F.regexp_like(m, F.lit(r"(?:\.|(?:dot|DOT)[\])]?\x20?)[a-z]{2,4}$"))),
+        yes(F.regexp_like(s["before"], F.lit(r"(?:^|[\s:=,;(])$"))), F.size(F.array_distinct(F.split(d, ""))).cast("double"), yes(F.regexp_like(m, F.lit(rf"(?:\.|(?:dot|DOT)[\])]?\x20?)(?:{ENDINGS})$"))),
     ]
     return dict(zip(FEATURES, values, strict=True))
 
@@ -126,11 +129,12 @@ def fit(spark: SparkSession, rows: int = TRAIN_ROWS, trees: int = 8, depth: int
     for x in held.collect():  # a third of TRAIN_ROWS
         ranked[int(x["kind"])].append((x["score"], x["label"]))
     for k, pairs in ranked.items():
-        right = 0.0
-        for i, (score, label) in enumerate(sorted(pairs, reverse=True), 1):
-            right += label
-            if right / i >= PRECISION and score > 0:
-                cuts[k] = score / 2  # rawPrediction is twice the sum of the trees
+        right = n = 0.0
+        for score, own in groupby(sorted(pairs, reverse=True), key=lambda x: x[0]):  # equal scores stay together
+            labels = [label for _, label in own]
+            right, n = right + sum(labels), n + len(labels)
+            if right / n >= PRECISION and score > 0:
+                cuts[k] = score
     return [(w, _tree(t.toDebugString)) for t, w in zip(model.trees, model.treeWeights, strict=True)], cuts
 
 
@@ -182,12 +186,10 @@ def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     result and an empty table gives an empty one. An own column named `pii` is replaced.
     """
     trees, cuts = fit(docs.sparkSession)
-    rest = [c for c in docs.columns if c != "pii"]
-    text = whole(F.col(text_col))
+    text = whole(F.col(quoted(text_col)))
     both = F.struct(base_spans(text).alias("b"), candidates(text).alias("m"))
     pii = let(both, lambda x: F.struct(x["b"].alias("base"), select_spans(x["b"], x["m"], trees, cuts).alias("spans")))
-    none = F.struct(F.array().cast(SPAN).alias("base"), F.array().cast(SPAN).alias("spans"))
-    return docs.select(*rest, F.when(F.regexp_like(text, F.lit(r"[0-9@]|\b(?:at|AT)\b")), pii).otherwise(none).alias("pii"))
+    return docs.select(*columns_but(docs, "pii"), pii.alias("pii"))
 
 
 def redacted(text: Column, spans: Column) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import documents, table, written
+from .common import columns_but, documents, mapped, quoted, table, written
 from .encoding import slices
 from .ngram_lm import MAX_LABELS, best_cut, labelled_sample
 
@@ -67,7 +67,7 @@ def slots_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all documents, and of the trusted ones of fold 0, by bucket."""
     fit = sample.where(F.col("__good") & (F.col("__fold") == 0)).select("__id", F.lit(True).alias("__fit"))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("__text")).join(F.broadcast(fit), "__id", "left").select("__text", "__fit")
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).cast("string").alias("__text")).join(F.broadcast(fit), "__id", "left").select("__text", "__fit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, both = hasher(), np.zeros((2, 2 * SLOTS), np.uint32)
@@ -122,7 +122,8 @@ def gumbel(doc: int | None, text: str | None, seed: int) -> float:
 def score_documents(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
     """All columns of docs and the struct `resample` (n_words, score, noise). score: nats a word; 0 without words."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
-    rest = [c for c in docs.columns if c != "resample"]
+    own = docs.select(*columns_but(docs, "resample"))
+    rest = own.columns
     kind = T.StructType().add("n_words", "long").add("score", "double").add("noise", "double")
     arrow = pa.struct([("n_words", pa.int64()), ("score", pa.float64()), ("noise", pa.float64())])
     doc_at, text_at = rest.index(id_col), rest.index(text_col)
@@ -136,9 +137,9 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col:
                 one, two = slots_of(h)
                 total = float(table_[one].sum(dtype=np.float64) + table_[two].sum(dtype=np.float64))
                 out.append({"n_words": len(h), "score": total / max(1, len(h)), "noise": gumbel(doc, text, seed)})
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*rest, "resample"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, "resample"])
 
-    return docs.select(*rest).mapInArrow(score, T.StructType([*[docs.schema[c] for c in rest], T.StructField("resample", kind)]))
+    return mapped(own, score, "resample", kind)
 
 
 def kth_largest(keys: DataFrame, key: str, k: int) -> float:
@@ -171,7 +172,7 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     """
     sample = written(labelled_sample(labels, (F.col("quality") == 1) & (F.col("toxic") == 0), max_labels), "sample")
     ratios = log_ratios(*gram_counts(docs, sample, id_col, text_col))
-    held = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(sample.where("__fold = 1")), "__id")
+    held = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(F.broadcast(sample.where("__fold = 1")), "__id")
     held = score_documents(held.select("__id", "__text", "__good"), ratios, "__id", "__text").select("__good", (F.col("resample.score") * 1e3).alias("s"))
     held = written(held, "held")  # its texts are scored once
     cut, middle = best_cut(held, "__good", "s", keep).first()["cut"], held.where("__good").agg(F.median("s")).first()[0]

@@ -15,7 +15,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fresh_path, whole
+from .common import columns_but, documents, fresh_path, quoted, whole
 from .spans import found, listed, n_of, ordered
 
 # The contract's patterns. Quantifiers that cannot give back are possessive, so that no text is quadratic.
@@ -54,9 +54,9 @@ def scan_versions(versions: DataFrame, ledger: str, text_col: str = "text", rule
     one blob and keep all their rows; an empty table adds nothing. Own columns named `blob` or `secrets` are replaced.
     """
     spark = versions.sparkSession
-    rest = [c for c in versions.columns if c not in ("blob", "secrets")]
-    addressed = versions.select(*rest, F.sha2(whole(F.col(text_col)), 256).alias("blob"))
-    texts = addressed.select("blob", whole(F.col(text_col)).alias("text"))
+    blob, rest = F.sha2(whole(F.col(quoted(text_col))), 256).alias("blob"), columns_but(versions, "blob", "secrets")
+    addressed = versions.select(*rest, blob)
+    texts = versions.select(blob, whole(F.col(quoted(text_col))).alias("text"))
     try:
         seen = spark.read.parquet(ledger).where(F.col("rules") == rules).select("blob")
         texts = texts.join(seen, "blob", "left_anti")
@@ -65,7 +65,8 @@ def scan_versions(versions: DataFrame, ledger: str, text_col: str = "text", rule
             raise
     unseen = texts.groupBy("blob").agg(F.first("text").alias("text"))
     scan_blobs(unseen).select("blob", F.when(F.size("spans") > 0, F.struct("base", "spans")).alias("secrets"), F.lit(rules).alias("rules")).write.mode("append").parquet(ledger)
-    hits = spark.read.parquet(ledger).where((F.col("rules") == rules) & F.col("secrets").isNotNull()).select("blob", "secrets")
+    # Two scans at once, or one that is run again after a failure, may each have added a blob.
+    hits = spark.read.parquet(ledger).where((F.col("rules") == rules) & F.col("secrets").isNotNull()).select("blob", "secrets").dropDuplicates(["blob"])
     none = F.array().cast("array<struct<start:int,kind:int,stop:int>>")
     out = addressed.join(hits, "blob", "left")
     return out.select(*rest, "blob", F.coalesce("secrets", F.struct(none.alias("base"), none.alias("spans"))).alias("secrets"))

@@ -11,7 +11,7 @@ DOCS = "doc_id long, text string, lang string, n long"
 LABELS = "doc_id long, quality int, toxic int"
 LINE = "a line that two documents share"
 ROWS = [(1, LINE + "\nown", "en", 1), (1, LINE + "\nown", "en", 1), (2, LINE, None, None), (None, LINE, "en", 2), (3, None, "en", 3), (4, "", None, None), (5, "x " * 400, "de", 5)]
-CLASH = ["pii", "secrets", "blob", "contamination", "line_dedup", "quality", "resample", "key", "score", "part", "shingle", "id", "a", "b", "kept"]
+CLASH = ["secrets", "blob", "contamination", "line_dedup", "quality", "resample", "key", "score", "part", "shingle", "id", "a", "b", "kept", "a.b", "__pos", "__score", "__q", "__ratios", "pos", "row", "of", "found", "ratios", "__id", "__text", "hit", "PII", "x`y"]
 
 
 @pytest.fixture(scope="module")
@@ -73,6 +73,26 @@ def test_ledger_scans_only_unseen(spark):
     assert spark.read.parquet(ledger).count() == 2 and len(first) == 2 and sum(bool(r["secrets"]["base"]) for r in again) == 2
 
 
+def test_ledger_with_a_blob_twice(spark):
+    ledger, docs = fresh_path(spark, "ledger"), spark.createDataFrame([(1, "token: abcdefghijklmnop"), (2, "x")], "doc_id long, text string")
+    secret_scan.scan_versions(docs, ledger).count()
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "2")
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "2")
+    assert secret_scan.scan_versions(docs, ledger + "2").count() == 2
+
+
+def test_contamination_in_blocks(spark, sf):
+    docs, bench = (spark.read.parquet(f"{sf}/{x}.parquet") for x in ("documents", "benchmark"))
+    one, many = ({r["doc_id"]: r["contamination"] for r in decontaminate.contamination(docs, bench, mask=True, block_bytes=b).collect()} for b in (1 << 20, 2000))
+    assert one == many and any(c["n_hit"] for c in one.values())
+
+
+def test_addresses_of_letters_are_found_whatever_else_the_text_holds(spark):
+    rows = [(i, t + more) for i, (t, more) in enumerate((t, m) for t in ("host dead:beef:cafe:babe:feed:face:bead:fade", "mail ann [at] example [dot] org") for m in ("", " 7"))]
+    out = {r["doc_id"]: len(r["pii"]["spans"]) for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[0] == out[1] and out[2] == out[3] == 1
+
+
 def test_file_reads_some_and_notices_damage(spark, tmp_path):
     docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
     manifest = token_files.write_token_files(docs, f"file://{tmp_path}", tokenizer_path("byte_bpe_50k.json"), frame_bytes=64)
