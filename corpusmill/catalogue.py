@@ -16,7 +16,6 @@ from .functions import text as X
 from .operators import corpus, governance, graph, observability, search, versions
 from .sources.tables import read
 
-QUERY_TEXTS = [(0, "the and tion ing"), (1, "lich und ung die"), (2, "ment eau the the")]
 NOW = "2024-01-31 00:00:00"
 #: Domain rules: domain, priority, keywords.
 RULES = [("legal", 2, ["license", "warranty", "copyright"]), ("access", 2, ["password", "token", "secret"]), ("speech", 1, ["tion", "lich", "ment", "ción"])]
@@ -43,8 +42,9 @@ LOG = """log AS (SELECT event_id AS query_id, user_id % 10 AS project_id, ts AS
   'query' || (CAST(json_extract_string(props, '$.k') AS BIGINT) % 20) AS query_text, event_type, value FROM events)"""
 
 
-def query_texts(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUERY_TEXTS, "query_id long, query string")
+def query_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The stated queries: benchmark items whose id is divisible by 20."""
+    return read(spark, d, "benchmark").where("item_id % 20 = 0").select(F.col("item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def path_of() -> F.Column:
@@ -52,15 +52,15 @@ def path_of() -> F.Column:
 
 
 def corpus_rows(spark: SparkSession, d: str) -> DataFrame:
-    """documents with density, age in days, redundancy, proposed decision and confidence, all made from their columns."""
+    """All documents with density, age in days, redundancy, proposed decision and confidence, all made from their columns."""
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
     density = F.least(F.length("text") / 500.0, F.lit(10.0))
     proposed = F.when(F.col("toxic") == 1, "DISCARD").when(F.col("quality") == 0, "ARCHIVE").otherwise("KEEP")
-    return docs.join(labels, "doc_id").select("doc_id", density.alias("density"), (F.col("doc_id") % 900).alias("age"), ((F.col("doc_id") % 4) / 4.0).alias("redundancy"), proposed.alias("proposed"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
+    return docs.join(labels, "doc_id", "left").select("doc_id", density.alias("density"), (F.col("doc_id") % 900).alias("age"), ((F.col("doc_id") % 4) / 4.0).alias("redundancy"), proposed.alias("proposed"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
 
 
 CORPUS = """c AS (SELECT d.doc_id, least(length(text) / 500.0::DOUBLE, 10.0::DOUBLE) AS density, d.doc_id % 900 AS age, (d.doc_id % 4) / 4.0::DOUBLE AS redundancy,
-  CASE WHEN toxic = 1 THEN 'DISCARD' WHEN quality = 0 THEN 'ARCHIVE' ELSE 'KEEP' END AS proposed, (d.doc_id % 10) / 10.0::DOUBLE AS confidence FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+  CASE WHEN toxic = 1 THEN 'DISCARD' WHEN quality = 0 THEN 'ARCHIVE' ELSE 'KEEP' END AS proposed, (d.doc_id % 10) / 10.0::DOUBLE AS confidence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 kpi AS (SELECT *, round((greatest(least(density / 10, 1.0::DOUBLE), 0.0::DOUBLE) * 0.6::DOUBLE + (1 - least(age::DOUBLE / 730, 1.0::DOUBLE)) * 0.4::DOUBLE) / (redundancy + 1), 4) AS kpi FROM c)"""
 
 
@@ -80,10 +80,9 @@ def kpi_of() -> F.Column:
 
 # ---- search
 
-VALUES = ", ".join(f"({i}, '{q}')" for i, q in QUERY_TEXTS)
-BM25 = f"""q AS (SELECT query_id::BIGINT AS query_id, query FROM (VALUES {VALUES}) t(query_id, query)),
-qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z]{{2,}}')) AS term FROM q) GROUP BY ALL),
-tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{{2,}}') AS tokens FROM documents),
+BM25 = """q AS (SELECT item_id AS query_id, coalesce(text, '') AS query FROM benchmark WHERE item_id % 20 = 0),
+qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest(regexp_extract_all(lower(query), '[a-z]{2,}')) AS term FROM q) GROUP BY ALL),
+tok AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]{2,}') AS tokens FROM documents),
 stats AS (SELECT count(*) AS n, avg(len(tokens)) AS mean FROM tok),
 post AS (SELECT doc_id, any_value(len) AS len, term, count(*) AS tf FROM (SELECT doc_id, len(tokens) AS len, unnest(tokens) AS term FROM tok) WHERE term IN (SELECT term FROM qt) GROUP BY doc_id, term),
 df AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -92,16 +91,16 @@ bm AS (SELECT query_id, doc_id, round(raw / max(raw) OVER (PARTITION BY query_id
 
 
 def bm25_search(spark, d):
-    return search.bm25(read(spark, d, "documents"), query_texts(spark)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
+    return search.bm25(read(spark, d, "documents"), query_texts(spark, d)).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def rerank_terms(spark, d):
-    docs, queries = read(spark, d, "documents"), query_texts(spark)
+    docs, queries = read(spark, d, "documents"), query_texts(spark, d)
     return search.rerank(search.bm25(docs, queries), docs, queries).select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def query_vectors(spark, d):
-    return read(spark, d, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
+    return read(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vector"))
 
 
 def vector_topk(spark, d):
@@ -113,20 +112,20 @@ def vector_topk_filtered(spark, d):
 
 
 def near_sql(where: str, k: int) -> str:
-    return f"""vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id < 10),
+    return f"""vq AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id % 20 = 0),
 vs AS (SELECT query_id, vec_id AS id, round(greatest(least(list_cosine_similarity(embedding::DOUBLE[], qv), 1.0::DOUBLE), 0.0::DOUBLE), 6) AS score FROM embeddings, vq WHERE vec_id <> query_id AND {where}),
 near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM vs) WHERE rank <= {k})"""
 
 
 def hybrid_search(spark, d):
     docs = read(spark, d, "documents")
-    hits = search.nearest(read(spark, d, "embeddings"), query_vectors(spark, d).where("query_id < 3"), k=30).withColumnRenamed("id", "doc_id")
-    keyword = search.bm25(docs, query_texts(spark), k=None)
+    hits = search.nearest(read(spark, d, "embeddings"), query_vectors(spark, d), k=30).withColumnRenamed("id", "doc_id")
+    keyword = search.bm25(docs, query_texts(spark, d), k=None)
     out = search.hybrid(hits, keyword, docs.select("doc_id", path_of().alias("path")), F.lit("en/src1"))
     return out.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-HYBRID = f"""WITH {BM25}, {near_sql("query_id < 3", 30)},
+HYBRID = f"""WITH {BM25}, {near_sql("TRUE", 30)},
 h AS (SELECT n.query_id, n.id AS doc_id, n.score AS vector, coalesce(bm.score, 0.0::DOUBLE) AS keyword, lang || '/' || source AS path
   FROM near n JOIN documents d ON d.doc_id = n.id LEFT JOIN bm ON bm.query_id = n.query_id AND bm.doc_id = n.id),
 s AS (SELECT query_id, doc_id, round(0.15::DOUBLE * CASE WHEN path = 'en/src1' THEN 1.0 WHEN starts_with(path, 'en/') THEN 0.4 ELSE 0.1 END + 0.25::DOUBLE * 0.1::DOUBLE + 0.25::DOUBLE * keyword + 0.35::DOUBLE * vector, 4) AS score FROM h)
@@ -135,14 +134,14 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score
 
 def recall_at_k(spark, d):
     e = read(spark, d, "embeddings")
-    q = e.where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     truth = q.join(e, "label").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("doc_id"))
     got = search.nearest(e, query_vectors(spark, d)).withColumnRenamed("id", "doc_id")
     return observability.recall_report(truth, got, [1, 3, 5, 10]).withColumn("k", F.col("k").cast("long"))
 
 
 RECALL = f"""WITH {near_sql("TRUE", 10)},
-truth AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id < 10),
+truth AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id FROM embeddings q JOIN embeddings e ON q.label = e.label AND q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0),
 nt AS (SELECT query_id, count(*) AS n_true FROM truth GROUP BY 1),
 ks AS (SELECT unnest([1, 3, 5, 10]) AS k),
 g AS (SELECT n.query_id, k, count(*) AS n_got, count(t.doc_id) AS n_hit, min(CASE WHEN t.doc_id IS NOT NULL THEN rank END) AS first FROM near n JOIN ks ON rank <= k LEFT JOIN truth t ON t.query_id = n.query_id AND t.doc_id = n.id GROUP BY ALL)
@@ -294,7 +293,7 @@ def catalog_rollup(spark, d):
 
 
 def domain_count_one_level(spark, d):
-    return governance.own_and_parent(read(spark, d, "documents"), path_of())
+    return governance.own_and_parent(read(spark, d, "documents"), F.concat_ws("/", "lang", "source", (F.col("doc_id") % 3).cast("string")))
 
 
 def levelled(spark, d):
@@ -490,7 +489,7 @@ def link_components(spark, d):
 
 def entity_resolution(spark, d):
     parts = read(spark, d, "part").groupBy(F.concat_ws(" ", "p_name", "p_brand").alias("name"), F.col("p_type").alias("type")).agg(F.min("p_partkey").alias("id"))
-    return graph.merge_candidates(parts.withColumn("head", F.left("name", F.lit(5))), ["type", "head"])
+    return graph.merge_candidates(parts, ["type"])
 
 
 def ontology_diff(spark, d):
@@ -551,7 +550,7 @@ DOC_LEVELS = "lv AS (SELECT doc_id, doc_id % 4 AS r, ['PUBLIC', 'INTERNAL', 'CON
 
 ORACLE_SQL = {
     "bm25_search": f"WITH {BM25} SELECT * FROM bm WHERE rank <= 10",
-    "rerank_terms": f"""WITH {BM25}, w AS (SELECT DISTINCT query_id, unnest(string_split(lower(query), ' ')) AS w FROM q),
+    "rerank_terms": f"""WITH {BM25}, w AS (SELECT * FROM (SELECT DISTINCT query_id, unnest(regexp_split_to_array(lower(query), '\\s+')) AS w FROM q) WHERE w <> ''),
 s AS (SELECT bm.query_id, bm.doc_id, round(any_value(bm.score) + 0.02::DOUBLE * count(*) FILTER (WHERE contains(lower(text), w)), 4) AS score FROM bm JOIN documents d USING (doc_id) JOIN w ON w.query_id = bm.query_id WHERE bm.rank <= 10 GROUP BY ALL)
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s""",
     "vector_topk": f"WITH {near_sql('TRUE', 10)} SELECT * FROM near",
@@ -574,7 +573,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
     "dashboard": f"SELECT q.project_id, q.total, q.hit_rate, q.useful_rate, d.approval_rate, w.alert AS useful_alert FROM ({QUERY_AGG}) q FULL JOIN ({DECISIONS}) d ON q.project_id = d.project_id LEFT JOIN ({WINDOWS}) w ON w.project_id = q.project_id",
     "corpus_stats": "SELECT source, lang, count(*) AS n, count(*) FILTER (WHERE quality = 1) AS n_good, sum(n_chars)::BIGINT AS chars, grouping(source, lang)::BIGINT AS level FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY CUBE (source, lang)",
     "catalog_rollup": "SELECT path, count(*) AS n FROM (SELECT lang AS path FROM documents UNION ALL SELECT lang || '/' || source FROM documents) GROUP BY 1",
-    "domain_count_one_level": "SELECT path, count(*) AS n FROM (SELECT lang AS path FROM documents UNION ALL SELECT lang || '/' || source FROM documents) GROUP BY 1",
+    "domain_count_one_level": "SELECT path, count(*) AS n FROM (SELECT lang || '/' || source || '/' || (doc_id % 3) AS path FROM documents UNION ALL SELECT lang || '/' || source FROM documents) GROUP BY 1",
     "rbac_filter": f"WITH {DOC_LEVELS} SELECT doc_id, level FROM lv WHERE r <= 2 AND (r < 2 OR dept IS NULL OR dept = 'src1')",
     "datascope_descendants": "WITH RECURSIVE t AS (SELECT 'r' || r_regionkey AS id, 'world' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation), b AS (SELECT id FROM t WHERE id = 'r1' UNION SELECT t.id FROM b JOIN t ON t.parent = b.id) SELECT c_custkey FROM customer WHERE 'n' || c_nationkey IN (SELECT id FROM b)",
     "queue_matrix": f"WITH {QUEUE} SELECT s AS workstation, r AS role, count(id) AS n FROM (SELECT unnest({STATIONS}) AS s) CROSS JOIN (SELECT unnest({ROLES}) AS r) LEFT JOIN items ON workstation = s AND role = r AND status IN ('pending', 'reviewing') GROUP BY ALL",
@@ -599,12 +598,12 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
     "page_text": PAGES,
     "edge_merge": "SELECT o_custkey AS customer, l_partkey AS part, count(*) AS weight FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL",
     "node_merge": "SELECT trim(lower(p_name)) AS node, arg_min(p_type, p_partkey) AS type, count(DISTINCT p_partkey) AS n_docs FROM part GROUP BY 1",
-    "shared_entity_docs": "WITH b AS (SELECT DISTINCT l_suppkey AS doc, l_partkey AS entity FROM lineitem), r AS (SELECT entity FROM b GROUP BY 1 HAVING count(*) <= 200), c AS (SELECT * FROM b WHERE entity IN (SELECT entity FROM r)) SELECT x.doc AS a, y.doc AS b, count(*) AS n_shared FROM c x JOIN c y ON x.entity = y.entity AND x.doc < y.doc GROUP BY ALL",
+    "shared_entity_docs": "WITH b AS (SELECT DISTINCT l_suppkey AS doc, l_partkey AS entity FROM lineitem), c AS (SELECT * FROM b) SELECT x.doc AS a, y.doc AS b, count(*) AS n_shared FROM c x JOIN c y ON x.entity = y.entity AND x.doc < y.doc GROUP BY ALL",
     "degree_centrality": "WITH e AS (SELECT DISTINCT 's' || l_suppkey AS a, 'p' || l_partkey AS b FROM lineitem), d AS (SELECT node, count(*) AS degree FROM (SELECT a AS node FROM e UNION ALL SELECT b FROM e) GROUP BY 1) SELECT node, degree, round(degree::DOUBLE / (count(*) OVER () - 1), 6) AS centrality, round(5 + 17.0::DOUBLE * degree / max(degree) OVER (), 4) AS size FROM d",
     "shortest_path": PATHS,
     "blast_radius": "WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier), w(start, node, h) AS (SELECT 'r1', 'r1', 0 UNION SELECT start, e.b, h + 1 FROM w JOIN e ON e.a = w.node WHERE h < 3) SELECT start, node, min(h)::BIGINT AS hops FROM w GROUP BY ALL",
     "link_components": "SELECT n_chars AS node, n_chars AS component FROM documents UNION SELECT doc_id + 100000000, n_chars FROM documents",
-    "entity_resolution": "WITH p AS (SELECT p_name || ' ' || p_brand AS name, p_type AS type, min(p_partkey) AS id FROM part GROUP BY ALL), s AS (SELECT x.id AS a, y.id AS b, round(1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE, 6) AS score FROM p x JOIN p y ON x.type = y.type AND left(x.name, 5) = left(y.name, 5) AND x.id < y.id) SELECT * FROM s WHERE score >= 0.85 ORDER BY score DESC, a, b LIMIT 1000",
+    "entity_resolution": "WITH p AS (SELECT p_name || ' ' || p_brand AS name, p_type AS type, min(p_partkey) AS id FROM part GROUP BY ALL), s AS (SELECT x.id AS a, y.id AS b, round(1 - levenshtein(x.name, y.name) / greatest(length(x.name), length(y.name))::DOUBLE, 6) AS score FROM p x JOIN p y ON x.type = y.type AND x.id < y.id) SELECT * FROM s WHERE score >= 0.85 ORDER BY score DESC, a, b LIMIT 1000",
     "ontology_diff": "WITH o AS (SELECT p_partkey, p_size FROM part WHERE p_partkey % 7 <> 0), n AS (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN p_size + 1 ELSE p_size END AS p_size FROM part WHERE p_partkey % 11 <> 0), j AS (SELECT coalesce(o.p_partkey, n.p_partkey) AS p_partkey, CASE WHEN o.p_partkey IS NULL THEN 'added' WHEN n.p_partkey IS NULL THEN 'removed' WHEN o.p_size <> n.p_size THEN 'modified' END AS change FROM o FULL JOIN n ON o.p_partkey = n.p_partkey) SELECT * FROM j WHERE change IS NOT NULL",
     "as_of_snapshot": "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderdate <= TIMESTAMP '1996-06-30' GROUP BY 1",
     "drift": "WITH c AS (SELECT l_returnflag, count(*) FILTER (WHERE l_shipdate < TIMESTAMP '1997-01-01') AS n_base, count(*) FILTER (WHERE l_shipdate >= TIMESTAMP '1997-01-01') AS n_now FROM lineitem GROUP BY 1), s AS (SELECT *, round(n_base / sum(n_base) OVER ()::DOUBLE, 4) AS share_base FROM c) SELECT *, coalesce(round((n_now - n_base) / nullif(n_base, 0)::DOUBLE, 4), 0) AS delta, share_base >= 0.1 AND n_now = 0 AS lost FROM s",

@@ -25,14 +25,24 @@ def mapping_id(category: Column, key: Column) -> Column:
     return F.concat(F.lower(F.left(category, F.lit(1))), F.left(F.sha2(F.concat_ws(":", category, key), 256), F.lit(12)))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once although body uses it in lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def search_tokens(text: Column) -> Column:
     """Runs of two or more a-z, pairs of neighbours among all CJK characters, and those characters."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    words = F.regexp_extract_all(low, F.lit("([a-z]{2,})"), F.lit(1))
-    cjk = F.split(F.regexp_replace(low, "[^一-鿿]", ""), "")
-    cjk = F.filter(cjk, lambda c: c != "")
-    pairs = F.filter(F.zip_with(cjk, F.slice(cjk, 2, F.greatest(F.size(cjk), F.lit(1))), lambda a, b: F.concat(a, b)), lambda p: p.isNotNull())
-    return F.concat(words, pairs, cjk)
+
+    def with_pairs(cjk: Column) -> Column:
+        pairs = F.zip_with(cjk, F.slice(cjk, 2, F.greatest(F.size(cjk), F.lit(1))), lambda a, b: F.concat(a, b))
+        return F.concat(F.filter(pairs, lambda p: p.isNotNull()), cjk)
+
+    def tokens(low: Column) -> Column:
+        words = F.regexp_extract_all(low, F.lit("([a-z]{2,})"), F.lit(1))
+        cjk = F.filter(F.split(F.regexp_replace(low, "[^一-鿿]", ""), ""), lambda c: c != "")
+        return F.when(F.regexp_like(low, F.lit("[一-鿿]")), F.concat(words, let(cjk, with_pairs))).otherwise(words)
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), tokens)
 
 
 def title_key(title: Column) -> Column:

@@ -92,7 +92,7 @@ def components(links: DataFrame) -> DataFrame:
 def merge_candidates(entities: DataFrame, block: list[str], least: float = 0.85, most: int = 1000) -> DataFrame:
     """a, b, score of entities (id, name) of one block whose names are alike, the best first.
 
-    Pairs are made inside a block only; blocks should be narrow (a type and a few first characters). The result is a
+    Pairs are made inside a block only (a type); names whose lengths differ too much are not compared. The result is a
     report of the `most` best.
     """
     left = entities.select(*block, F.col("id").alias("a"), F.col("name").alias("an"))

@@ -5,34 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import catalog_weight, cosine, fused
-from ..functions.text import search_tokens
+from ..functions.scores import catalog_weight, fused
+from ..functions.text import let, search_tokens
+from ..sources.tables import saved
 
 K1, B = 1.5, 0.75
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, doc_id, score (over the query's best), rank of the k best documents of each query.
+    """query_id, doc_id, score (over the query's best), rank of the k best documents of each query; k None: all, without rank.
 
-    queries: query_id, query. A term that a query repeats counts again. Only the queries' terms are counted and
-    shuffled: document lengths are taken where the texts are read, and a term's postings meet nowhere but in the join,
-    which carries (document, term, count).
+    queries: query_id, query; a stated set. A term that a query repeats counts again. Texts are read and tokenised once:
+    each document leaves one row with its length, and one for each of the queries' terms that it has. That small table is
+    written, and sizes, document frequencies and scores come from it.
     """
     terms = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = F.broadcast(terms.select("term").distinct())  # the stated queries' terms
-    tokens = docs.select(F.col(id_col).alias("doc_id"), search_tokens(F.col(text_col)).alias("tokens")).withColumn("length", F.size("tokens"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    postings = tokens.select("doc_id", "length", F.explode("tokens").alias("term")).join(wanted, "term").groupBy("doc_id", "length", "term").agg(F.count("*").alias("tf"))
+    wanted = terms.select("term", F.col("term").alias("known")).distinct()
+    every = let(search_tokens(F.col(text_col)), lambda t: F.transform(F.concat(t, F.array(F.lit(""))), lambda w: F.struct(w.alias("term"), F.size(t).alias("length"))))
+    tokens = docs.select(F.col(id_col).alias("doc_id"), F.explode(every).alias("x")).select("doc_id", "x.term", "x.length")
+    counts = saved(tokens.join(wanted, "term", "left").groupBy("doc_id", "length", F.col("known").alias("term")).agg(F.count("*").alias("tf")), "postings")
+    stats = counts.where("term is null").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    postings = counts.where("term is not null")
     df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(F.broadcast(df), "term").join(F.broadcast(terms), "term").join(F.broadcast(stats))
+    scored = postings.join(df, "term").join(terms, "term").withColumns({"n": stats.select("n").scalar(), "mean": stats.select("mean").scalar()})
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scores = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 8).alias("raw"))
-    best = scores.groupBy("query_id").agg(F.max("raw").alias("best"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id"))
-    out = scores.join(F.broadcast(best), "query_id").withColumn("rank", rank)
-    out = out if k is None else out.where(F.col("rank") <= k)
-    return out.select("query_id", "doc_id", F.round(F.col("raw") / F.col("best"), 4).alias("score"), "rank")
+    score = F.round(F.col("raw") / F.col("best"), 4).alias("score")
+    if k is None:
+        return scores.join(scores.groupBy("query_id").agg(F.max("raw").alias("best")), "query_id").select("query_id", "doc_id", score)
+    first = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = scores.withColumns({"rank": F.row_number().over(first), "best": F.first("raw").over(first)})  # tasks pass on k rows a query
+    return out.where(F.col("rank") <= k).select("query_id", "doc_id", score, "rank")
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -42,8 +46,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
     runs before the shuffle), so that what moves is k rows a query and task.
     """
     rows = vectors if where is None else vectors.where(where)
-    pairs = rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).join(F.broadcast(queries.select("query_id", "query_vector")))
-    scored = pairs.where("id <> query_id").select("query_id", "id", F.round(cosine(F.col("v"), F.col("query_vector")), 6).alias("score"))
+    unit = lambda c: let(c, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))))
+    asked = queries.select("query_id", unit(F.col("query_vector")).alias("q"))
+    pairs = rows.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")).join(F.broadcast(asked))  # a stated query set
+    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+    scored = pairs.where("id <> query_id").select("query_id", "id", F.round(F.least(F.greatest(F.when(F.size("v") == F.size("q"), dot).otherwise(0.0), F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 

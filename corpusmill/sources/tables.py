@@ -13,10 +13,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder all executors share (spark.checkpoint.dir; a local one of our own where it is unset)."""
+    """df written to the folder all executors share (spark.checkpoint.dir; one of our own where it is unset and the master is local)."""
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/corpusmill/{uuid.uuid4().hex}/{name}"

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusmill import catalogue
+from corpusmill import catalogue, catalogue_review
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,9 +21,12 @@ def plain(v):
     return f"{v:.6g}" if isinstance(v, float) else v.isoformat() if hasattr(v, "isoformat") else str(v)
 
 
-@pytest.mark.parametrize("name", catalogue.ORACLE_SQL)
+QUERIES, ORACLE_SQL = catalogue.QUERIES | catalogue_review.QUERIES, catalogue.ORACLE_SQL | catalogue_review.ORACLE_SQL
+
+
+@pytest.mark.parametrize("name", ORACLE_SQL)
 def test_same_rows(spark, db, name):
-    df, sql = catalogue.QUERIES[name](spark, SF), db.sql(catalogue.ORACLE_SQL[name])
+    df, sql = QUERIES[name](spark, SF), db.sql(ORACLE_SQL[name])
     columns = sorted(df.columns)
     assert columns == sorted(sql.columns)
     want = sorted(tuple(map(plain, r)) for r in sql.select(*[f'"{c}"' for c in columns]).fetchall())
