@@ -51,9 +51,11 @@ def labelled_sample(labels: DataFrame, good: Column, max_labels: int = MAX_LABEL
     return one.orderBy(F.xxhash64("__id"), "__id").limit(max_labels).withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(2)))
 
 
-def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, least: tuple[float, float] = LEAST) -> DataFrame:
     """One row with the array `ratios`: for each bucket, micro-nats of ln(target / raw). Raw: all of docs. Target: the good of fold 0.
 
+    least: the least |ln ratio| of words and of pairs that counts; (0, 0) for all.
+
     Without documents or target words all ratios are 0.
     """
     fit = sample.where(F.col("__good") & (F.col("__fold") == 0)).select("__id", F.lit(1).alias("__fit"))
@@ -69,7 +71,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -
         def of(k: int) -> Column:
             expected = F.try_divide(n["r"] * F.col(f"target{k}"), F.col(f"raw{k}"))
             value = F.log((n["t"] + PRIORS[k]) / (expected + PRIORS[k]))
-            return F.when(F.abs(value) >= LEAST[k], F.round(value * 1e6))
+            return F.when(F.abs(value) >= least[k], F.round(value * 1e6))
 
         return F.coalesce(F.when(n["b"] < WORD_BUCKETS, of(0)).otherwise(of(1)).cast("int"), F.lit(0))
 

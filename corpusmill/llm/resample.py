@@ -1,11 +1,14 @@
 """Quality classifier by importance resampling: how much likelier a document is under a hashed n-gram model of trusted
 documents than under one of the raw corpus, and a Gumbel top-k sample of the documents by that weight.
 
-Words and word pairs fall into two tables of fixed size by hash. Ratios near 1 count as 1: most buckets differ between
-the two models by chance, and their sum would drown the few words that tell documents apart. A document's log weight is
-the mean over its words. A cut on held-out labelled rows says how many documents to draw, and sets the temperature: a
-median trusted document weighs e^MARGIN times one on the cut. Adding Gumbel noise (a hash of the id) to the log weights
-and taking the largest k draws without replacement in proportion to the weights.
+Words and word pairs fall into two tables of fixed size by hash. Adding Gumbel noise (a hash of the id) to the log weights
+over a temperature and taking the largest k draws without replacement in proportion to the tempered weights.
+
+The plain form is the sum over words and pairs (per_word=False) of all log ratios (least=(0, 0)) at temperature 1. The
+defaults depart from it, for what they were measured to do (README): ratios near 1 count as 1, as most buckets differ
+between the two models by chance and drown the few words that tell documents apart; the sum is taken for each word; a cut
+on held-out labelled rows says how many documents to draw, and sets the temperature: a median trusted document weighs
+e^MARGIN times one on the cut.
 
 Scale: no text is shuffled. Each task counts in arrays of fixed size and sends them compressed; they are added up in
 PARTS tasks as they stream by. What is broadcast is the table of ratios (2 * SLOTS floats) and at most MAX_LABELS ids,
@@ -102,14 +105,14 @@ def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str)
 _PART = pa.schema([("part", pa.int32()), ("counts", pa.binary())])
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """ln(target / raw) by bucket; 0 where it is near 0, and everywhere if there is no target."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, least: tuple[float, float] = LEAST) -> np.ndarray:
+    """ln(target / raw) by bucket; 0 where it is nearer to 0 than least (words, pairs), and everywhere if there is no target."""
     out = np.zeros(2 * SLOTS, np.float32)
-    for k, (prior, least) in enumerate(zip(PRIORS, LEAST, strict=True)):
+    for k, (prior, near) in enumerate(zip(PRIORS, least, strict=True)):
         of = slice(k * SLOTS, (k + 1) * SLOTS)
         if total := target[of].sum():
             r = np.log((target[of] + prior) / (raw[of] * (total / raw[of].sum()) + prior))
-            out[of] = np.where(np.abs(r) < least, 0, r)
+            out[of] = np.where(np.abs(r) < near, 0, r)
     return out
 
 
@@ -119,8 +122,8 @@ def gumbel(doc: int | None, text: str | None, seed: int) -> float:
     return float(-np.log(-np.log((h + 0.5) / 2.0**64)))
 
 
-def score_documents(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, seed: int = 0) -> DataFrame:
-    """All columns of docs and the struct `resample` (n_words, score, noise). score: nats a word; 0 without words."""
+def score_documents(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col: str, seed: int = 0, per_word: bool = True) -> DataFrame:
+    """All columns of docs and the struct `resample` (n_words, score, noise). score: nats, for each word if per_word; 0 without words."""
     sent = docs.sparkSession.sparkContext.broadcast(ratios)
     own = docs.select(*columns_but(docs, "resample"))
     rest = own.columns
@@ -136,7 +139,7 @@ def score_documents(docs: DataFrame, ratios: np.ndarray, id_col: str, text_col:
                 h = hashes(text)
                 one, two = slots_of(h)
                 total = float(table_[one].sum(dtype=np.float64) + table_[two].sum(dtype=np.float64))
-                out.append({"n_words": len(h), "score": total / max(1, len(h)), "noise": gumbel(doc, text, seed)})
+                out.append({"n_words": len(h), "score": total / max(1, len(h)) if per_word else total, "noise": gumbel(doc, text, seed)})
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, arrow)], names=[*batch.schema.names, "resample"])
 
     return mapped(own, score, "resample", kind)
@@ -160,8 +163,8 @@ def kth_largest(keys: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, keep: float = 0.99, max_labels: int = MAX_LABELS, seed: int = 0) -> DataFrame:
-    """All columns of docs and the struct `resample` (n_words, score, key, kept).
+def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, keep: float = 0.99, max_labels: int = MAX_LABELS, seed: int = 0, least: tuple[float, float] = LEAST, per_word: bool = True, temperature: float | None = None) -> DataFrame:
+    """All columns of docs and the struct `resample` (n_words, score, key, kept). key: score / temperature + Gumbel noise.
 
     labels: id, quality, toxic; trusted is quality 1 and not toxic. The models are fitted on all documents, and on the
     trusted half of at most max_labels labelled rows; the other half sets the cut, so that at least the share keep of
@@ -171,14 +174,14 @@ def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_i
     gives an empty one. An own column named `resample` is replaced.
     """
     sample = written(labelled_sample(labels, (F.col("quality") == 1) & (F.col("toxic") == 0), max_labels), "sample")
-    ratios = log_ratios(*gram_counts(docs, sample, id_col, text_col))
+    ratios = log_ratios(*gram_counts(docs, sample, id_col, text_col), least)
     held = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(F.broadcast(sample.where("__fold = 1")), "__id")
-    held = score_documents(held.select("__id", "__text", "__good"), ratios, "__id", "__text").select("__good", (F.col("resample.score") * 1e3).alias("s"))
+    held = score_documents(held.select("__id", "__text", "__good"), ratios, "__id", "__text", per_word=per_word).select("__good", (F.col("resample.score") * 1e3).alias("s"))
     held = written(held, "held")  # its texts are scored once
     cut, middle = best_cut(held, "__good", "s", keep).first()["cut"], held.where("__good").agg(F.median("s")).first()[0]
-    scale = MARGIN / (middle - cut) * 1e3 if cut is not None and middle > cut else 0.0
+    scale = 1 / temperature if temperature else MARGIN / (middle - cut) * 1e3 if cut is not None and middle > cut else 0.0
     cut = cut / 1e3 if cut is not None else float("-inf")
-    scored = score_documents(docs, ratios, id_col, text_col, seed)
+    scored = score_documents(docs, ratios, id_col, text_col, seed, per_word)
     r = F.col("resample")
     key = (r["score"] * F.lit(scale) + r["noise"]).alias("key")
     keys = written(scored.select(r["score"].alias("score"), key), "keys")
