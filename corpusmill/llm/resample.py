@@ -38,7 +38,7 @@ PRIORS, LEAST = (3.0, 10.0), (1.0, 0.5)
 #: Nats between a document on the cut and the median trusted one.
 MARGIN = 12.0
 #: Distinct words whose hashes a task remembers; it starts anew beyond.
-KNOWN = 300_000
+KNOWN = 100_000
 BINS = 4096
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
