@@ -86,9 +86,9 @@ def page_aggregate(spark, d):
     return V.page_aggregate(V.page_scores(pages_of(spark, d)), "project", "page", ["at", "id"])
 
 
-@query(f"WITH {PAGES}, p AS (SELECT *, (row_number() OVER (PARTITION BY project ORDER BY occ, id) - 1) // 10 AS bucket FROM ps), a AS (SELECT project, bucket, count(*) AS n, round(avg(round(overall + 1e-9, 3)), 4) AS avg_value FROM p GROUP BY ALL) SELECT project, bucket, n, avg_value FROM a QUALIFY bucket > max(bucket) OVER (PARTITION BY project) - 30")
+@query(f"WITH {PAGES}, p AS (SELECT *, (row_number() OVER (PARTITION BY project ORDER BY occ, id) - 1) // 10 AS bucket FROM ps), a AS (SELECT project, bucket, count(*) AS n, round(avg(round(overall * 100 + 1e-6)), 4) AS avg_value FROM p GROUP BY ALL) SELECT project, bucket, n, avg_value FROM a QUALIFY bucket > max(bucket) OVER (PARTITION BY project) - 30")
 def page_trend(spark, d):
-    return observability.count_buckets(V.page_scores(pages_of(spark, d)).withColumn("value", F.round(F.col("overall") + 1e-9, 3)), ["project"], ["at", "id"], "value")
+    return observability.count_buckets(V.page_scores(pages_of(spark, d)).withColumn("value", F.round(F.col("overall") * 100 + 1e-6)), ["project"], ["at", "id"], "value")
 
 
 @query("SELECT p_partkey, CASE WHEN p_size * 2 < 30 THEN 90 WHEN p_size * 2 < 50 THEN 75 WHEN p_size * 2 < 70 THEN 60 ELSE 45 END AS priority FROM part")
