@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import rules as R
 from .functions import scores as S
 from .functions import text as X
 from .operators import corpus, governance, graph, observability, search, versions
@@ -235,11 +236,11 @@ PROPOSALS = f"""{LOG}, prop AS (SELECT query_id, 'condition' || (k % 4) AS condi
 
 
 def prompt_versions(spark, d):
-    rows = query_log(spark, d).where("event_type = 'signup' and k < 2").select(F.col("query_id").alias("version_id"), F.concat(F.lit("condition"), F.col("k") % 4).alias("condition"), F.col("at").alias("valid_from"))
+    rows = query_log(spark, d).where("event_type = 'signup'").select(F.col("query_id").alias("version_id"), F.concat(F.lit("condition"), F.col("k") % 4).alias("condition"), F.col("at").alias("valid_from"))
     return observability.version_intervals(rows, ["condition"], "valid_from", ["valid_from", "version_id"])
 
 
-VERSIONS = """ver AS (SELECT query_id AS version_id, 'condition' || (k % 4) AS condition, occ AS valid_from, lead(occ) OVER (PARTITION BY k % 4 ORDER BY occ, query_id) AS valid_to FROM log WHERE event_type = 'signup' AND k < 2)"""
+VERSIONS = """ver AS (SELECT query_id AS version_id, 'condition' || (k % 4) AS condition, occ AS valid_from, lead(occ) OVER (PARTITION BY k % 4 ORDER BY occ, query_id) AS valid_to FROM log WHERE event_type = 'signup')"""
 
 
 def scd2_intervals(spark, d):
@@ -262,8 +263,7 @@ FROM (SELECT unnest({CONDITIONS}) AS condition) g LEFT JOIN a USING (condition)
 
 
 def session_activity(spark, d):
-    log = query_log(spark, d)
-    return log.groupBy("project_id", F.session_window("at", "10 minutes").alias("s")).agg(F.count("*").alias("n")).select("project_id", F.col("s.start").alias("started"), "n")
+    return observability.sessions(query_log(spark, d), ["project_id"], "at")
 
 
 SESSIONS = f"""WITH {LOG}, m AS (SELECT project_id, occ, CASE WHEN occ < lag(occ) OVER (PARTITION BY project_id ORDER BY occ) + INTERVAL 10 MINUTE THEN 0 ELSE 1 END AS new FROM log),
@@ -311,7 +311,7 @@ def datascope_descendants(spark, d):
     ids = region.select(F.concat(F.lit("r"), "r_regionkey").alias("id"), F.lit("world").alias("parent")).union(nation.select(F.concat(F.lit("n"), "n_nationkey"), F.concat(F.lit("r"), "n_regionkey")))
     below = governance.descendants(ids, "r1")
     customers = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("n"), "c_nationkey").alias("id"))
-    return customers.join(F.broadcast(below), "id", "left_semi").select("c_custkey")
+    return customers.join(below, "id", "left_semi").select("c_custkey")
 
 
 def queue_items(spark, d):
@@ -404,7 +404,9 @@ def exact_duplicates(spark, d):
 
 
 def title_duplicates(spark, d):
-    return corpus.duplicate_titles(read(spark, d, "part"), X.title_key(F.col("p_name")), "p_partkey")
+    k = F.col("p_partkey")
+    title = F.when(k % 3 == 0, F.format_string("%s v%d.12 2024-03-15.pdf", "p_name", k % 10)).when(k % 3 == 1, F.format_string("（%s）_20240115 [V%d].DOCX", "p_name", k % 7)).otherwise(F.concat("p_name", F.lit("-2024/0301.md")))
+    return corpus.duplicate_titles(read(spark, d, "part"), R.title_stem(title), "p_partkey")
 
 
 def version_chain(spark, d):
@@ -416,6 +418,18 @@ def fixed_chunks(spark, d):
     return out.select("doc_id", "chunk_index", "start", X.chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.sha2("content", 256).alias("content_sha256"))
 
 
+CUTS = """WITH RECURSIVE w AS (SELECT doc_id, text, 0::BIGINT AS start, CASE WHEN 500 >= length(text) THEN 500 ELSE {cut0} END AS until FROM documents WHERE length(text) > 0
+UNION ALL SELECT doc_id, text, until - 100, CASE WHEN until + 400 >= length(text) THEN until + 400 ELSE {cut} END FROM w WHERE until - 100 < length(text)),
+c AS (SELECT doc_id, start, substr(text, start + 1, until - start) AS content FROM w)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, start, length(content)::BIGINT AS n_chars FROM c WHERE regexp_matches(content, '[^\\s]')"""
+
+
+def last_mark(until: str) -> str:
+    """SQL for the position after the last preferred mark of a text's last 99 characters before until, or until."""
+    tail = f"reverse(substr(text, ({until}) - 98, 99))"
+    return "coalesce(" + ", ".join(f"{until} - nullif(strpos({tail}, " + (f"'{m}'" if m.strip() else "chr(10)") + "), 0) + 1" for m in corpus.ENDS) + f", {until})"
+
+
 CHUNKS = """SELECT doc_id, i AS chunk_index, i * 400 AS start, left(md5(doc_id || '::' || i), 16) AS chunk_id, sha256(substr(text, i * 400 + 1, 500)) AS content_sha256
 FROM (SELECT doc_id, text, unnest(range(0, (length(text) + 399) // 400)) AS i FROM documents)"""
 
@@ -430,7 +444,7 @@ def context_window(spark, d):
 
 
 def redact_numbers(spark, d):
-    masked = X.masked_numbers(F.col("text"), ["mg", "g", "kg", "°C", "%"], "UNIT")
+    masked = X.masked_numbers(F.col("text"), ["mg", "g", "kg", "°C", "%"], keep_unit=True)
     return read(spark, d, "documents").select("doc_id", F.sha2(masked, 256).alias("text_sha256"))
 
 
@@ -593,6 +607,7 @@ SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)
     "title_duplicates": "WITH k AS (SELECT p_partkey AS id, replace(lower(p_name), ' ', '') AS key FROM part), f AS (SELECT key, min(id) AS first, count(*) AS n FROM k GROUP BY 1 HAVING count(*) > 1) SELECT id, first, n FROM k JOIN f USING (key) WHERE id <> first",
     "version_chain": "SELECT id, base, version, place, place = 1 AS is_latest FROM (SELECT p_partkey AS id, p_name || ' ' || p_brand AS base, p_size AS version, row_number() OVER (PARTITION BY p_name || ' ' || p_brand ORDER BY p_size DESC, p_partkey) AS place FROM part)",
     "fixed_chunks": CHUNKS,
+    "boundary_chunks": CUTS.format(cut0=last_mark("500"), cut=last_mark("until + 400")),
     "context_window": "SELECT conv_id, turn, sha256(left(string_agg(text, chr(10) || chr(10)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING), 1500)) AS context_sha256 FROM conversations",
     "redact_numbers": r"SELECT doc_id, sha256(regexp_replace(text, '([0-9]+(?:\.[0-9]+)?(?:\s*[-~]\s*[0-9]+(?:\.[0-9]+)?)?)\s*(kg|mg|°C|%|g)', '[PARAM \2]', 'g')) AS text_sha256 FROM documents",
     "page_text": PAGES,

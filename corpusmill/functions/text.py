@@ -45,15 +45,6 @@ def search_tokens(text: Column) -> Column:
     return let(F.lower(F.coalesce(text, F.lit(""))), tokens)
 
 
-def title_key(title: Column) -> Column:
-    """A title without version, date, file ending and separators, lower-cased."""
-    out = F.lower(F.coalesce(title, F.lit("")))
-    out = F.regexp_replace(out, r"\.[a-z0-9]{1,5}$", "")
-    out = F.regexp_replace(out, r"[vV]\d+(\.\d+)*", "")
-    out = F.regexp_replace(out, r"\d{4}[-./]?\d{2}([-./]?\d{2})?", "")
-    return F.regexp_replace(out, r"[\s_\-()\[\]#]+", "")
-
-
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 less the edit distance over the longer length; 1 if both are empty."""
     longest = F.greatest(F.length(a), F.length(b))
@@ -87,8 +78,8 @@ def html_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(out, r"[ \t\r\n]+", " "))
 
 
-def masked_numbers(text: Column, units: list[str], level: str = "EXACT", name: str = "PARAM") -> Column:
-    """Numbers or ranges followed by one of the units become [name] (EXACT) or [name unit] (UNIT); longest unit first."""
+def masked_numbers(text: Column, units: list[str], keep_unit: bool = False, name: str = "PARAM") -> Column:
+    """Numbers or ranges followed by one of the units become [name], or [name unit]; longest unit first."""
     unit = "|".join(sorted(units, key=lambda u: (-len(u), u)))
     pattern = rf"(\d+(?:\.\d+)?(?:\s*[-~]\s*\d+(?:\.\d+)?)?)\s*({unit})"
-    return F.regexp_replace(text, pattern, f"[{name} $2]" if level == "UNIT" else f"[{name}]")
+    return F.regexp_replace(text, pattern, f"[{name} $2]" if keep_unit else f"[{name}]")

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.text import content_hash
 
@@ -84,34 +88,44 @@ def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col: s
     return rows.select(id_col, F.col("chunk_index").cast("long").alias("chunk_index"), "start", F.substring(F.col(text_col), F.col("start") + 1, F.lit(size)).alias("content"))
 
 
-_CHUNK = T.StructType().add("chunk_index", "long").add("start", "long").add("content", "string")
 # Where a chunk may end, in order of preference.
 ENDS = ["。", "！", "？", ".", "!", "?", "\n"]
 
 
 def boundary_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """As fixed_chunks, but a window ends after the last preferred mark in its last fifth (100 characters at most).
+    """id, chunk_index, start, content: as fixed_chunks, but a window ends after a mark in its last fifth (100 characters at most).
 
-    Blank windows are left out. Windows stay longer than the overlap, so size / 5 and the overlap must leave room.
+    Of the marks found there the most preferred counts, at its last place. Blank windows are left out. Windows stay longer
+    than the overlap, so size / 5 and the overlap must leave room. Where a window ends depends on the one before, so texts
+    are cut in Arrow batches: the places of all marks are listed in one pass, and each window looks its end up in them.
     """
-    if overlap >= size - min(size // 5, 100):
+    near = min(size // 5, 100)
+    if overlap >= size - near:
         raise ValueError("overlap must be less than the shortest window")
+    find = re.compile("|".join(map(re.escape, ENDS)))
 
-    @F.udf(T.ArrayType(_CHUNK), useArrow=True)
-    def cut(text: str) -> list:
-        text, out, start = text or "", [], 0
+    def windows(text: str) -> Iterator[tuple[int, int]]:
+        places = {mark: [] for mark in ENDS}
+        for m in find.finditer(text):
+            places[m.group()].append(m.end())
+        start = 0
         while start < len(text):
-            end = start + size
-            if end < len(text):
-                low = end - min(size // 5, 100)
-                marks = (text.rfind(mark, low + 1, end) for mark in ENDS)
-                end = next((at + 1 for at in marks if at >= 0), end)
-            if text[start:end].strip():
-                out.append((len(out), start, text[start:end]))
-            start = end - overlap
-        return out
-
-    return docs.select(F.col(id_col), F.explode(cut(F.col(text_col))).alias("c")).select(id_col, "c.*")
+            until = start + size
+            if until < len(text):
+                last = [at[k - 1] for at in places.values() if (k := bisect_right(at, until)) and at[k - 1] > until - near + 1]
+                until = last[0] if last else until
+            yield start, until
+            start = until - overlap
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                kept = [(a, text[a:b]) for a, b in windows(text or "") if text[a:b].strip()]
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("id")[i].as_py()] * len(kept), batch.schema.field("id").type), pa.array(range(len(kept)), pa.int64()), pa.array([a for a, _ in kept], pa.int64()), pa.array([c for _, c in kept], pa.string())], ["id", "chunk_index", "start", "content"])
+
+    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, f"id {id_type}, chunk_index long, start long, content string")
+    return rows.withColumnRenamed("id", id_col)
 
 
 def context_windows(chunks: DataFrame, doc: str, index: str, text_col: str, n: int = 2, most: int = 1500) -> DataFrame:

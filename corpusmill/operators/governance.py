@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import path_prefixes, safe_ratio
+from ..sources.tables import saved
 
 # Access levels in ascending order.
 LEVELS = ["PUBLIC", "INTERNAL", "CONFIDENTIAL", "SECRET"]
@@ -24,17 +25,15 @@ def may_read(user_level: Column, user_dept: Column, doc_level: Column, doc_dept:
     return (access_rank(user_level) >= rank) & ((rank < 2) | same)
 
 
-def descendants(parents: DataFrame, root: str, most: int = 16) -> DataFrame:
-    """The ids below root (and itself) of a small tree (id, parent)."""
-    tree = F.broadcast(parents.select(F.col("id").alias("child"), F.col("parent").alias("up")))
-    level = parents.where(F.col("id") == root).select("id")
-    out = level
-    for _ in range(most):
-        level = level.join(tree, F.col("id") == F.col("up")).select(F.col("child").alias("id"))
-        if level.isEmpty():
-            break
+def descendants(parents: DataFrame, root: str) -> DataFrame:
+    """The ids below root (and itself) of a tree (id, parent) of any depth; one join a level, and a cycle ends."""
+    level = out = parents.where(F.col("id") == root).select("id").distinct()
+    tree = parents.select(F.col("id").alias("child"), F.col("parent").alias("up"))
+    while not level.isEmpty():
+        level = level.join(tree, F.col("id") == F.col("up")).select(F.col("child").alias("id")).distinct()
+        level = saved(level.join(out, "id", "left_anti"), "level")
         out = out.union(level)
-    return out.distinct()
+    return out
 
 
 def catalog_rollup(docs: DataFrame, path: Column) -> DataFrame:

@@ -109,6 +109,6 @@ def valid_relations(relations: DataFrame, nodes: DataFrame, allowed: DataFrame)
     """
     s = nodes.select(F.col("node").alias("source"), F.col("type").alias("st"))
     t = nodes.select(F.col("node").alias("target"), F.col("type").alias("tt"))
-    rows = relations.join(F.broadcast(allowed), "rel").join(s, "source").join(t, "target")
+    rows = relations.join(allowed, "rel").join(s, "source").join(t, "target")
     fits = lambda types, kind: (F.size(types) == 0) | F.array_contains(types, F.col(kind))
     return rows.where(fits("sources", "st") & fits("targets", "tt")).select("source", "rel", "target")

@@ -67,15 +67,34 @@ def ingest_trend(log: DataFrame, hours: int = 1, last: int | None = None) -> Dat
 
 
 def count_buckets(log: DataFrame, keys: list[str], order: list[str], value: str, size: int = 10, last: int = 30) -> DataFrame:
-    """Buckets of so many rows in a row of each key: count, average, first and last position; the last buckets.
+    """Buckets of so many rows in a row of each key: count and average; the last buckets.
 
-    Positions are counted within a key; choose keys whose groups fit a task (one log of a project).
+    Only the latest size * last rows of a key are put in order: tasks pass on no more of them. A row's place follows from
+    its distance to the end and the key's number of rows.
     """
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1
-    rows = log.withColumn("bucket", F.floor(place / size).cast("long"))
-    out = rows.groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("avg_value"))
-    newest = F.max("bucket").over(Window.partitionBy(*keys))
-    return out.withColumn("newest", newest).where(F.col("bucket") > F.col("newest") - last).drop("newest")
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc_nulls_last(c) for c in order]))
+    rows = log.withColumn("back", back).where(F.col("back") <= size * last)
+    total = log.groupBy(*[F.col(k).alias(f"all_{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n_all"))
+    rows = rows.join(total, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"all_{i}")) for i, k in enumerate(keys)]))
+    rows = rows.withColumns({"bucket": F.floor((F.col("n_all") - F.col("back")) / size).cast("long"), "newest": F.floor((F.col("n_all") - 1) / size)})
+    return rows.where(F.col("bucket") > F.col("newest") - last).groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("avg_value"))
+
+
+def sessions(log: DataFrame, keys: list[str], at: str, gap: str = "10 minutes") -> DataFrame:
+    """keys, started, n of runs of a key's rows, each less than the gap after the one before.
+
+    Runs are made within days. Only those that reach over a day's ends can go on in the next, at most two a day and key,
+    and these alone are put in order by key.
+    """
+    parts = log.groupBy(*keys, F.to_date(at).alias("day"), F.session_window(at, gap)).agg(F.count("*").alias("n"), F.min(at).alias("started"), F.max(at).alias("last"))
+    # ends are aggregates: a filter on the window itself would be pushed below its merging
+    parts = parts.select(*keys, F.col("day").cast(log.schema[at].dataType).alias("day"), "started", (F.col("last") + F.expr(f"INTERVAL {gap}")).alias("until"), "n")
+    open_ = (F.col("started") < F.col("day") + F.expr(f"INTERVAL {gap}")) | (F.col("until") > F.col("day") + F.expr("INTERVAL 1 day"))
+    in_order = Window.partitionBy(*keys).orderBy("started")
+    fresh = F.when(F.col("started") < F.lag("until").over(in_order), 0).otherwise(1)
+    runs = parts.where(open_).withColumn("fresh", fresh).withColumn("run", F.sum("fresh").over(in_order))
+    joined = runs.groupBy(*keys, "run").agg(F.min("started").alias("started"), F.sum("n").alias("n")).drop("run")
+    return parts.where(~open_).select(*keys, "started", "n").union(joined.select(*keys, "started", "n"))
 
 
 def two_windows(log: DataFrame, keys: list[str], order: list[str], size: int = 50, least: int = 5, drop: float = 0.10) -> DataFrame:
@@ -143,14 +162,24 @@ def version_intervals(opened: DataFrame, key: list[str], at: str, order: list[st
 def ab_scores(proposals: DataFrame, versions: DataFrame, key: str) -> DataFrame:
     """For each version (version_id, key, valid_from, valid_to) the proposals (key, at, status) made while it was valid.
 
-    sample_size counts pending ones too.
+    sample_size counts pending ones too. The intervals of a key must not overlap. Versions and proposals are put in order
+    by key and day, and the last version before a proposal is carried to it; what a day begins with comes from a table of
+    one row for each key and day. So neither is a key's log sorted in one task nor a proposal joined with every version.
     """
-    v = versions.select(F.col("version_id"), F.col(key).alias("__key"), "valid_from", "valid_to")
-    inside = (F.col("__key") == F.col(key)) & (F.col("at") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("at") < F.col("valid_to")))
-    rows = v.join(proposals.select(key, "at", "status"), inside, "left")
+    version = F.struct("version_id", "valid_to")
+    opened = versions.where("valid_from is not null").select(F.col(key).alias("k"), F.col("valid_from").alias("at"), version.alias("v"), F.lit(None).cast("string").alias("status"))
+    made = proposals.where("at is not null").select(F.col(key).alias("k"), "at", F.lit(None).cast(opened.schema["v"].dataType).alias("v"), "status")
+    rows = opened.union(made).where("k is not null").withColumn("day", F.to_date("at"))
+    in_day = Window.partitionBy("k", "day").orderBy("at", F.col("v").isNull(), F.asc_nulls_last("v.valid_to"))
+    newest = F.max_by("v", F.when(F.col("v").isNotNull(), F.struct(F.col("at"), F.col("v.valid_to").isNull(), F.col("v.valid_to"))))
+    days = rows.groupBy("k", "day").agg(newest.alias("end"))
+    before = F.last("end", ignorenulls=True).over(Window.partitionBy("k").orderBy("day").rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.withColumn("here", F.last("v", ignorenulls=True).over(in_day)).where("v is null").join(days.select("k", "day", before.alias("before")), ["k", "day"])
+    found = found.select("at", "status", F.coalesce("here", "before").alias("v")).where("v.version_id is not null and (v.valid_to is null or at < v.valid_to)")
     n = lambda s: F.count_if(F.col("status") == s)
-    agg = rows.groupBy("version_id").agg(F.count("at").alias("sample_size"), n("approved").alias("approved"), n("rejected").alias("rejected"))
-    return agg.withColumn("approve_rate", safe_ratio(F.col("approved"), F.col("approved") + F.col("rejected")))
+    agg = found.groupBy(F.col("v.version_id").alias("version_id")).agg(F.count("*").alias("sample_size"), n("approved").alias("approved"), n("rejected").alias("rejected"))
+    out = versions.select("version_id").join(agg, "version_id", "left").fillna(0, ["sample_size", "approved", "rejected"])
+    return out.withColumn("approve_rate", safe_ratio(F.col("approved"), F.col("approved") + F.col("rejected")))
 
 
 def condition_health(proposals: DataFrame, conditions: list[str], top: int = 3) -> DataFrame:

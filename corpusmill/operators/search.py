@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,20 +41,31 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str =
     return out.where(F.col("rank") <= k).select("query_id", "doc_id", score, "rank")
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+#: Queries that one pass over the vectors broadcasts.
+QUERY_BLOCK = 8192
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, score, rank of the k nearest vectors of each query by cosine, exact. queries: query_id, query_vector.
 
     Each query meets each vector, but in a task only the k best so far of each query are passed on (the rank filter
-    runs before the shuffle), so that what moves is k rows a query and task.
+    runs before the shuffle), so that what moves is k rows a query and task. Queries are dealt to blocks of about so many,
+    and a block is broadcast for a pass over the vectors, so that what is broadcast doesn't grow with the queries.
     """
     rows = vectors if where is None else vectors.where(where)
     unit = lambda c: let(c, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))))
-    asked = queries.select("query_id", unit(F.col("query_vector")).alias("q"))
-    pairs = rows.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v")).join(F.broadcast(asked))  # a stated query set
+    against = rows.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v"))
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-    scored = pairs.where("id <> query_id").select("query_id", "id", F.round(F.least(F.greatest(F.when(F.size("v") == F.size("q"), dot).otherwise(0.0), F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
+    score = F.round(F.least(F.greatest(F.when(F.size("v") == F.size("q"), dot).otherwise(0.0), F.lit(0.0)), F.lit(1.0)), 6)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    def answered(part: DataFrame) -> DataFrame:
+        pairs = against.join(F.broadcast(part.select("query_id", unit(F.col("query_vector")).alias("q"))))
+        return pairs.where("id <> query_id").select("query_id", "id", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+    n = -(-queries.count() // block)
+    parts = [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
+    return reduce(DataFrame.union, map(answered, parts))
 
 
 def hybrid(hits: DataFrame, keyword: DataFrame, paths: DataFrame, query_path: Column, k: int = 10) -> DataFrame:
@@ -70,7 +83,7 @@ def hybrid(hits: DataFrame, keyword: DataFrame, paths: DataFrame, query_path: Co
 def rerank(hits: DataFrame, docs: DataFrame, queries: DataFrame, boost: float = 0.02) -> DataFrame:
     """hits (query_id, doc_id, score) with the boost added for each distinct query word that the text contains."""
     words = queries.select("query_id", F.array_distinct(F.filter(F.split(F.lower("query"), r"\s+"), lambda w: w != "")).alias("words"))
-    rows = hits.select("query_id", "doc_id", "score").join(docs.select("doc_id", F.lower("text").alias("text")), "doc_id").join(F.broadcast(words), "query_id")
+    rows = hits.select("query_id", "doc_id", "score").join(docs.select("doc_id", F.lower("text").alias("text")), "doc_id").join(words, "query_id")
     n = F.size(F.filter("words", lambda w: F.contains(F.col("text"), w)))
     score = F.round(F.col("score") + boost * n, 4)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))

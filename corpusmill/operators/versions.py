@@ -57,7 +57,7 @@ def rebuild_plan(docs: DataFrame, changed: DataFrame, any_added: bool = False) -
 
     docs: doc, type (a row for each type found in it). changed: type.
     """
-    hit = docs.join(F.broadcast(changed.select("type", F.lit(1).alias("hit"))), "type", "left")
+    hit = docs.join(changed.select("type", F.lit(1).alias("hit")).distinct(), "type", "left")
     out = hit.groupBy("doc").agg(F.max("hit").alias("hit"))
     return out.select("doc", F.when(F.lit(any_added), "full").when(F.col("hit").isNotNull(), "partial").otherwise("skipped").alias("plan"))
 
