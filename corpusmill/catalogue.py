@@ -424,9 +424,9 @@ c AS (SELECT doc_id, start, substr(text, start + 1, until - start) AS content FR
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS chunk_index, start, length(content)::BIGINT AS n_chars FROM c WHERE regexp_matches(content, '[^\\s]')"""
 
 
-def last_mark(until: str) -> str:
-    """SQL for the position after the last preferred mark of a text's last 99 characters before until, or until."""
-    tail = f"reverse(substr(text, ({until}) - 98, 99))"
+def last_mark(until: str, near: int = 100, text: str = "text") -> str:
+    """SQL for the position after the last preferred mark in a text's last characters before until, or until."""
+    tail = f"reverse(substr({text}, ({until}) - {near - 2}, {near - 1}))"
     return "coalesce(" + ", ".join(f"{until} - nullif(strpos({tail}, " + (f"'{m}'" if m.strip() else "chr(10)") + "), 0) + 1" for m in corpus.ENDS) + f", {until})"
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,31 @@ def noise_ratio(text: Column) -> Column:
     return F.coalesce(F.round(F.try_divide(F.size(F.filter(lines, is_noise)).cast("double"), F.size(lines).cast("double")), 4), F.lit(1.0))
 
 
+def is_noise_document(title: Column, text: Column, most: float = 0.7) -> Column:
+    """A chat, by its title, of which so much is noise."""
+    low = F.lower(F.coalesce(title, F.lit("")))
+    chat = F.contains(low, F.lit("聊天")) | F.contains(low, F.lit("群聊")) | F.contains(low, F.lit("chat"))
+    return chat & (noise_ratio(text) >= most)
+
+
+def mentions_any(title: Column, text: Column, words: list[str], first: int = 500) -> Column:
+    """Whether one of the words is in the title or the text's beginning, in lower case."""
+    start = F.lower(F.concat_ws(" ", title, F.left(text, F.lit(first))))
+    return reduce(lambda a, b: a | b, [F.contains(start, F.lit(w)) for w in words], F.lit(False))
+
+
+def missing_facets(facets: Column, required: list[str]) -> Column:
+    """The required keys that a map of facets lacks, or has as null or ''."""
+    return F.filter(F.array(*map(F.lit, required)), lambda k: F.coalesce(F.try_element_at(facets, k), F.lit("")) == "")
+
+
+def query_events(rows: DataFrame) -> DataFrame:
+    """Rows of a query log as they are kept: query_text cut at 200, hit by the number of sources where unknown, no negative
+    latency_ms, 50 doc_ids of 80 characters."""
+    ids = F.transform(F.slice(F.coalesce("doc_ids", F.array().cast("array<string>")), 1, 50), lambda i: F.left(i, F.lit(80)))
+    return rows.withColumns({"query_text": F.left("query_text", F.lit(200)), "hit": F.coalesce("hit", F.col("sources") > 0), "latency_ms": F.greatest(F.lit(0), F.col("latency_ms")), "doc_ids": ids})
+
+
 def infer_domain(docs: DataFrame, rules: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, domain_id, hits, confidence: the best rule (domain_id, priority, keywords) of which a keyword is contained.
 

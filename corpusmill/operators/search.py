@@ -68,14 +68,17 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
     return reduce(DataFrame.union, map(answered, parts))
 
 
-def hybrid(hits: DataFrame, keyword: DataFrame, paths: DataFrame, query_path: Column, k: int = 10) -> DataFrame:
-    """Vector hits (query_id, doc_id, score) with BM25 scores, catalog weights and a constant graph score, fused.
+def hybrid(hits: DataFrame, keyword: DataFrame, paths: DataFrame, query_path: Column, k: int = 10, graph: DataFrame | None = None) -> DataFrame:
+    """Vector hits (query_id, doc_id, score) with BM25 scores, catalog weights and graph scores, fused.
+
+    graph: query_id, doc_id, graph; a hit without one has 0.1.
 
     Keyword scores never add candidates; hits without a row in paths (doc_id, path) are dropped.
     """
     rows = hits.select("query_id", "doc_id", F.col("score").alias("vector")).join(paths, "doc_id")
     rows = rows.join(keyword.select("query_id", "doc_id", F.col("score").alias("keyword")), ["query_id", "doc_id"], "left").fillna(0.0, ["keyword"])
-    score = fused({"vector": F.col("vector"), "keyword": F.col("keyword"), "catalog": catalog_weight(F.col("path"), query_path), "graph": F.lit(0.1)})
+    rows = rows.withColumn("graph", F.lit(0.1)) if graph is None else rows.join(graph, ["query_id", "doc_id"], "left").fillna(0.1, ["graph"])
+    score = fused({"vector": F.col("vector"), "keyword": F.col("keyword"), "catalog": catalog_weight(F.col("path"), query_path), "graph": F.col("graph")})
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
     return rows.withColumn("score", score).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "doc_id", "score", "rank")
 

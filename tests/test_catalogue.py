@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusmill import catalogue, catalogue_review
+from corpusmill import catalogue, catalogue_documents, catalogue_review
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,7 +21,8 @@ def plain(v):
     return f"{v:.6g}" if isinstance(v, float) else v.isoformat() if hasattr(v, "isoformat") else str(v)
 
 
-QUERIES, ORACLE_SQL = catalogue.QUERIES | catalogue_review.QUERIES, catalogue.ORACLE_SQL | catalogue_review.ORACLE_SQL
+PARTS = catalogue, catalogue_review, catalogue_documents
+QUERIES, ORACLE_SQL = ({k: v for p in PARTS for k, v in getattr(p, of).items()} for of in ("QUERIES", "ORACLE_SQL"))
 
 
 @pytest.mark.parametrize("name", ORACLE_SQL)
