@@ -22,13 +22,13 @@ import pyarrow as pa
 
 END_ID = 2
 #: Distinct chunks kept in a worker process: those seen last. Chunks in one call, and texts that share one.
-CHUNKS, CALL, TEXTS = 400_000, 4096, 32
+CHUNKS, CALL, TEXTS = 200_000, 4096, 32
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _WITH_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Stands between chunks in a call; chunks that hold it are encoded on their own.
 _BETWEEN = "\x01"
 #: A chunk of a letter and these is the chunk without them and they: no tokenizer merges the two.
-_TAIL = ".,;:!?"
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def tokenizer_path(name: str) -> str:
