@@ -22,7 +22,7 @@ import pyarrow as pa
 
 END_ID = 2
 #: Distinct chunks kept in a worker process: those seen last. Chunks in one call, and texts that share one.
-CHUNKS, CALL, TEXTS = 200_000, 4096, 32
+CHUNKS, CALL, TEXTS = 400_000, 8192, 64
 _ODD_SPACE = re.compile(r"[^\S \n]")
 _WITH_SPACE = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
 #: Stands between chunks in a call; chunks that hold it are encoded on their own.
@@ -81,7 +81,7 @@ def _encoder(path: str, spaces: bool, special: bool, chunks: int) -> Callable[[l
         size[list(vocabulary)] = [len(t) for t in vocabulary.values()]
 
         def learn(parts: list[str]) -> None:
-            ids, stops = ids_of("".join(parts)), np.cumsum([len(p.encode()) for p in parts])
+            ids, stops = ids_of("".join(parts)), np.cumsum(list(map(len, map(str.encode, parts))))
             at = np.concatenate(([0], np.cumsum(size[ids])))
             ends = np.searchsorted(at, stops)
             cut(parts, ids, ends) if at[-1] == stops[-1] and (at[ends] == stops).all() else alone(parts)
@@ -109,28 +109,27 @@ def _encoder(path: str, spaces: bool, special: bool, chunks: int) -> Callable[[l
         together = lambda p: _BETWEEN not in p
 
     def learn_all(new: set[str]) -> None:
-        joined, odd, tailed = set(), [], []
+        """Chunks that neither table has. Of those with closing marks the word is learnt, if it isn't known either."""
+        whole, tailed, bases = [], [], set()
         for p in new:
-            if not together(p):
-                odd.append(p)
-            elif p[-1] in _TAIL and (base := p.rstrip(_TAIL)) and base[-1] < "\u0250" and base[-1].isalpha() and base[-1] != "\u0130":  # its lower case ends in a mark
+            if p[-1] in _TAIL and together(p) and (base := p.rstrip(_TAIL)) and base[-1] < "\u0250" and base[-1].isalpha() and base[-1] != "\u0130":  # its lower case ends in a mark
                 tailed.append((p, base, p[len(base) :]))
-                joined.add(base)
-                if p[len(base) :] not in known:
-                    alone([p[len(base) :]])
+                bases.add(base)
             else:
-                joined.add(p)
-        todo = []
-        for p in joined:
-            if (ids := known.get(p) or before.get(p)) is None:
-                todo.append(p)
-            else:
-                known[p] = ids
+                whole.append(p)
+        odd = [p for p in whole if not together(p)]
+        todo = whole if not odd else [p for p in whole if together(p)]
+        for base in bases.difference(known):
+            if base in before:
+                known[base] = before[base]
+            elif base not in new:
+                todo.append(base)
+        odd += {tail for _, _, tail in tailed}.difference(known)
         for k in range(0, len(todo), CALL):
             learn(todo[k : k + CALL])
         for k in range(0, len(odd), CALL):
             alone(odd[k : k + CALL])
-        known.update((p, known[base] + known[tail]) for p, base, tail in tailed)
+        known.update([(p, known[base] + known[tail]) for p, base, tail in tailed])
 
     def encode(texts: list[str | None]) -> list[bytes]:
         nonlocal known, before
