@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns_but, documents, let, quoted, whole
-from .spans import found, listed, n_of, ordered
+from .spans import found, listed, n_of, ordered, running
 
 KINDS = ["email", "ip", "card", "phone"]
 # The contract's patterns, possessive where nothing can be given back, and a match begins at the start of
@@ -164,6 +164,26 @@ def score(trees: list[tuple[float, object]], f: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.lit(w) * of(t) for w, t in trees])
 
 
+#: Candidates, in the order of their starts, among which are all that can touch one: they have 7 to 170 characters, and
+#: those of one kind don't touch each other.
+NEAR = 160
+
+
+def _untouched(base: Column, rated: Column) -> Column:
+    """Those of rated (s, score) that touch no span of base: none that begins before their end ends after their start."""
+    last = F.lit(None).cast("struct<start:int,kind:int,stop:int,match:string,before:string>")
+    of_base = F.transform(base, lambda b: F.struct(b["start"].alias("at"), F.lit(1).alias("base"), b["stop"].alias("stop"), last.alias("s"), F.lit(0.0).alias("score")))
+    of_more = F.transform(rated, lambda c: F.struct(c["s"]["stop"].alias("at"), F.lit(0).alias("base"), F.lit(0).alias("stop"), c["s"].alias("s"), c["score"].alias("score")))
+
+    def free(events: Column) -> Column:
+        def kept(reach: Column) -> Column:
+            return F.array_compact(F.transform(events, lambda e, i: F.when((e["base"] == 0) & (F.get(reach, i) <= e["s"]["start"]), F.struct(e["s"].alias("s"), e["score"].alias("score")))))
+
+        return let(running(F.transform(events, lambda e: e["stop"]), F.greatest), kept)
+
+    return let(F.array_sort(F.concat(of_base, of_more)), free)
+
+
 def select_spans(base: Column, more: Column, trees: list, cuts: list[float]) -> Column:
     """base with those of more (a lambda variable or cheap column) that reach their kind's cut, don't touch a base span and don't touch a better or earlier one."""
     rated = F.transform(more, lambda s: F.struct(s.alias("s"), let(F.struct(*[c.alias(n) for n, c in features(s).items()]), lambda f: score(trees, f)).alias("score")))
@@ -172,9 +192,13 @@ def select_spans(base: Column, more: Column, trees: list, cuts: list[float]) ->
     rank = lambda x: F.struct((-x["score"]).alias("a"), x["s"]["start"].alias("b"), x["s"]["kind"].alias("c"))
 
     def choose(x: Column) -> Column:
-        free = F.filter(x["r"], lambda c: (c["score"] >= cut(c["s"]["kind"])) & ~F.exists(x["b"], lambda b: meets(c["s"], b)))
-        best = let(free, lambda all_: F.filter(all_, lambda c: ~F.exists(all_, lambda o: meets(c["s"], o["s"]) & (rank(o) < rank(c)))))
-        return ordered(x["b"], F.transform(best, lambda c: c["s"]))
+        free = F.array_sort(_untouched(x["b"], F.filter(x["r"], lambda c: c["score"] >= cut(c["s"]["kind"]))))
+
+        def best(all_: Column) -> Column:
+            beaten = lambda c, i: F.exists(F.slice(all_, F.greatest(i - NEAR, F.lit(0)) + 1, F.lit(2 * NEAR + 1)), lambda o: meets(c["s"], o["s"]) & (rank(o) < rank(c)))
+            return F.array_compact(F.transform(all_, lambda c, i: F.when(~beaten(c, i), c["s"])))
+
+        return ordered(x["b"], let(free, best))
 
     return F.when(F.size(more) == 0, base).otherwise(let(F.struct(rated.alias("r"), base.alias("b")), choose))
 
