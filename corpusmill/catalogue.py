@@ -55,23 +55,23 @@ def path_of() -> F.Column:
 def corpus_rows(spark: SparkSession, d: str) -> DataFrame:
     """All documents with density, age in days, redundancy, proposed decision and confidence, all made from their columns."""
     docs, labels = read(spark, d, "documents"), read(spark, d, "labels")
-    density = F.least(F.length("text") / 500.0, F.lit(10.0))
+    density = F.least(F.coalesce(F.length("text"), F.lit(0)) / 500.0, F.lit(10.0))
     proposed = F.when(F.col("toxic") == 1, "DISCARD").when(F.col("quality") == 0, "ARCHIVE").otherwise("KEEP")
     return docs.join(labels, "doc_id", "left").select("doc_id", density.alias("density"), (F.col("doc_id") % 900).alias("age"), ((F.col("doc_id") % 4) / 4.0).alias("redundancy"), proposed.alias("proposed"), ((F.col("doc_id") % 10) / 10.0).alias("confidence"))
 
 
-CORPUS = """c AS (SELECT d.doc_id, least(length(text) / 500.0::DOUBLE, 10.0::DOUBLE) AS density, d.doc_id % 900 AS age, (d.doc_id % 4) / 4.0::DOUBLE AS redundancy,
+CORPUS = """c AS (SELECT d.doc_id, least(coalesce(length(text), 0) / 500.0::DOUBLE, 10.0::DOUBLE) AS density, d.doc_id % 900 AS age, (d.doc_id % 4) / 4.0::DOUBLE AS redundancy,
   CASE WHEN toxic = 1 THEN 'DISCARD' WHEN quality = 0 THEN 'ARCHIVE' ELSE 'KEEP' END AS proposed, (d.doc_id % 10) / 10.0::DOUBLE AS confidence FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 kpi AS (SELECT *, round((greatest(least(density / 10, 1.0::DOUBLE), 0.0::DOUBLE) * 0.6::DOUBLE + (1 - least(age::DOUBLE / 730, 1.0::DOUBLE)) * 0.4::DOUBLE) / (redundancy + 1), 4) AS kpi FROM c)"""
 
 
 def all_corpus_rows(spark: SparkSession, d: str) -> DataFrame:
     """All documents, labelled or not, with density, age in days and redundancy."""
-    density = F.least(F.length("text") / 500.0, F.lit(10.0))
+    density = F.least(F.coalesce(F.length("text"), F.lit(0)) / 500.0, F.lit(10.0))
     return read(spark, d, "documents").select("doc_id", density.alias("density"), (F.col("doc_id") % 900).alias("age"), ((F.col("doc_id") % 4) / 4.0).alias("redundancy"))
 
 
-ALL_CORPUS = """c AS (SELECT doc_id, least(length(text) / 500.0::DOUBLE, 10.0::DOUBLE) AS density, doc_id % 900 AS age, (doc_id % 4) / 4.0::DOUBLE AS redundancy FROM documents),
+ALL_CORPUS = """c AS (SELECT doc_id, least(coalesce(length(text), 0) / 500.0::DOUBLE, 10.0::DOUBLE) AS density, doc_id % 900 AS age, (doc_id % 4) / 4.0::DOUBLE AS redundancy FROM documents),
 kpi AS (SELECT *, round((greatest(least(density / 10, 1.0::DOUBLE), 0.0::DOUBLE) * 0.6::DOUBLE + (1 - least(age::DOUBLE / 730, 1.0::DOUBLE)) * 0.4::DOUBLE) / (redundancy + 1), 4) AS kpi FROM c)"""
 
 
@@ -121,7 +121,7 @@ near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER
 def hybrid_search(spark, d):
     docs = read(spark, d, "documents")
     hits = search.nearest(read(spark, d, "embeddings"), query_vectors(spark, d), k=30).withColumnRenamed("id", "doc_id")
-    keyword = search.bm25(docs, query_texts(spark, d), k=None)
+    keyword = search.bm25(docs, query_texts(spark, d), k=None, only=hits)
     out = search.hybrid(hits, keyword, docs.select("doc_id", path_of().alias("path")), F.lit("en/src1"))
     return out.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 

@@ -243,19 +243,18 @@ def module_stats(spark, d):
 # ---- search under row security, with graph scores
 
 
-@query(f"""WITH {C.BM25}, {C.near_sql("TRUE", 30)},
+@query(f"""WITH {C.BM25}, {C.near_sql("vec_id IN (SELECT doc_id FROM documents WHERE doc_id % 4 <= 2 AND (doc_id % 4 < 2 OR doc_id % 3 = 0 OR source = 'src1'))", 30)},
 h AS (SELECT n.query_id, n.id AS doc_id, n.score AS vector, coalesce(bm.score, 0.0::DOUBLE) AS keyword, lang || '/' || source AS path, CASE WHEN qe.label = de.label THEN 0.75::DOUBLE ELSE 0.1::DOUBLE END AS graph
-  FROM near n JOIN documents d ON d.doc_id = n.id JOIN embeddings de ON de.vec_id = n.id JOIN embeddings qe ON qe.vec_id = n.query_id LEFT JOIN bm ON bm.query_id = n.query_id AND bm.doc_id = n.id
-  WHERE d.doc_id % 4 <= 2 AND (d.doc_id % 4 < 2 OR d.doc_id % 3 = 0 OR d.source = 'src1')),
+  FROM near n JOIN documents d ON d.doc_id = n.id JOIN embeddings de ON de.vec_id = n.id JOIN embeddings qe ON qe.vec_id = n.query_id LEFT JOIN bm ON bm.query_id = n.query_id AND bm.doc_id = n.id),
 s AS (SELECT query_id, doc_id, round(0.15::DOUBLE * CASE WHEN path = 'en/src1' THEN 1.0 WHEN starts_with(path, 'en/') THEN 0.4 ELSE 0.1 END + 0.25::DOUBLE * graph + 0.25::DOUBLE * keyword + 0.35::DOUBLE * vector, 4) AS score FROM h)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s) WHERE rank <= 5""")
 def secured_search(spark, d):
     docs, e = read(spark, d, "documents"), read(spark, d, "embeddings")
     allowed = C.levelled(spark, d).where(governance.may_read(F.lit("confidential"), F.lit("src1"), F.col("level"), F.col("dept"))).select("doc_id")
-    hits = search.nearest(e, C.query_vectors(spark, d), k=30).withColumnRenamed("id", "doc_id").join(allowed, "doc_id", "left_semi")
+    hits = search.nearest(e, C.query_vectors(spark, d), k=30, allowed=allowed.withColumnRenamed("doc_id", "vec_id")).withColumnRenamed("id", "doc_id")  # row security before the cut
     same = hits.join(e.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("dl")), "doc_id").join(e.select(F.col("vec_id").alias("query_id"), F.col("label").alias("ql")), "query_id")
     one = F.lit(1)
     graph = same.select("query_id", "doc_id", S.graph_score((F.col("dl") == F.col("ql")).cast("int"), F.lit(0), one, one).alias("graph"))
-    keyword = search.bm25(docs, C.query_texts(spark, d), k=None)
+    keyword = search.bm25(docs, C.query_texts(spark, d), k=None, only=hits)
     out = search.hybrid(hits, keyword, docs.select("doc_id", C.path_of().alias("path")), F.lit("en/src1"), k=5, graph=graph)
     return out.select("query_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))

@@ -8,64 +8,55 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scores import catalog_weight, fused
-from ..functions.text import let, search_tokens
+from ..functions.text import search_tokens
 from ..sources.tables import saved
+from .keyword_index import TERMS, postings_of
+from .vectors import nearest  # noqa: F401  the exact search is part of this module's surface
 
 K1, B = 1.5, 0.75
 
 
-def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """query_id, doc_id, score (over the query's best), rank of the k best documents of each query; k None: all, without rank.
+def ranked_scores(postings: DataFrame, df: DataFrame, terms: DataFrame, n: Column, mean: Column, k: int | None, only: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score and, with k, rank, from postings (doc_id, length, term, tf), df (term, df) and terms (query_id, term, times).
 
-    queries: query_id, query; a stated set. A term that a query repeats counts again. Texts are read and tokenised once:
-    each document leaves one row with its length, and one for each of the queries' terms that it has. That small table is
-    written, and sizes, document frequencies and scores come from it.
+    n: number of documents; mean: their mean length. only: the (query_id, doc_id) asked for, with k None.
     """
-    terms = queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    wanted = terms.select("term", F.col("term").alias("known")).distinct()
-    every = let(search_tokens(F.col(text_col)), lambda t: F.transform(F.concat(t, F.array(F.lit(""))), lambda w: F.struct(w.alias("term"), F.size(t).alias("length"))))
-    tokens = docs.select(F.col(id_col).alias("doc_id"), F.explode(every).alias("x")).select("doc_id", "x.term", "x.length")
-    counts = saved(tokens.join(wanted, "term", "left").groupBy("doc_id", "length", F.col("known").alias("term")).agg(F.count("*").alias("tf")), "postings")
-    stats = counts.where("term is null").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    postings = counts.where("term is not null")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    scored = postings.join(df, "term").join(terms, "term").withColumns({"n": stats.select("n").scalar(), "mean": stats.select("mean").scalar()})
+    scored = postings.join(df, "term").join(terms, "term").withColumns({"n": n, "mean": mean})
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
     scores = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 8).alias("raw"))
     score = F.round(F.col("raw") / F.col("best"), 4).alias("score")
     if k is None:
-        return scores.join(scores.groupBy("query_id").agg(F.max("raw").alias("best")), "query_id").select("query_id", "doc_id", score)
+        best = scores.groupBy("query_id").agg(F.max("raw").alias("best"))
+        asked = scores if only is None else scores.join(only.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+        return asked.join(best, "query_id").select("query_id", "doc_id", score)
     first = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = scores.withColumns({"rank": F.row_number().over(first), "best": F.first("raw").over(first)})  # tasks pass on k rows a query
     return out.where(F.col("rank") <= k).select("query_id", "doc_id", score, "rank")
 
 
-#: Queries that one pass over the vectors broadcasts.
-QUERY_BLOCK = 8192
-
-
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = QUERY_BLOCK) -> DataFrame:
-    """query_id, id, score, rank of the k nearest vectors of each query by cosine, exact. queries: query_id, query_vector.
+def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, doc_id, score (over the query's best), rank of the k best documents of each query; k None: all, without rank.
 
-    Each query meets each vector, but in a task only the k best so far of each query are passed on (the rank filter
-    runs before the shuffle), so that what moves is k rows a query and task. Queries are dealt to blocks of about so many,
-    and a block is broadcast for a pass over the vectors, so that what is broadcast doesn't grow with the queries.
+    queries: query_id, query; a stated set. A term that a query repeats counts again. Texts are read and tokenised once,
+    and of the tokens only the queries' terms are kept, by a broadcast list of at most TERMS of them a pass; a document
+    leaves a row for each of those, and one with its length. That small table is written, and sizes, document
+    frequencies and scores come from it. only: the (query_id, doc_id) whose scores are asked for (k None). allowed: the
+    doc_id that may be found; statistics are those of all documents.
     """
-    rows = vectors if where is None else vectors.where(where)
-    unit = lambda c: let(c, lambda v: let(F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))), lambda n: F.transform(v, lambda x: F.coalesce(F.try_divide(x.cast("double"), n), F.lit(0.0)))))
-    against = rows.select(F.col(id_col).alias("id"), unit(F.col(vector_col)).alias("v"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-    score = F.round(F.least(F.greatest(F.when(F.size("v") == F.size("q"), dot).otherwise(0.0), F.lit(0.0)), F.lit(1.0)), 6)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-
-    def answered(part: DataFrame) -> DataFrame:
-        pairs = against.join(F.broadcast(part.select("query_id", unit(F.col("query_vector")).alias("q"))))
-        return pairs.where("id <> query_id").select("query_id", "id", score.alias("score")).withColumn("rank", rank).where(F.col("rank") <= k)
-
-    n = -(-queries.count() // block)
-    parts = [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i) for i in range(n)]
-    return reduce(DataFrame.union, map(answered, parts))
+    terms = saved(queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "terms")
+    wanted = terms.select("term").distinct()
+    passes = max(1, -(-wanted.count() // TERMS))
+    counted = []
+    for p in range(passes):  # a pass takes TERMS of the stated queries' terms at most
+        some = [r[0] for r in wanted.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == p).collect()]
+        counted.append(postings_of(docs, id_col, text_col, some).where(F.lit(p == 0) | (F.col("term") != "")))
+    counts = saved(reduce(DataFrame.union, counted), "postings")
+    stats = counts.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
+    postings = counts.where("term <> ''")
+    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    seen = postings if allowed is None else postings.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    return ranked_scores(seen, df, terms, F.lit(stats["n"]), F.lit(stats["mean"] or 1.0), k, only)
 
 
 def hybrid(hits: DataFrame, keyword: DataFrame, paths: DataFrame, query_path: Column, k: int = 10, graph: DataFrame | None = None) -> DataFrame:
