@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import edit_similarity
 from ..sources.tables import saved
+from .names import alike_names
 
 
 def merge_nodes(mentions: DataFrame, name: Column) -> DataFrame:
@@ -89,17 +89,14 @@ def components(links: DataFrame) -> DataFrame:
     return names.select("node", F.col("name").alias("component"))
 
 
-def merge_candidates(entities: DataFrame, block: list[str], least: float = 0.85, most: int = 1000) -> DataFrame:
+def merge_candidates(entities: DataFrame, block: list[str], least: float = 0.85, most: int = 1000, guarded: DataFrame | None = None) -> DataFrame:
     """a, b, score of entities (id, name) of one block whose names are alike, the best first.
 
-    Pairs are made inside a block only (a type); names whose lengths differ too much are not compared. The result is a
-    report of the `most` best.
+    Pairs come from a join on segments of names within a block (a type), not from all pairs of it. guarded: block values
+    whose entities are never merged. The result is a report of the `most` best.
     """
-    left = entities.select(*block, F.col("id").alias("a"), F.col("name").alias("an"))
-    right = entities.select(*block, F.col("id").alias("b"), F.col("name").alias("bn"))
-    near = (F.col("a") < F.col("b")) & (F.abs(F.length("an") - F.length("bn")) <= (1 - least) * F.greatest(F.length("an"), F.length("bn")))
-    pairs = left.join(right, block).where(near).select("a", "b", F.round(edit_similarity(F.col("an"), F.col("bn")), 6).alias("score"))
-    return pairs.where(F.col("score") >= least).orderBy(F.desc("score"), "a", "b").limit(most)
+    rows = entities if guarded is None else entities.join(guarded.select(*block).distinct(), block, "left_anti")
+    return alike_names(rows, block, least).orderBy(F.desc("score"), "a", "b").limit(most)
 
 
 def valid_relations(relations: DataFrame, nodes: DataFrame, allowed: DataFrame) -> DataFrame:
