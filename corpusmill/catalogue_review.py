@@ -138,14 +138,20 @@ def review_documents(spark, d):
     return read(spark, d, "labels").where("quality = 0").join(read(spark, d, "documents").where("source = 'src1'"), "doc_id").select("doc_id", "source", "quality", "n_chars")
 
 
-# Who reviews (R), is asked (C) or told (I) at each workstation.
-INVOLVED = {"W1": "RICI", "W2": "RCCI", "W3": "RIII", "W4": "IRCI", "W5": "RCCI", "W6": "IRCR"}
-REVIEWERS = ["DG", "SME", "SEC", "AIOps"]
-
-
-@query(f"WITH m AS (SELECT * FROM (VALUES {', '.join(f'({chr(39)}{w}{chr(39)}, {i}, {chr(39)}{REVIEWERS[i]}{chr(39)}, {chr(39)}{p}{chr(39)})' for w, ps in INVOLVED.items() for i, p in enumerate(ps))}) t(w, i, role, part)), r AS (SELECT w AS workstation, arg_min(role, i) FILTER (WHERE part = 'R') AS primary_role, coalesce(string_agg(role, ',' ORDER BY i) FILTER (WHERE part = 'C'), '') AS co_review FROM m GROUP BY 1) SELECT o_orderkey, workstation, primary_role, co_review FROM orders JOIN r ON workstation = 'W' || (o_orderkey % 6 + 1)")
+# Who reviews (R), is asked (C) or told (I) at each workstation: workstation, place, role, part.
+INVOLVED = [
+    ("W1", 0, "DG", "R"), ("W1", 1, "SME", "I"), ("W1", 2, "SEC", "C"), ("W1", 3, "AIOps", "I"),
+    ("W2", 0, "DG", "R"), ("W2", 1, "SME", "C"), ("W2", 2, "SEC", "C"), ("W2", 3, "AIOps", "I"),
+    ("W3", 0, "DG", "R"), ("W3", 1, "SME", "I"), ("W3", 2, "SEC", "I"), ("W3", 3, "AIOps", "I"),
+    ("W4", 0, "DG", "I"), ("W4", 1, "SME", "R"), ("W4", 2, "SEC", "C"), ("W4", 3, "AIOps", "I"),
+    ("W5", 0, "DG", "R"), ("W5", 1, "SME", "C"), ("W5", 2, "SEC", "C"), ("W5", 3, "AIOps", "I"),
+    ("W6", 0, "DG", "I"), ("W6", 1, "SME", "R"), ("W6", 2, "SEC", "C"), ("W6", 3, "AIOps", "R"),
+]
+
+
+@query(f"WITH m AS (SELECT * FROM (VALUES {', '.join(map(str, INVOLVED))}) t(w, i, role, part)), r AS (SELECT w AS workstation, arg_min(role, i) FILTER (WHERE part = 'R') AS primary_role, coalesce(string_agg(role, ',' ORDER BY i) FILTER (WHERE part = 'C'), '') AS co_review FROM m GROUP BY 1) SELECT o_orderkey, workstation, primary_role, co_review FROM orders JOIN r ON workstation = 'W' || (o_orderkey % 6 + 1)")
 def reviewer_roles(spark, d):
-    matrix = spark.createDataFrame([(w, i, REVIEWERS[i], p) for w, ps in INVOLVED.items() for i, p in enumerate(ps)], "workstation string, place int, role string, part string")
+    matrix = spark.createDataFrame(INVOLVED, "workstation string, place int, role string, part string")
     roles = V.reviewers(matrix).select("workstation", F.col("primary").alias("primary_role"), F.array_join("co_review", ",").alias("co_review"))
     return read(spark, d, "orders").select("o_orderkey", F.concat(F.lit("W"), (F.col("o_orderkey") % 6 + 1).cast("string")).alias("workstation")).join(roles, "workstation").select("o_orderkey", "workstation", "primary_role", "co_review")
 
