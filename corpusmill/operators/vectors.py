@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import fresh_path
+from ..sources.tables import fresh_path, saved
 
 #: Bytes of query vectors in a pass.
 QUERY_BYTES = 32 << 20
@@ -243,3 +243,94 @@ def coarse_then_fine(found: DataFrame, chunks: DataFrame, queries: DataFrame, k:
 def lists_of(n_rows: int) -> int:
     """A number of lists that fits a number of rows: its square root, 2 to 65,536."""
     return max(2, min(65_536, math.isqrt(n_rows)))
+
+
+#: Vectors in one row of a join of packs.
+PACK = 512
+
+
+def _packs(rows: DataFrame, key: list[str]) -> DataFrame:
+    """key, ids, vectors: the rows (key, id, unit) of each key in packs of PACK, from rows in the order of the key."""
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ids, units, types = None, [], [], []
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([*[pa.array([v], kind) for v, kind in zip(last, types, strict=True)], pa.array([ids]), pa.array([units], pa.list_(pa.list_(pa.float64())))], names=[*key, "ids", "units"])
+
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in key]
+            for r in batch.to_pylist():
+                own = tuple(r[c] for c in key)
+                if ids and (own != last or len(ids) >= PACK):
+                    yield row()
+                    ids, units = [], []
+                last = own
+                ids.append(r["id"])
+                units.append(r["unit"])
+        if ids:
+            yield row()
+
+    schema = ", ".join([*[f"{c} {kinds[c]}" for c in key], f"ids array<{kinds['id']}>", "units array<array<double>>"])
+    # By key and id over the partitions, so that a key with very many vectors is many tasks' and packs.
+    return rows.select(*key, "id", "unit").repartitionByRange(*key, "id").sortWithinPartitions(*key, "id").mapInArrow(pack, schema)
+
+
+def alike_vectors(entities: DataFrame, block: str, least: float = 0.92, n_lists: int = 64, id_col: str = "id", vector_col: str = "vector", guarded: DataFrame | None = None) -> DataFrame:
+    """a, b (a < b by id), score of all pairs of one block whose vectors' cosine, to six places, is at least `least`; exact.
+
+    Vectors are dealt to lists by their nearest centroid. A vector is compared with the lists in which one within the
+    angle can be: those whose centroid is no further than that angle and the list's own widest angle. Lists are joined
+    as packs, by block and list. guarded: values of block whose entities are never merged. Nulls and zero vectors, and
+    vectors of another length than most, have no pairs. least: more than 0.
+    """
+    rows = entities if guarded is None else entities.join(guarded.select(block).distinct(), block, "left_anti")
+    rows = rows.where(F.col(block).isNotNull() & F.col(id_col).isNotNull()).select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
+    kinds, centroids = {f.name: f.dataType.simpleString() for f in rows.schema}, fit_centroids(rows, n_lists, "vector")
+    matrix, slack = np.array(centroids or [[0.0]]), 1e-6
+    theta = math.acos(min(1.0, least - 1e-6))
+
+    def angles(units: np.ndarray) -> np.ndarray:
+        """Of each vector, to each centroid."""
+        return np.arccos(np.clip(units @ matrix.T, -1.0, 1.0))
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = _matrix(batch.column(2), matrix.shape[1])
+            good = np.flatnonzero((units * units).sum(axis=1) > 0)
+            apart = angles(units[good])
+            lists = apart.argmin(axis=1) if len(good) else np.zeros(0, np.int64)
+            own = batch.take(pa.array(good))
+            widest = apart[np.arange(len(good)), lists]
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(lists), pa.array(widest), pa.array(units[good].tolist(), pa.list_(pa.float64()))], names=["block", "id", "list", "angle", "unit"])
+
+    own = saved(rows.mapInArrow(assign, f"block {kinds['block']}, id {kinds['id']}, list long, angle double, unit array<double>"), "assigned")
+    widest = {r[0]: r[1] for r in own.groupBy("list").agg(F.max("angle")).collect()}  # a row a list
+    reach = np.array([widest.get(k, -10.0) for k in range(len(matrix))]) + theta + slack
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = np.array(batch.column(2).to_pylist()).reshape(len(batch), -1)
+            at, lists = np.nonzero(angles(units) <= reach) if len(batch) else (np.zeros(0, np.int64),) * 2
+            for a in range(0, len(at), 10_000):
+                part = batch.take(pa.array(at[a : a + 10_000]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(lists[a : a + 10_000])], names=["block", "id", "unit", "list"])
+
+    asked = own.select("block", "id", "unit").mapInArrow(ask, f"block {kinds['block']}, id {kinds['id']}, unit array<double>, list long")
+    left = _packs(own, ["block", "list"])
+    right = _packs(asked, ["block", "list"]).withColumnsRenamed({"ids": "ids2", "units": "units2"})
+    pairs = left.join(right, ["block", "list"]).select("ids", "units", "ids2", "units2")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                a, u, b, v = (batch.column(c)[k].as_py() for c in range(4))
+                score = np.round(np.clip(np.array(u) @ np.array(v).T, 0.0, 1.0), 6)
+                x, y = np.nonzero(score >= least)
+                found = [(a[i], b[j], float(score[i, j])) for i, j in zip(x.tolist(), y.tolist(), strict=True) if a[i] < b[j]]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["a", "b", "score"])
+
+    return pairs.mapInArrow(compare, f"a {kinds['id']}, b {kinds['id']}, score double")
