@@ -25,6 +25,29 @@ def may_read(user_level: Column, user_dept: Column, doc_level: Column, doc_dept:
     return (access_rank(user_level) >= rank) & ((rank < 2) | same)
 
 
+# The scopes of a user, from all rows to the own ones.
+ALL, CUSTOM, DEPT, DEPT_AND_CHILD, SELF = 1, 2, 3, 4, 5
+
+
+def data_scope(level: int, dept: Column, owner: Column, user: str | None = None, own_dept: object = None, custom: list | None = None, below: list | None = None) -> Column:
+    """A condition for the rows that a user's scope covers, of literals alone, so that it reaches the scan.
+
+    ALL: every row; CUSTOM: of the departments in custom; DEPT: of own_dept; DEPT_AND_CHILD: of own_dept's `below` (it and
+    its descendants); any other level: the rows whose owner is the user. A user without the department, departments or
+    name that the level needs sees nothing, and neither is a row without its department or owner seen but by ALL.
+    """
+    never = F.lit(False)
+    if level == ALL:
+        return F.lit(True)
+    if level == CUSTOM:
+        return dept.isin(*custom) if custom else never
+    if level == DEPT:
+        return never if own_dept is None else dept == own_dept
+    if level == DEPT_AND_CHILD:
+        return dept.isin(*below) if own_dept is not None and below else never
+    return never if user is None or user == "anonymous" else owner == user
+
+
 def descendants(parents: DataFrame, root: str) -> DataFrame:
     """The ids below root (and itself) of a tree (id, parent) of any depth; one join a level, and a cycle ends."""
     level = out = parents.where(F.col("id") == root).select("id").distinct()

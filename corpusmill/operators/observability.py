@@ -80,6 +80,19 @@ def count_buckets(log: DataFrame, keys: list[str], order: list[str], value: str,
     return rows.where(F.col("bucket") > F.col("newest") - last).groupBy(*keys, "bucket").agg(F.count("*").alias("n"), F.round(F.avg(value), 4).alias("avg_value"))
 
 
+def bucket_trend(log: DataFrame, keys: list[str], order: list[str], value: str, size: int = 10, last: int = 30, drop: float = 0.10) -> DataFrame:
+    """keys, samples, n_buckets, current, earliest, delta, trend_alert: the newest of the last buckets of so many rows against the oldest of them.
+
+    trend_alert: the average fell by more than drop. Keys without rows have no row.
+    """
+    buckets = count_buckets(log, keys, order, value, size, last)
+    ends = buckets.groupBy(*keys).agg(F.count("*").alias("n_buckets"), F.max_by("avg_value", "bucket").alias("current"), F.min_by("avg_value", "bucket").alias("earliest"))
+    samples = log.groupBy(*[F.col(k).alias(f"all_{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("samples"))
+    rows = ends.join(samples, reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"all_{i}")) for i, k in enumerate(keys)]))
+    delta = F.round(F.col("current") - F.col("earliest"), 4)
+    return rows.select(*keys, "samples", "n_buckets", "current", "earliest", delta.alias("delta"), (delta < -drop).alias("trend_alert"))
+
+
 def sessions(log: DataFrame, keys: list[str], at: str, gap: str = "10 minutes") -> DataFrame:
     """keys, started, n of runs of a key's rows, each less than the gap after the one before.
 

@@ -76,3 +76,24 @@ def version_chain(rows: DataFrame, base: Column, version: Column, id_col: str) -
     keyed = rows.select(F.col(id_col).alias("id"), base.alias("base"), version.alias("version"))
     place = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("version"), "id"))
     return keyed.withColumn("place", place.cast("long")).withColumn("is_latest", F.col("place") == 1)
+
+
+# Where a title says its version, or else its date, what is cut off the end of what is left, and the
+# version of a title that says neither.
+VERSION, DATE, TAIL, FIRST = r"[vV](\d+(?:\.\d+)*)", r"(\d{4}[-/]?\d{2}[-/]?\d{2})", r"[_\-\s.]+$", "1.0"
+
+
+def titled_versions(rows: DataFrame, title: Column, id_col: str) -> DataFrame:
+    """id, base, version, place (newest 1), is_latest of the titles that share a base with another one.
+
+    The base is the title without versions and dates and what then ends it; titles of which nothing is left are out.
+    Versions are compared as strings, so that 9 comes before 10; ties go by id.
+    """
+    keyed = rows.select(F.col(id_col).alias("id"), F.coalesce(title, F.lit("")).alias("title"))
+    base = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace("title", VERSION, ""), DATE, ""), TAIL, ""))
+    said, dated = F.regexp_extract("title", VERSION, 1), F.regexp_extract("title", DATE, 1)
+    version = F.when(said != "", said).when(dated != "", dated).otherwise(F.lit(FIRST))
+    keyed = keyed.select("id", base.alias("base"), version.alias("version")).where("base <> ''")
+    several = keyed.groupBy("base").agg(F.count("*").alias("n")).where("n > 1").select("base")
+    place = F.row_number().over(Window.partitionBy("base").orderBy(F.desc("version"), "id"))
+    return keyed.join(several, "base", "left_semi").withColumn("place", place.cast("long")).select("id", "base", "version", "place", (F.col("place") == 1).alias("is_latest"))
