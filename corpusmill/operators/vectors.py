@@ -1,7 +1,7 @@
 """Vector search: exact, by an inverted-file index, and from coarse to fine.
 
-Queries are a stated set. They come to the driver block by block (a block has QUERY_BYTES of vectors, whatever the
-table), and for each block one pass multiplies them with the vectors in Arrow batches; a task passes on the k best of
+Queries are a stated set. They come to the driver block by block (a block has QUERY_BYTES of vectors and QUERY_BLOCK
+queries at most, whatever the table), and for each block one pass multiplies them with the vectors in Arrow batches; a task passes on the k best of
 each query so far, so that k rows a query and task are shuffled. Each block's answer is written before the next.
 
 The index deals all vectors to lists by their nearest centroid; centroids are fitted on a bounded sample. A search looks
@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 
 from ..sources.tables import fresh_path, saved
 
-#: Bytes of query vectors in a pass.
-QUERY_BYTES = 32 << 20
+#: Bytes of query vectors, and queries, in a pass at most.
+QUERY_BYTES, QUERY_BLOCK = 32 << 20, 8192
 #: Rows that the centroids are fitted on at most, those with the smallest hashes, and rounds of the fit.
 SAMPLE, ROUNDS = 50_000, 10
 
@@ -90,26 +90,26 @@ def _best(block: list[tuple], k: int, probed: list[np.ndarray] | None, queries:
     return run, f"query_id {queries}, id {ids}, score double"
 
 
-def _query_blocks(queries: DataFrame, query_bytes: int) -> Iterator[list[tuple]]:
+def _query_blocks(queries: DataFrame, query_bytes: int, most: int) -> Iterator[list[tuple]]:
     block, size = [], 0
     for r in queries.select("query_id", "query_vector").toLocalIterator():
         block.append((r[0], r[1]))
         size += 8 * len(r[1] or ())
-        if size >= query_bytes:
+        if size >= query_bytes or len(block) >= most:
             yield block
             block, size = [], 0
     if block:
         yield block
 
 
-def _search(rows: DataFrame, queries: DataFrame, k: int, query_bytes: int, probes=None) -> DataFrame:
+def _search(rows: DataFrame, queries: DataFrame, k: int, query_bytes: int, probes=None, most: int = QUERY_BLOCK) -> DataFrame:
     """rows: id, vector and, with probes, list. probes(block): the lists of each query."""
     spark = rows.sparkSession
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     path, any_ = fresh_path(spark, "nearest"), False
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     schema = f"query_id {kind(queries, 'query_id')}, id {kind(rows, 'id')}, score double, rank int"
-    for block in _query_blocks(queries, query_bytes):
+    for block in _query_blocks(queries, query_bytes, most):
         probed = None if probes is None else probes(block)
         among = rows
         if probed is not None:
@@ -122,7 +122,7 @@ def _search(rows: DataFrame, queries: DataFrame, k: int, query_bytes: int, probe
     return spark.read.schema(schema).parquet(path) if any_ else spark.createDataFrame([], schema)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", allowed: DataFrame | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding", allowed: DataFrame | None = None, query_bytes: int = QUERY_BYTES, block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, id, score, rank of the k nearest vectors of each query by cosine, exact, never the query's own id.
 
     queries: query_id, query_vector. where, and allowed (the ids, in a column named as id_col, that the asker may see),
@@ -130,7 +130,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
     """
     rows = vectors if where is None else vectors.where(where)
     rows = rows if allowed is None else rows.join(allowed.select(id_col).distinct(), id_col, "left_semi")
-    return _search(rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), queries, k, query_bytes)
+    return _search(rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), queries, k, query_bytes, most=block)
 
 
 # ---- the index
