@@ -81,8 +81,9 @@ def bm25_incremental(spark, d):
     return ranked(index.search(C.query_texts(spark, d)), "query_id", "doc_id", "score")
 
 
-@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v FROM embeddings WHERE label <> 3)
-SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM e x JOIN e y ON x.label = y.label AND x.id < y.id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.3""")
+@query("""WITH e AS (SELECT vec_id AS id, label, embedding::DOUBLE[] AS v, min(vec_id) OVER (PARTITION BY label, embedding) AS first FROM embeddings WHERE label <> 3)
+SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS score FROM e x JOIN e y ON x.label = y.label AND x.id < y.id WHERE x.id = x.first AND y.id = y.first AND round(list_cosine_similarity(x.v, y.v), 6) >= 0.3
+UNION ALL SELECT first, id, 1.0::DOUBLE FROM e WHERE id <> first""")
 def alike_vectors(spark, d):
     """Merge candidates by vectors, of one label, but for a guarded one; 0.3, as no given vectors reach the usual 0.92."""
     rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))

@@ -279,8 +279,10 @@ def _packs(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def alike_vectors(entities: DataFrame, block: str, least: float = 0.92, n_lists: int = 64, id_col: str = "id", vector_col: str = "vector", guarded: DataFrame | None = None) -> DataFrame:
-    """a, b (a < b by id), score of all pairs of one block whose vectors' cosine, to six places, is at least `least`; exact.
+    """a, b (a < b by id), score of pairs of one block whose vectors' cosine, to six places, is at least `least`; exact.
 
+    Equal vectors of a block are one class, which the smallest id stands for: pairs are those between such ids, and each
+    other id with its class's (score 1), so that a large group of copies is no square of pairs.
     Vectors are dealt to lists by their nearest centroid. A vector is compared with the lists in which one within the
     angle can be: those whose centroid is no further than that angle and the list's own widest angle. Lists are joined
     as packs, by block and list. guarded: values of block whose entities are never merged. Nulls and zero vectors, and
@@ -288,7 +290,10 @@ def alike_vectors(entities: DataFrame, block: str, least: float = 0.92, n_lists:
     """
     rows = entities if guarded is None else entities.join(guarded.select(block).distinct(), block, "left_anti")
     rows = rows.where(F.col(block).isNotNull() & F.col(id_col).isNotNull()).select(F.col(block).alias("block"), F.col(id_col).alias("id"), F.col(vector_col).alias("vector"))
-    kinds, centroids = {f.name: f.dataType.simpleString() for f in rows.schema}, fit_centroids(rows, n_lists, "vector")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    rows = rows.where(F.exists("vector", lambda x: x != 0))
+    classes = saved(rows.groupBy("block", "vector").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
+    centroids, copied = fit_centroids(classes, n_lists, "vector"), classes.where("n > 1").select("block", "vector", F.col("id").alias("a"))
     matrix, slack = np.array(centroids or [[0.0]]), 1e-6
     theta = math.acos(min(1.0, least - 1e-6))
 
@@ -306,7 +311,7 @@ def alike_vectors(entities: DataFrame, block: str, least: float = 0.92, n_lists:
             widest = apart[np.arange(len(good)), lists]
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(lists), pa.array(widest), pa.array(units[good].tolist(), pa.list_(pa.float64()))], names=["block", "id", "list", "angle", "unit"])
 
-    own = saved(rows.mapInArrow(assign, f"block {kinds['block']}, id {kinds['id']}, list long, angle double, unit array<double>"), "assigned")
+    own = saved(classes.select("block", "id", "vector").mapInArrow(assign, f"block {kinds['block']}, id {kinds['id']}, list long, angle double, unit array<double>"), "assigned")
     widest = {r[0]: r[1] for r in own.groupBy("list").agg(F.max("angle")).collect()}  # a row a list
     reach = np.array([widest.get(k, -10.0) for k in range(len(matrix))]) + theta + slack
 
@@ -333,4 +338,6 @@ def alike_vectors(entities: DataFrame, block: str, least: float = 0.92, n_lists:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["a", "b", "score"])
 
-    return pairs.mapInArrow(compare, f"a {kinds['id']}, b {kinds['id']}, score double")
+    between = pairs.mapInArrow(compare, f"a {kinds['id']}, b {kinds['id']}, score double")
+    held = rows.where(F.size("vector") == matrix.shape[1]).join(copied, ["block", "vector"]).where("id <> a")
+    return between.union(held.select("a", F.col("id").alias("b"), F.lit(1.0).alias("score")))

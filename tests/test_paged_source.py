@@ -84,10 +84,14 @@ def test_alike_vectors_are_all_found(spark):
     draw = np.random.default_rng(3)
     base = draw.normal(size=(20, 6))
     rows = [(i, "xyz"[i % 3], [float(x) for x in base[i % 20] + 0.3 * draw.normal(size=6)]) for i in range(300)] + [(900, "x", None), (901, "x", [0.0] * 6), (902, None, [1.0] * 6), (903, "x", [1.0])]
+    rows += [(1000 + k, "x", rows[3][2]) for k in range(40)] + [(1100, "y", rows[3][2])]
     df = spark.createDataFrame(rows, "id long, kind string, vector array<double>")
-    unit = {i: (k, np.array(v) / np.linalg.norm(v)) for i, k, v in rows if k and v and len(v) == 6 and any(v)}
+    first = {}
+    for i, k, v in rows:
+        first.setdefault((k, str(v)), i)
+    unit = {i: (k, np.array(v) / np.linalg.norm(v)) for i, k, v in rows if k and v and len(v) == 6 and any(v) and first[k, str(v)] == i}
     for least in (0.92, 0.5):
         got = vectors.alike_vectors(df, "kind", least, n_lists=9, guarded=spark.createDataFrame([("z",)], "kind string")).collect()
-        want = {(i, j) for i, (k, u) in unit.items() for j, (m, v) in unit.items() if i < j and k == m != "z" and round(float(u @ v), 6) >= least}
+        want = {(i, j) for i, (k, u) in unit.items() for j, (m, v) in unit.items() if i < j and k == m != "z" and round(float(u @ v), 6) >= least} | {(3, 1000 + k) for k in range(40)}
         assert {(r["a"], r["b"]) for r in got} == want and len(got) == len(want) > 100
     assert vectors.alike_vectors(df.limit(0), "kind").count() == 0
