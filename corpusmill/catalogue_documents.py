@@ -233,10 +233,10 @@ def graph_metrics(spark, d):
     return out.withColumn("kinds", kinds)
 
 
-@query("WITH m AS (SELECT 'm' || p_partkey AS module FROM part), e AS (SELECT DISTINCT 'm' || l_suppkey AS source, 'm' || l_partkey AS target FROM lineitem WHERE l_suppkey <> l_partkey AND l_partkey % 3 = 0), i AS (SELECT target AS module, count(*) AS n FROM e WHERE target IN (SELECT module FROM m) GROUP BY 1), o AS (SELECT source AS module, count(*) AS n FROM e WHERE target IN (SELECT module FROM m) GROUP BY 1) SELECT module, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, 5 + least(20, coalesce(i.n, 0) + coalesce(o.n, 0)) AS size, coalesce(i.n, 0) = 0 AND module NOT IN ('m1', 'm2') AS is_dead FROM m LEFT JOIN i USING (module) LEFT JOIN o USING (module)")
+@query("WITH m AS (SELECT 'm' || p_partkey AS module FROM part), e AS (SELECT DISTINCT 'm' || l_suppkey AS source, 'm' || l_partkey AS target FROM lineitem WHERE l_suppkey <> l_partkey), i AS (SELECT target AS module, count(*) AS n FROM e WHERE target IN (SELECT module FROM m) GROUP BY 1), o AS (SELECT source AS module, count(*) AS n FROM e WHERE target IN (SELECT module FROM m) GROUP BY 1) SELECT module, coalesce(i.n, 0) AS in_degree, coalesce(o.n, 0) AS out_degree, 5 + least(20, coalesce(i.n, 0) + coalesce(o.n, 0)) AS size, coalesce(i.n, 0) = 0 AND module NOT IN ('m1', 'm2') AS is_dead FROM m LEFT JOIN i USING (module) LEFT JOIN o USING (module)")
 def module_stats(spark, d):
     name = lambda c: F.concat(F.lit("m"), c)
-    imports = read(spark, d, "lineitem").where("l_partkey % 3 = 0").select(name("l_suppkey").alias("source"), name("l_partkey").alias("target"))
+    imports = read(spark, d, "lineitem").select(name("l_suppkey").alias("source"), name("l_partkey").alias("target"))
     return D.module_stats(read(spark, d, "part").select(name("p_partkey").alias("module")), imports, ["m1", "m2"])
 
 

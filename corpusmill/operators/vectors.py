@@ -133,6 +133,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
     return _search(rows.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")), queries, k, query_bytes, most=block)
 
 
+def nearest_in(rows: DataFrame, queries: DataFrame, k: int, lists) -> DataFrame:
+    """As nearest, over rows (id, vector, list: an int), each query among its own lists: lists(block of (query_id, vector)) names them, a set a query."""
+    return _search(rows, queries, k, QUERY_BYTES, lists)
+
+
 # ---- the index
 
 
