@@ -21,15 +21,22 @@ def ranked_scores(postings: DataFrame, df: DataFrame, terms: DataFrame, n: Colum
 
     n: number of documents; mean: their mean length. only: the (query_id, doc_id) asked for, with k None.
     """
-    scored = postings.join(df, "term").join(terms, "term").withColumns({"n": n, "mean": mean})
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scores = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 8).alias("raw"))
+
+    def summed(rows: DataFrame, on: list[str]) -> DataFrame:
+        scored = rows.join(df, "term").join(terms, on).withColumns({"n": n, "mean": mean})
+        return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 8).alias("raw"))
+
     score = F.round(F.col("raw") / F.col("best"), 4).alias("score")
+    if only is not None:  # the best score takes all documents, dealt once by document and not once for each query; the rest only those asked for
+        best = summed(postings.repartition("doc_id"), ["term"]).groupBy("query_id").agg(F.max("raw").alias("best"))
+        asked = summed(postings.join(only.select("query_id", "doc_id").distinct(), "doc_id"), ["query_id", "term"])
+        return asked.join(best, "query_id").select("query_id", "doc_id", score)
+    scores = summed(postings, ["term"])
     if k is None:
         best = scores.groupBy("query_id").agg(F.max("raw").alias("best"))
-        asked = scores if only is None else scores.join(only.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
-        return asked.join(best, "query_id").select("query_id", "doc_id", score)
+        return scores.join(best, "query_id").select("query_id", "doc_id", score)
     first = Window.partitionBy("query_id").orderBy(F.desc("raw"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = scores.withColumns({"rank": F.row_number().over(first), "best": F.first("raw").over(first)})  # tasks pass on k rows a query
     return out.where(F.col("rank") <= k).select("query_id", "doc_id", score, "rank")
