@@ -61,7 +61,7 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str =
     counts = saved(reduce(DataFrame.union, counted), "postings")
     stats = counts.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
     postings = counts.where("term <> ''")
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
+    df = saved(postings.groupBy("term").agg(F.count("*").alias("df")), "df")  # a row for each of the stated queries' terms: its written size decides on a broadcast
     seen = postings if allowed is None else postings.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     return ranked_scores(seen, df, terms, F.lit(stats["n"]), F.lit(stats["mean"] or 1.0), k, only)
 
