@@ -14,6 +14,8 @@ from .keyword_index import TERMS, postings_of
 from .vectors import nearest  # noqa: F401  the exact search is part of this module's surface
 
 K1, B = 1.5, 0.75
+#: Pairs of a stated query and a term up to which they, and the document frequencies (no more than those), are broadcast.
+BROADCAST_TERMS = 200_000
 
 
 def ranked_scores(postings: DataFrame, df: DataFrame, terms: DataFrame, n: Column, mean: Column, k: int | None, only: DataFrame | None = None) -> DataFrame:
@@ -48,7 +50,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str =
     queries: query_id, query; a stated set. A term that a query repeats counts again. Texts are read and tokenised once,
     and of the tokens only the queries' terms are kept, by a broadcast list of at most TERMS of them a pass; a document
     leaves a row for each of those, and one with its length. That small table is written, and sizes, document
-    frequencies and scores come from it. only: the (query_id, doc_id) whose scores are asked for (k None). allowed: the
+    frequencies and scores come from it. Terms and frequencies are broadcast up to BROADCAST_TERMS of them, by their
+    count and not by the size of their files; more are joined as their sizes say. only: the (query_id, doc_id) whose scores are asked for (k None). allowed: the
     doc_id that may be found; statistics are those of all documents.
     """
     terms = saved(queries.select("query_id", F.explode(search_tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")), "terms")
@@ -61,7 +64,9 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int | None = 10, id_col: str =
     counts = saved(reduce(DataFrame.union, counted), "postings")
     stats = counts.where("term = ''").agg(F.count("*").alias("n"), F.coalesce(F.avg("length"), F.lit(1.0)).alias("mean")).first()
     postings = counts.where("term <> ''")
-    df = saved(postings.groupBy("term").agg(F.count("*").alias("df")), "df")  # a row for each of the stated queries' terms: its written size decides on a broadcast
+    df = saved(postings.groupBy("term").agg(F.count("*").alias("df")), "df")
+    if terms.count() <= BROADCAST_TERMS:
+        df, terms = F.broadcast(df), F.broadcast(terms)
     seen = postings if allowed is None else postings.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
     return ranked_scores(seen, df, terms, F.lit(stats["n"]), F.lit(stats["mean"] or 1.0), k, only)
 
