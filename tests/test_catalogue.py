@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from corpusmill import catalogue, catalogue_documents, catalogue_graph, catalogue_retrieval, catalogue_review, catalogue_rules, catalogue_search, catalogue_tables, catalogue_taxonomy
+from corpusmill import catalogue, catalogue_documents, catalogue_graph, catalogue_parsed, catalogue_retrieval, catalogue_review, catalogue_rules, catalogue_search, catalogue_tables, catalogue_taxonomy
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -21,7 +21,7 @@ def plain(v):
     return f"{v:.6g}" if isinstance(v, float) else v.isoformat() if hasattr(v, "isoformat") else str(v)
 
 
-PARTS = catalogue, catalogue_review, catalogue_documents, catalogue_search, catalogue_graph, catalogue_tables, catalogue_rules, catalogue_taxonomy, catalogue_retrieval
+PARTS = catalogue, catalogue_review, catalogue_documents, catalogue_search, catalogue_graph, catalogue_tables, catalogue_rules, catalogue_taxonomy, catalogue_retrieval, catalogue_parsed
 QUERIES, ORACLE_SQL = ({k: v for p in PARTS for k, v in getattr(p, of).items()} for of in ("QUERIES", "ORACLE_SQL"))
 
 
