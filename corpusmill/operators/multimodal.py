@@ -25,7 +25,7 @@ def cut(text: Column, most: int) -> Column:
 
 
 def filled(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(r"\S"))
+    return F.btrim(text, F.lit(" \t\n\r\x0b\x0c")) != ""
 
 
 def on_page(page: Column) -> Column:
