@@ -1,8 +1,8 @@
 """Vector search: exact, by an inverted-file index, and from coarse to fine.
 
 Queries are a stated set. They come to the driver block by block (a block has QUERY_BYTES of vectors and QUERY_BLOCK
-queries at most, whatever the table), and for each block one pass multiplies them with the vectors in Arrow batches; a task passes on the k best of
-each query so far, so that k rows a query and task are shuffled. Each block's answer is written before the next.
+queries at most, whatever the table), and for each block one pass multiplies them with the vectors in Arrow batches; scores are
+made in tiles of a fixed size, and a task passes on the k best of each query, so that k rows a query and task are shuffled. Each block's answer is written before the next.
 
 The index deals all vectors to lists by their nearest centroid; centroids are fitted on a bounded sample. A search looks
 only into the lists whose centroids are nearest to the query; with as many probes as lists it is the exact search.
@@ -26,6 +26,9 @@ from ..sources.tables import fresh_path, saved
 
 #: Bytes of query vectors, and queries, in a pass at most.
 QUERY_BYTES, QUERY_BLOCK = 32 << 20, 8192
+#: Queries and vectors of a tile of scores, found rows that a task holds (which bounds the queries of a pass where k is
+#: large), and pairs of a query and a list in a pass of an index.
+TILE, HELD, PLACES = (1024, 2048), 1 << 20, 32 << 20
 #: Rows that the centroids are fitted on at most, those with the smallest hashes, and rounds of the fit.
 SAMPLE, ROUNDS = 50_000, 10
 
@@ -47,52 +50,81 @@ def _unit(vector: list[float] | None) -> np.ndarray:
     return v / (np.sqrt((v * v).sum()) or 1.0)
 
 
-def _best(block: list[tuple], k: int, probed: list[np.ndarray] | None, queries: str, ids: str):
-    """A function over batches of (id, vector[, list]) that gives the k best (query_id, id, score) of each query of the block."""
-    dims: dict[int, list[int]] = {}
+def _best(block: list[tuple], k: int, probed: dict[int, np.ndarray] | None, queries: str, ids: str):
+    """A function over batches of (id, vector[, list]) that gives the k best (query_id, id, score) of each query of the block.
+
+    probed: for each list the queries that look into it, as packed bits. Scores are made tile by tile, and of a tile only what
+    can be among the k best is taken out, so that a task holds a few tiles and k rows a query, whatever the block and the batch.
+    """
     units = [_unit(v) for _, v in block]
-    for n, u in enumerate(units):
-        dims.setdefault(len(u), []).append(n)
-    names = np.array([q for q, _ in block])
+    sizes = np.array([len(u) for u in units])
+    groups = [(int(n), np.flatnonzero(sizes == n)) for n in np.unique(sizes)]
+    groups = [(n, at, np.array([units[i] for i in at]).reshape(len(at), n)) for n, at in groups]
+    names, count = [q for q, _ in block], len(block)
+    del block, units
+
+    def best_of(score: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and columns of scores that reach the least of their row; where those are many, the k best of each row, ties by column."""
+        fits = score >= least[:, None]
+        width = score.shape[1]
+        if width <= k or np.count_nonzero(fits) <= 4 * k * len(score):
+            return np.nonzero(fits)
+        part = np.argpartition(score * width - np.arange(width), width - k, axis=1)[:, width - k :]
+        a, b = np.nonzero(np.take_along_axis(fits, part, axis=1))
+        return a, part[a, b]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_q, held_s, held_id = np.zeros(0, np.int64), np.zeros(0), None
-        least = np.full(len(block), -1.0)
+        held, held_id, kind = np.full((count, k), -1.0), None, None  # scores in millionths, -1 where there is none yet
         for batch in batches:
-            own = batch.column(0).to_numpy(zero_copy_only=False)
-            if not len(own):
+            if not batch.num_rows:
                 continue
-            lists = batch.column(2).to_numpy(zero_copy_only=False) if probed is not None else np.zeros(len(own), np.int64)
-            for dim, members in dims.items():
-                v, at = _matrix(batch.column(1), dim), np.array(members)
+            order = np.argsort(batch.column(0).to_numpy(zero_copy_only=False), kind="stable")  # so that ties in a tile go by column
+            own = batch.column(0).to_numpy(zero_copy_only=False)[order]
+            lists = batch.column(2).to_numpy(zero_copy_only=False)[order] if probed is not None else np.zeros(len(own), np.int64)
+            if held_id is None:
+                kind, held_id = batch.column(0).type, np.full((count, k), own[0], own.dtype)
+                try:
+                    asker = pa.array(names, kind).to_numpy(zero_copy_only=False)
+                except (pa.ArrowInvalid, pa.ArrowTypeError):  # ids of another type are never a query's own
+                    asker = None
+            for dim, at, matrix in groups:
+                v = _matrix(batch.column(1), dim)[order]
                 for number in np.unique(lists):
-                    rows = np.flatnonzero(lists == number)
-                    asked = at if probed is None else at[[number in probed[n] for n in members]]
-                    if not len(asked):
-                        continue
-                    q = np.array([units[n] for n in asked])
-                    score = np.round(np.clip(q @ v[rows].T, 0.0, 1.0), 6)
-                    fits = (score >= least[asked][:, None]) & (names[asked][:, None] != own[rows][None, :])
-                    a, b = np.nonzero(fits)
-                    held_q, held_s = np.concatenate((held_q, asked[a])), np.concatenate((held_s, score[a, b]))
-                    held_id = own[rows[b]] if held_id is None else np.concatenate((held_id, own[rows[b]]))
-                    order = np.lexsort((held_id, -held_s, held_q))
-                    held_q, held_s, held_id = held_q[order], held_s[order], held_id[order]
-                    rank = np.arange(len(held_q)) - np.searchsorted(held_q, held_q)
-                    last = rank == k - 1
-                    least[held_q[last]] = held_s[last]
-                    keep = rank < k
-                    held_q, held_s, held_id = held_q[keep], held_s[keep], held_id[keep]
-        if held_id is not None and len(held_q):
-            columns = [pa.array(names[held_q].tolist()), pa.array(held_id.tolist()), pa.array(held_s)]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
+                    among = np.flatnonzero(lists == number)
+                    some = np.arange(len(at)) if probed is None else np.flatnonzero(np.unpackbits(probed[int(number)], count=count)[at])
+                    for x in range(0, len(some), TILE[0]):
+                        q, asked = matrix[some[x : x + TILE[0]]], at[some[x : x + TILE[0]]]
+                        for y in range(0, len(among), TILE[1]):
+                            rows = among[y : y + TILE[1]]
+                            score = q @ v[rows].T
+                            np.clip(score, 0.0, 1.0, out=score)
+                            np.rint(np.multiply(score, 1e6, out=score), out=score)
+                            if asker is not None:
+                                low, high = (np.searchsorted(own[rows], asker[asked], side) for side in ("left", "right"))
+                                for i in np.flatnonzero(high > low):
+                                    score[i, low[i] : high[i]] = -1.0
+                            a, b = best_of(score, np.maximum(held[asked, k - 1], 0.0))
+                            if not len(a):
+                                continue
+                            new, place = np.unique(a, return_inverse=True)
+                            mine = asked[new]
+                            by = np.concatenate((np.repeat(np.arange(len(mine)), k), place))
+                            points, found = np.concatenate((held[mine].ravel(), score[a, b])), np.concatenate((held_id[mine].ravel(), own[rows[b]]))
+                            to = np.lexsort((found, -points, by))
+                            to = to[np.arange(len(to)) - np.searchsorted(by[to], by[to]) < k]
+                            held[mine], held_id[mine] = points[to].reshape(-1, k), found[to].reshape(-1, k)
+        for x in range(0, count if held_id is not None else 0, TILE[0]):
+            a, b = np.nonzero(held[x : x + TILE[0]] >= 0)
+            columns = [pa.array([names[x + i] for i in a.tolist()]), pa.array(held_id[x + a, b].tolist(), kind), pa.array(held[x + a, b] / 1e6)]
+            if len(a):
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "id", "score"])
 
     return run, f"query_id {queries}, id {ids}, score double"
 
 
 def _query_blocks(queries: DataFrame, query_bytes: int, most: int) -> Iterator[list[tuple]]:
     block, size = [], 0
-    for r in queries.select("query_id", "query_vector").toLocalIterator():
+    for r in queries.where("query_id is not null").select("query_id", "query_vector").toLocalIterator():
         block.append((r[0], r[1]))
         size += 8 * len(r[1] or ())
         if size >= query_bytes or len(block) >= most:
@@ -103,18 +135,17 @@ def _query_blocks(queries: DataFrame, query_bytes: int, most: int) -> Iterator[l
 
 
 def _search(rows: DataFrame, queries: DataFrame, k: int, query_bytes: int, probes=None, most: int = QUERY_BLOCK) -> DataFrame:
-    """rows: id, vector and, with probes, list. probes(block): the lists of each query."""
-    spark = rows.sparkSession
+    """rows: id, vector and, with probes, list. probes(block): for each list the queries that look into it, as packed bits."""
+    spark, rows = rows.sparkSession, rows.where("id is not null")
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     path, any_ = fresh_path(spark, "nearest"), False
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
     schema = f"query_id {kind(queries, 'query_id')}, id {kind(rows, 'id')}, score double, rank int"
-    for block in _query_blocks(queries, query_bytes, most):
+    for block in _query_blocks(queries, query_bytes, max(1, min(most, HELD // k))):
         probed = None if probes is None else probes(block)
         among = rows
         if probed is not None:
-            wanted = sorted({int(x) for own in probed for x in own})
-            among = rows.where(F.col("list").isin(wanted))  # prunes the folders of the other lists
+            among = rows.where(F.col("list").isin(sorted(probed)))  # prunes the folders of the other lists
         run, found = _best(block, k, probed, kind(queries, "query_id"), kind(rows, "id"))
         answer = among.mapInArrow(run, found).withColumn("rank", rank).where(F.col("rank") <= k)
         answer.write.mode("append").parquet(path)
@@ -126,7 +157,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
     """query_id, id, score, rank of the k nearest vectors of each query by cosine, exact, never the query's own id.
 
     queries: query_id, query_vector. where, and allowed (the ids, in a column named as id_col, that the asker may see),
-    leave rows out before the k best are taken. A null vector, or one of another length, scores 0. Ties go by id.
+    leave rows out before the k best are taken. A null vector, or one of another length, scores 0. Ties go by id. Null ids are
+    never found and never ask.
     """
     rows = vectors if where is None else vectors.where(where)
     rows = rows if allowed is None else rows.join(allowed.select(id_col).distinct(), id_col, "left_semi")
@@ -135,7 +167,15 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, where: Column |
 
 def nearest_in(rows: DataFrame, queries: DataFrame, k: int, lists) -> DataFrame:
     """As nearest, over rows (id, vector, list: an int), each query among its own lists: lists(block of (query_id, vector)) names them, a set a query."""
-    return _search(rows, queries, k, QUERY_BYTES, lists)
+
+    def bits(block: list[tuple]) -> dict[int, np.ndarray]:
+        of: dict[int, list[int]] = {}
+        for n, own in enumerate(lists(block)):
+            for number in own:
+                of.setdefault(int(number), []).append(n)
+        return {number: np.packbits(np.isin(np.arange(len(block)), members)) for number, members in of.items()}
+
+    return _search(rows, queries, k, QUERY_BYTES, bits)
 
 
 # ---- the index
@@ -153,8 +193,13 @@ def fit_centroids(vectors: DataFrame, n_lists: int, vector_col: str = "embedding
 
 
 def _nearest_lists(units: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """The n lists nearest to each row, the nearest first, ties by number."""
-    return np.argsort(-np.round(units @ centroids.T, 12), axis=1, kind="stable")[:, :n]
+    """The n lists nearest to each row, the nearest first, ties by number; a tile of rows and lists at a time."""
+    out = np.zeros((len(units), min(n, len(centroids))), np.int32)
+    step = max(1, TILE[0] * TILE[1] // len(centroids))
+    for x in range(0, len(units), step):
+        near = np.round(units[x : x + step] @ centroids.T, 12)
+        out[x : x + step] = near.argmax(axis=1)[:, None] if n == 1 else np.argsort(-near, axis=1, kind="stable")[:, :n]
+    return out
 
 
 def build_index(vectors: DataFrame, path: str, n_lists: int = 128, id_col: str = "vec_id", vector_col: str = "embedding", keep: tuple[str, ...] = (), sample: int = SAMPLE) -> int:
@@ -186,11 +231,13 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
     rows = rows if where is None else rows.where(where)
     rows = rows if allowed is None else rows.join(allowed.select("id").distinct(), "id", "left_semi")
 
-    def probes(block: list[tuple]) -> list[set[int]]:
+    def probes(block: list[tuple]) -> dict[int, np.ndarray]:
         units = np.array([u if len(u) == centroids.shape[1] else np.zeros(centroids.shape[1]) for u in (_unit(v) for _, v in block)])
-        return [set(own) for own in _nearest_lists(units, centroids, n_probe).tolist()]
+        looks = np.zeros((len(centroids), len(block)), bool)
+        looks[_nearest_lists(units, centroids, n_probe), np.arange(len(block))[:, None]] = True
+        return {int(n): np.packbits(looks[n]) for n in np.flatnonzero(looks.any(axis=1))}
 
-    return _search(rows.select("id", "vector", "list"), queries, k, query_bytes, probes)
+    return _search(rows.select("id", "vector", "list"), queries, k, query_bytes, probes, max(1, min(QUERY_BLOCK, PLACES // len(centroids))))
 
 
 def probes_for(spark: SparkSession, path: str, recall: float = 0.95, k: int = 10, sample: int = 256) -> int:
