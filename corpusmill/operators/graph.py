@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import saved
+from ..sources.tables import dealt, saved
 from .names import alike_names
 
 
@@ -20,27 +22,38 @@ def merge_edges(relations: DataFrame, keys: list[str]) -> DataFrame:
     return relations.groupBy(*keys).agg(F.count("*").alias("weight"))
 
 
-#: Documents of an entity whose pairs are made in one place.
-SHARED = 200
+#: Documents of an entity whose pairs are made in one place, and pairs of one task.
+SHARED, PAIRS = 200, 4_000_000
 
 
-def shared_entities(bridge: DataFrame, most: int | None = None) -> DataFrame:
+def shared_entities(bridge: DataFrame, most: int | None = None, pairs_a_task: int = PAIRS) -> DataFrame:
     """Pairs of documents (a < b) and how many entities they share. bridge: doc, entity.
 
     An entity that n documents have makes n squared pairs, which is the result asked for; most leaves out entities of
     more documents than that, which say little about any two of them. The first documents of the pairs of an entity with
-    more than SHARED are dealt to parts of about so many, and the second ones go to all of its parts; pairs are counted
-    before the shuffle.
+    more than SHARED are dealt to parts of about so many, and the second ones go to all of its parts.
+
+    The pairs are counted beforehand from the sizes of entities, and there are as many tasks as hold pairs_a_task each,
+    however many the session asks for. Where there are more pairs of different documents than that, the pairs of a task are mostly
+    different, so they are dealt by documents as they are; of few documents they are summed before the shuffle.
     """
-    rows = bridge.distinct()
+    rows = dealt(bridge.select("doc", "entity"), "doc", "entity").distinct()
     if most is not None:
         rare = rows.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") <= most)
         rows = rows.join(rare.select("entity"), "entity", "left_semi")
-    sizes = rows.groupBy("entity").agg(F.ceil(F.count("*") / SHARED).cast("int").alias("parts")).where("parts > 1")
+    rows = saved(rows.select("doc", "entity"), "bridge")
+    n = saved(rows.groupBy("entity").agg(F.count("*").alias("n")), "sizes")
+    made, docs = (x or 0 for x in n.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2), rows.agg(F.count_distinct("doc")).scalar()).first())
+    tasks = math.ceil(made / pairs_a_task) or 1
+    sizes = n.select("entity", F.ceil(F.col("n") / SHARED).cast("int").alias("parts")).where("parts > 1")
     rows = rows.join(sizes, "entity", "left").select("entity", "doc", F.coalesce("parts", F.lit(1)).alias("parts"))
     firsts = rows.select("entity", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.col("doc").alias("a"))
     seconds = rows.select("entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc").alias("b"))
-    return firsts.join(seconds, ["entity", "part"]).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    at = ["entity", "part"]
+    pairs = firsts.repartition(tasks, *at).join(seconds.repartition(tasks, *at), at).where("a < b").select("a", "b")
+    if docs * docs / 2 > pairs_a_task:
+        pairs = pairs.repartition(tasks, "a", "b")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"))
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:

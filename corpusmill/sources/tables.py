@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of one task where rows are dealt by their number.
+ROWS = 1_000_000
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,3 +33,8 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
+    """df dealt by its keys to as many tasks as hold so many rows each, however many the session asks for. It is counted first."""
+    return df.repartition(math.ceil(df.count() / rows) or 1, *keys)
