@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import chunk_id, mapping_id
+from ..sources.tables import ROWS, dealt
 from .corpus import boundary_chunks
 
 # Surnames, titles with their roles, and units, that make a span a person or a parameter.
@@ -174,15 +175,17 @@ def graph_metrics(nodes: DataFrame, edges: DataFrame, known: list[str]) -> DataF
     return kinds.join(of).select("n_nodes", "n_edges", "kinds", F.coalesce(F.round(F.try_divide(F.col("custom").cast("double"), F.col("n_edges").cast("double")), 4), F.lit(0.0)).alias("custom_ratio"))
 
 
-def module_stats(modules: DataFrame, imports: DataFrame, entries: list[str]) -> DataFrame:
+def module_stats(modules: DataFrame, imports: DataFrame, entries: list[str], rows_a_task: int = ROWS) -> DataFrame:
     """module, in_degree, out_degree, size, is_dead: modules (module) by their imports (source, target), without loops and repeats.
 
-    Dead is what nothing imports and is no entry.
+    Dead is what nothing imports and is no entry. Imports are dealt by their number before repeats go, so that a task holds about
+    rows_a_task of them; the join holds a part of the modules in memory and lets the imports pass, which are not sorted.
     """
-    one = imports.where("source <> target").select("source", "target").distinct()
+    one = dealt(imports.where("source <> target").select("source", "target"), "source", "target", rows=rows_a_task).distinct()
     known = modules.select("module").distinct()
-    one = one.join(known.withColumnRenamed("module", "target"), "target", "left_semi")
-    ends = one.select(F.col("target").alias("module"), F.lit(1).alias("i"), F.lit(0).alias("o")).union(one.select("source", F.lit(0), F.lit(1)))
+    one = one.join(known.withColumnRenamed("module", "target").hint("shuffle_hash"), "target", "left_semi")
+    end = lambda name, i, o: F.struct(F.col(name).alias("module"), F.lit(i).alias("i"), F.lit(o).alias("o"))
+    ends = one.select(F.explode(F.array(end("target", 1, 0), end("source", 0, 1))).alias("x")).select("x.*")
     deg = ends.groupBy("module").agg(F.sum("i").alias("in_degree"), F.sum("o").alias("out_degree"))
     out = known.join(deg, "module", "left").fillna(0, ["in_degree", "out_degree"])
     dead = (F.col("in_degree") == 0) & ~F.col("module").isin(entries) & ~F.endswith("module", F.lit(".__main__"))
