@@ -16,8 +16,8 @@ from .common import let, quoted, whole
 #: Buckets of words, of word pairs, and of both.
 WORD_BUCKETS, PAIR_BUCKETS = 1 << 20, 1 << 16
 BUCKETS = WORD_BUCKETS + PAIR_BUCKETS
-#: Labelled rows used at most, those of the smallest hashes; the bound of what is broadcast.
-MAX_LABELS = 20_000
+#: Labelled rows up to which they are broadcast; more are joined by a shuffle of the texts.
+BROADCAST_LABELS = 500_000
 #: Added to the observed and to the expected target count of a bucket, since rare buckets say little, and the least
 #: |ln ratio| that counts; words, pairs.
 PRIORS, LEAST = (3.0, 10.0), (1.0, 0.5)
@@ -41,14 +41,19 @@ def buckets_of(hashes: Column) -> Column:
     return F.concat(one, F.array_compact(two))
 
 
-def labelled_sample(labels: DataFrame, good: Column, max_labels: int = MAX_LABELS, id_col: str = "doc_id") -> DataFrame:
-    """Columns __id, __good, __fold (0: fits the model, 1: sets the threshold); at most max_labels rows, one for each id.
+def labelled_sample(labels: DataFrame, good: Column, id_col: str = "doc_id") -> DataFrame:
+    """Columns __id, __good, __fold (0: fits the model, 1: sets the threshold): all labelled ids, one row each.
 
     An id with several labels is good only if all are; null ids and null labels don't count.
     """
     one = labels.select(F.col(id_col).alias("__id"), good.alias("__good")).dropna()
     one = one.groupBy("__id").agg(F.min("__good").alias("__good"))
-    return one.orderBy(F.xxhash64("__id"), "__id").limit(max_labels).withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(2)))
+    return one.withColumn("__fold", F.pmod(F.xxhash64("__id", F.lit("fold")), F.lit(2)))
+
+
+def beside(sample: DataFrame, most: int = BROADCAST_LABELS) -> DataFrame:
+    """sample (written) for a join with texts: broadcast if it is small, or else hashed by parts, so that texts are not sorted."""
+    return F.broadcast(sample) if sample.count() <= most else sample.hint("shuffle_hash")
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, least: tuple[float, float] = LEAST) -> DataFrame:
@@ -59,7 +64,7 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, l
     Without documents or target words all ratios are 0.
     """
     fit = sample.where(F.col("__good") & (F.col("__fold") == 0)).select("__id", F.lit(1).alias("__fit"))
-    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(F.broadcast(fit), "__id", "left")
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(beside(fit), "__id", "left")
     grams = rows.select("__fit", F.explode(let(hashes_of(F.col("__text")), buckets_of)).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("__fit").alias("target"))
     every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left").fillna(0)

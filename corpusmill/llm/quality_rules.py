@@ -1,7 +1,8 @@
 """Quality rules: repetition and length rules, then the hashed n-gram log-likelihood ratio between a trusted target and
 the raw corpus, length-normalised and compared with one threshold for every document. DataFrame functions only.
 
-Scale: three passes over the texts, none of which shuffles a text. The passes shuffle bucket counts (at most BUCKETS rows
+Scale: three passes over the texts, none of which shuffles a text, unless there are more than BROADCAST_LABELS labelled
+ids to join with them. The passes shuffle bucket counts (at most BUCKETS rows
 a task) and score bins. All rules look at one row, so no key can be hot.
 """
 
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import columns_but, documents, let, quoted, table, unused, whole
-from .ngram_lm import LEAST, MAX_LABELS, best_cut, hashes_of, labelled_sample, log_ratio_sum, log_ratios
+from .common import columns_but, documents, let, quoted, table, unused, whole, written
+from .ngram_lm import LEAST, beside, best_cut, hashes_of, labelled_sample, log_ratio_sum, log_ratios
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -57,7 +58,7 @@ def base_rules(text: Column) -> list[Column]:
     return [words.alias("w"), F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines")]
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_labels: int = MAX_LABELS, keep: float = 0.99, least: tuple[float, float] = LEAST) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.99, least: tuple[float, float] = LEAST) -> DataFrame:
     """All columns of docs and the struct `quality` (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score, cut, kept).
 
     labels: id, quality, toxic; good is quality 1 and not toxic. score: micro-nats of ln(target / raw) of its words and
@@ -67,9 +68,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     `quality` is replaced.
     """
     good = (F.col("quality") == 1) & (F.col("toxic") == 0)
-    sample = labelled_sample(labels, good, max_labels)
+    sample = written(labelled_sample(labels, good), "sample")
     ratios = log_ratios(docs, sample, id_col, text_col, least)
-    held = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(F.broadcast(sample.where("__fold = 1")), "__id")
+    held = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(beside(sample.where("__fold = 1")), "__id")
     cut = best_cut(scored(held, "__text", ratios, "s").selectExpr("__good", "s / 1000 as s"), "__good", "s", keep)
     score, found = unused(docs, "score", "found")
     fields = F.struct(*base_rules(F.col(quoted(text_col))), F.col(score).alias("score"), (cut.scalar() * 1000).cast("long").alias("cut"))

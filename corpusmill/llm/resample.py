@@ -10,8 +10,8 @@ between the two models by chance and drown the few words that tell documents apa
 on held-out labelled rows says how many documents to draw, and sets the temperature: a median trusted document weighs
 e^MARGIN times one on the cut.
 
-Scale: no text is shuffled. Each task counts in arrays of fixed size and sends them compressed; they are added up in
-PARTS tasks as they stream by. What is broadcast is the table of ratios (2 * SLOTS floats) and at most MAX_LABELS ids,
+Scale: no text is shuffled, unless there are more than BROADCAST_LABELS labelled ids. Each task counts in arrays of fixed size and sends them compressed; they are added up in
+PARTS tasks as they stream by. What is broadcast is the table of ratios (2 * SLOTS floats) and at most BROADCAST_LABELS ids,
 whatever the corpus. The k-th largest key is found from counts by bin, never by gathering keys.
 """
 
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from .common import columns_but, documents, mapped, quoted, table, written
 from .encoding import slices
-from .ngram_lm import MAX_LABELS, best_cut, labelled_sample
+from .ngram_lm import beside, best_cut, labelled_sample
 
 #: Buckets of words, and as many of word pairs; the counters travel in so many parts.
 SLOTS, PARTS = 1 << 20, 32
@@ -70,7 +70,7 @@ def slots_of(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def gram_counts(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     """Counts of all documents, and of the trusted ones of fold 0, by bucket."""
     fit = sample.where(F.col("__good") & (F.col("__fold") == 0)).select("__id", F.lit(True).alias("__fit"))
-    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).cast("string").alias("__text")).join(F.broadcast(fit), "__id", "left").select("__text", "__fit")
+    rows = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).cast("string").alias("__text")).join(beside(fit), "__id", "left").select("__text", "__fit")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, both = hasher(), np.zeros((2, 2 * SLOTS), np.uint32)
@@ -163,19 +163,19 @@ def kth_largest(keys: DataFrame, key: str, k: int) -> float:
     return low
 
 
-def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, keep: float = 0.99, max_labels: int = MAX_LABELS, seed: int = 0, least: tuple[float, float] = LEAST, per_word: bool = True, temperature: float | None = None) -> DataFrame:
+def importance_resample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int | None = None, keep: float = 0.99, seed: int = 0, least: tuple[float, float] = LEAST, per_word: bool = True, temperature: float | None = None) -> DataFrame:
     """All columns of docs and the struct `resample` (n_words, score, key, kept). key: score / temperature + Gumbel noise.
 
     labels: id, quality, toxic; trusted is quality 1 and not toxic. The models are fitted on all documents, and on the
-    trusted half of at most max_labels labelled rows; the other half sets the cut, so that at least the share keep of
+    trusted ones of one half of the labelled rows; the other half sets the cut, so that at least the share keep of
     its trusted rows is above. k: how many rows to draw; as many as reach the cut if None. Rows with equal keys (such as
     repeated rows) are kept or dropped together, so that a few more than k may stay. A text without words (null, empty)
     scores 0. Without usable labels all weights are equal, and all rows stay unless k says otherwise. An empty table
     gives an empty one. An own column named `resample` is replaced.
     """
-    sample = written(labelled_sample(labels, (F.col("quality") == 1) & (F.col("toxic") == 0), max_labels), "sample")
+    sample = written(labelled_sample(labels, (F.col("quality") == 1) & (F.col("toxic") == 0)), "sample")
     ratios = log_ratios(*gram_counts(docs, sample, id_col, text_col), least)
-    held = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(F.broadcast(sample.where("__fold = 1")), "__id")
+    held = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(beside(sample.where("__fold = 1")), "__id")
     held = score_documents(held.select("__id", "__text", "__good"), ratios, "__id", "__text", per_word=per_word).select("__good", (F.col("resample.score") * 1e3).alias("s"))
     held = written(held, "held")  # its texts are scored once
     cut, middle = best_cut(held, "__good", "s", keep).first()["cut"], held.where("__good").agg(F.median("s")).first()[0]
