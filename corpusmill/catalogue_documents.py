@@ -9,7 +9,7 @@ from . import catalogue as C
 from .functions import scores as S
 from .operators import corpus, governance, search
 from .operators import documents as D
-from .sources.tables import read
+from .sources.tables import dealt, read
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -49,7 +49,8 @@ def parent_child_chunks(spark, d):
 
 def minutes(spark: SparkSession, d: str) -> DataFrame:
     text = F.format_string("陈经理记录:王主任和李总找张工,压力%1$d.5MPa,李总问北方电网要80-90 ℃吗,重%1$dkg。北方说好,王主任同意%1$d", F.col("p_size"))
-    return read(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 9 > 0, text).otherwise(F.col("p_name")).alias("text"))
+    rows = dealt(read(spark, d, "part").select("p_partkey", "p_size", "p_name"), "p_partkey", rows=20_000)  # few bytes each, and much work
+    return rows.select("p_partkey", F.when(F.col("p_partkey") % 9 > 0, text).otherwise(F.col("p_name")).alias("text"))
 
 
 AROUND = "'[' || round(({0}) * 0.9::DOUBLE, 2) || '-' || round(({0}) * 1.1::DOUBLE, 2)"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
-from ..functions.text import chunk_id, mapping_id
+from ..functions.text import chunk_id, let, mapping_id
 from ..sources.tables import ROWS, dealt
 from .corpus import boundary_chunks
 
@@ -65,26 +65,42 @@ def redact_documents(docs: DataFrame, clients: list[str], id_col: str = "doc_id"
 
     Of spans that overlap the leftmost counts, clients before persons before parameters. Persons become their role and a
     letter, clients a number: a label's number counts the role's spans from the text's end to the last one of the same
-    original, which all of its spans get. ids must be unique; a null text stays null.
+    original, which all of its spans get. A null text stays null. Spans are numbered in their row, so nothing is shuffled.
     """
-    person, parameter = F.lit(f"^(?:{PERSON})$"), F.lit(f"^(?:{PARAMETER})$")
+    person = F.lit(f"^(?:{PERSON})$")
     known = [r"\Q" + c + r"\E" for c in sorted(filter(None, clients), key=lambda c: (-len(c), c))]
     every = "|".join([*known, PERSON, PARAMETER])
-    parts = docs.select(F.col(id_col).alias("id"), F.split(F.regexp_replace(F.translate(F.col(text_col), "\x01", " "), every, "\x01$0\x01"), "\x01").alias("parts"))
-    spans = parts.select("id", F.posexplode("parts").alias("place", "original")).where("place % 2 = 1")
-    category = F.when(F.col("original").isin(clients), "CLIENT_NAME").when(F.regexp_like("original", person), "PERSON_NAME").otherwise("PROCESS_PARAM")
-    title = F.regexp_extract("original", rf"^[{SURNAMES}][一-龥]{{0,2}}({longest_first(ROLES)})$", 1)
-    role = F.when(F.col("category") == "CLIENT_NAME", "客户A").when(F.col("category") == "PERSON_NAME", F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])[title])
-    spans = spans.withColumn("category", category).withColumn("role", F.coalesce(role, F.lit("")))
-    behind = F.row_number().over(Window.partitionBy("id", "role").orderBy(F.desc("place")))
-    spans = spans.withColumn("behind", behind).withColumn("number", F.min("behind").over(Window.partitionBy("id", "role", "original")))
-    letter = F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (F.col("number") - 1) % 26 + 1, F.lit(1))
-    placeholder = F.when(F.col("category") == "CLIENT_NAME", F.format_string("客户A%03d", "number")).when(F.col("category") == "PERSON_NAME", F.concat("role", letter)).otherwise(blurred(F.col("original"), precision))
-    tokens = spans.select("id", "place", "category", "original", placeholder.alias("placeholder"), mapping_id(F.col("category"), F.col("original")).alias("mapping_id"))
-    by_place = tokens.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("place", "placeholder"))).alias("new"))
-    text = F.when(F.col("new").isNull(), F.array_join("parts", "")).otherwise(F.array_join(F.transform("parts", lambda p, i: F.coalesce(F.element_at("new", i), p)), ""))
-    redacted = parts.join(by_place, "id", "left").select(F.col("id").alias(id_col), text.alias(text_col))
-    return redacted, tokens.withColumnRenamed("id", id_col)
+    parts = F.split(F.regexp_replace(F.translate(F.col(text_col), "\x01", " "), every, "\x01$0\x01"), "\x01")
+    roles = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    title, client = rf"^[{SURNAMES}][一-龥]{{0,2}}({longest_first(ROLES)})$", "客户A"
+    kinds = sorted({client, *ROLES.values()})
+
+    def span(original: Column, place: Column) -> Column:
+        category = F.when(original.isin(clients), "CLIENT_NAME").when(F.regexp_like(original, person), "PERSON_NAME").otherwise("PROCESS_PARAM")
+        role = lambda c: F.when(c == "CLIENT_NAME", client).when(c == "PERSON_NAME", roles[F.regexp_extract(original, title, 1)])
+        return let(category, lambda c: F.struct(place.alias("place"), c.alias("category"), original.alias("original"), role(c).alias("role")))
+
+    def tokens_of(spans: Column) -> Column:
+        behind = lambda kind: F.transform(F.filter(F.reverse(spans), lambda s: s["role"] == kind), lambda s: s["original"])  # noqa: E731  a role's spans from the end
+
+        def token(s: Column, by: Column) -> Column:
+            number = F.coalesce(*[F.when(s["role"] == kind, F.array_position(by[f"k{i}"], s["original"])) for i, kind in enumerate(kinds)])
+            letter = lambda n: F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ((n - 1) % 26 + 1).cast("int"), F.lit(1))
+            new = F.when(s["category"] == "CLIENT_NAME", F.format_string(f"{client}%03d", number)).when(s["category"] == "PERSON_NAME", F.concat(s["role"], let(number, letter))).otherwise(blurred(s["original"], precision))
+            return F.struct(s["place"].alias("place"), s["category"].alias("category"), s["original"].alias("original"), new.alias("placeholder"))
+
+        return let(F.struct(spans.alias("all"), *[behind(kind).alias(f"k{i}") for i, kind in enumerate(kinds)]), lambda by: F.transform(by["all"], lambda s: token(s, by)))
+
+    def both(ps: Column) -> Column:
+        spans = F.filter(F.transform(ps, lambda p, i: F.when(i % 2 == 1, span(p, i))), lambda s: s.isNotNull())
+        return F.struct(ps.alias("parts"), let(spans, tokens_of).alias("tokens"))
+
+    def joined(x: Column) -> Column:
+        return F.array_join(F.transform(x["parts"], lambda p, i: F.when(i % 2 == 1, F.get(x["tokens"], F.floor(i / 2).cast("int"))["placeholder"]).otherwise(p)), "")
+
+    redacted = docs.select(F.col(id_col), let(let(parts, both), joined).alias(text_col))
+    tokens = docs.select(F.col(id_col), F.explode(let(parts, lambda ps: both(ps)["tokens"])).alias("x")).select(id_col, "x.*")
+    return redacted, tokens.withColumn("mapping_id", mapping_id(F.col("category"), F.col("original")))
 
 
 def blurred(span: Column, precision: str) -> Column:
