@@ -21,8 +21,8 @@ from .corpus import boundary_chunks
 Embedding = Callable[[list[str]], np.ndarray]
 #: Neighbours below this cosine are parted, chunks of fewer characters are not, longer ones are not made.
 THRESHOLD, LEAST, MOST = 0.5, 100, 1500
-#: Sentences in one call of an embedding.
-CALL = 1024
+#: Sentences in one call of an embedding, and documents whose chunks are passed on at once.
+CALL, DOCS = 1024, 200
 _OUT = "doc_id {id}, chunk_index long, content string"
 
 
@@ -76,27 +76,35 @@ def cuts(lengths: list[int], cosines: list[float], threshold: float = THRESHOLD,
     return out
 
 
-def semantic_chunks(docs: DataFrame, sentences: Column, embedding: Embedding | None = None, vectors: Column | None = None, id_col: str = "doc_id", threshold: float = THRESHOLD, least: int = LEAST, most: int = MOST) -> DataFrame:
+def semantic_chunks(docs: DataFrame, sentences: Column, embedding: Embedding | None = None, vectors: Column | None = None, id_col: str = "doc_id", threshold: float = THRESHOLD, least: int = LEAST, most: int = MOST, cosines: Column | None = None) -> DataFrame:
     """doc_id, chunk_index, content, chunk_id of the documents of two or more sentences.
 
     sentences: an array of a document's sentences, with their delimiters. Their vectors come from embedding, in batches
-    of CALL, or are given as an array of arrays (vectors), one a sentence. A chunk of white space alone is left out and
+    of CALL, or are given as an array of arrays (vectors), one a sentence; or the cosine of each sentence with the next is given (cosines). A chunk of white space alone is left out and
     takes no index. A document is segmented where it is read: nothing is shuffled. Null and short ones give no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), sentences.alias("s"), (vectors if vectors is not None else F.lit(None).cast("array<array<double>>")).alias("v"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), sentences.alias("s"), (vectors if vectors is not None else F.lit(None).cast("array<array<double>>")).alias("v"), (cosines if cosines is not None else F.lit(None).cast("array<double>")).alias("c"))
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(batch.num_rows):
-                texts = batch.column(1)[k].as_py()
-                known = batch.column(2)[k].as_py()
-                found = np.array(known) if known is not None else np.concatenate([embedding(texts[a : a + CALL]) for a in range(0, len(texts), CALL)])
-                edges = [0, *cuts([len(t) for t in texts], neighbour_cosines(found).tolist(), threshold, least, most), len(texts)]
-                chunks = ["".join(texts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-                chunks = [c for c in chunks if c.strip()]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array([k] * len(chunks), pa.int64())), pa.array(range(len(chunks)), pa.int64()), pa.array(chunks, pa.string())], names=["doc_id", "chunk_index", "content"])
-
-    out = rows.where(F.size("s") > 1).mapInArrow(segment, _OUT.format(id=docs.schema[id_col].dataType.simpleString()))
+            for start in range(0, batch.num_rows, DOCS):
+                places, numbers, contents = [], [], []
+                for k in range(start, min(start + DOCS, batch.num_rows)):
+                    texts, known, alike = (batch.column(c)[k].as_py() for c in (1, 2, 3))
+                    if texts is None or len(texts) < 2:  # no filter: sentences would be found twice
+                        continue
+                    if alike is None:
+                        found = np.array(known) if known is not None else np.concatenate([embedding(texts[a : a + CALL]) for a in range(0, len(texts), CALL)])
+                        alike = neighbour_cosines(found).tolist()
+                    edges = [0, *cuts([len(t) for t in texts], alike, threshold, least, most), len(texts)]
+                    chunks = ["".join(texts[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                    chunks = [c for c in chunks if c.strip()]
+                    places += [k] * len(chunks)
+                    numbers += range(len(chunks))
+                    contents += chunks
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(places, pa.int64())), pa.array(numbers, pa.int64()), pa.array(contents, pa.string())], names=["doc_id", "chunk_index", "content"])
+
+    out = rows.mapInArrow(segment, _OUT.format(id=docs.schema[id_col].dataType.simpleString()))
     return out.withColumn("chunk_id", chunk_id(F.col("doc_id"), F.concat(F.lit("s"), F.col("chunk_index"))))
 
 
