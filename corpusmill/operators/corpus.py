@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import pyarrow as pa
@@ -118,13 +118,8 @@ def fixed_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col: s
 ENDS = ["。", "！", "？", ".", "!", "?", "\n"]
 
 
-def boundary_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, chunk_index, start, content: as fixed_chunks, but a window ends after a mark in its last fifth (100 characters at most).
-
-    Of the marks found there the most preferred counts, at its last place. Blank windows are left out. Windows stay longer
-    than the overlap, so size / 5 and the overlap must leave room. Where a window ends depends on the one before, so texts
-    are cut in Arrow batches: the places of all marks are listed in one pass, and each window looks its end up in them.
-    """
+def window_cutter(size: int, overlap: int) -> Callable[[str], Iterator[tuple[int, int]]]:
+    """From a text to the windows (from, until) of boundary_chunks, blank ones too."""
     near = min(size // 5, 100)
     if overlap >= size - near:
         raise ValueError("overlap must be less than the shortest window")
@@ -143,6 +138,18 @@ def boundary_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col
             yield start, until
             start = until - overlap
 
+    return windows
+
+
+def boundary_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, chunk_index, start, content: as fixed_chunks, but a window ends after a mark in its last fifth (100 characters at most).
+
+    Of the marks found there the most preferred counts, at its last place. Blank windows are left out. Windows stay longer
+    than the overlap, so size / 5 and the overlap must leave room. Where a window ends depends on the one before, so texts
+    are cut in Arrow batches: the places of all marks are listed in one pass, and each window looks its end up in them.
+    """
+    windows = window_cutter(size, overlap)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, text in enumerate(batch.column("text").to_pylist()):

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions.text import chunk_id, let, mapping_id
 from ..sources.tables import ROWS, dealt
-from .corpus import boundary_chunks
+from .corpus import window_cutter
 
 # Surnames, titles with their roles, and units, that make a span a person or a parameter.
 SURNAMES = "赵钱孙李周吴郑王冯陈褚卫蒋沈韩杨朱秦尤许何吕施张孔曹严华金魏陶姜戚谢邹喻柏水窦章云苏潘葛奚范彭郎鲁韦昌马苗凤花方俞任袁柳酆鲍史唐费廉岑薛雷贺倪汤滕殷罗毕郝邬安常乐于时傅皮卞齐康伍余元卜顾孟平黄"
@@ -16,6 +19,10 @@ ROLES = {"工": "工程师", "工程师": "工程师", "总": "管理者", "经
 UNITS = ["MPa", "kPa", "Pa", "bar", "℃", "°C", "K", "kg/m³", "kg/m3", "g/L", "mol/L", "ppm", "ppb", "r/min", "rpm", "Hz", "kHz", "kV", "V", "kA", "A", "kW", "W", "MW", "kg", "g", "mg", "t", "m³", "m3", "L", "mL", "mm/s", "m/s", "km/h", "mm", "cm", "m", "km", "%", "‰"]
 
 
+#: Documents whose chunks are passed on at once.
+DOCS = 200
+
+
 def longest_first(words) -> str:
     return "|".join(sorted(words, key=lambda w: (-len(w), w)))
 
@@ -30,8 +37,9 @@ def sections(text: Column, most: int = 2000) -> Column:
     Blank sections stay in the array, as they count.
     """
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    marked = F.split(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), "\x01", " "), r"(?m)^(#{1,4}\s)", "\x01$1"), "\x01")
-    raw = F.filter(F.transform(F.when(F.size(marked) > 1, marked).otherwise(F.split(text, r"\n\n+")), strip), lambda s: s != "")
+    marked = lambda t: F.split(F.regexp_replace(F.translate(F.coalesce(t, F.lit("")), "\x01", " "), r"(?m)^(#{1,4}\s)", "\x01$1"), "\x01")
+    found = let(text, lambda t: let(marked(t), lambda m: F.when(F.size(m) > 1, m).otherwise(F.split(t, r"\n\n+"))))
+    raw = F.filter(F.transform(found, strip), lambda s: s != "")
 
     def add(acc: Column, line: Column) -> Column:
         full = (F.length(acc["open"]) + F.length(line) > most) & (acc["open"] != "")
@@ -46,18 +54,38 @@ def sections(text: Column, most: int = 2000) -> Column:
 
 
 def parent_child_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", parent: int = 2000, child: int = 300) -> DataFrame:
-    """id, chunk_index, chunk_id, parent_chunk_id (null for parents), is_parent, content; ids must be unique.
+    """id, chunk_index, chunk_id, parent_chunk_id (null for parents), is_parent, content.
 
     A section is a parent, followed by its children: windows without overlap that end after a sentence where they can.
+    A document is cut and numbered where it is read, once, so nothing is shuffled.
     """
-    parents = docs.select(F.col(id_col).alias("id"), F.posexplode(sections(F.col(text_col), parent)).alias("section", "content")).where(F.regexp_like("content", F.lit(r"\S")))
-    children = boundary_chunks(parents.select(F.struct("id", "section").alias("at"), "content"), child, 0, "at", "content")
-    both = parents.select("id", "section", F.lit(-1).cast("long").alias("part"), "content").union(children.select("at.id", "at.section", "chunk_index", "content"))
-    index = F.row_number().over(Window.partitionBy("id").orderBy("section", "part")) - 1
+    windows = window_cutter(child, 0)
+    kept = F.filter(F.transform(sections(F.col(text_col), parent), lambda s, i: F.struct(i.alias("section"), s.alias("content"))), lambda x: F.regexp_like(x["content"], F.lit(r"\S")))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, DOCS):
+                places, numbers, rows = [], [], []
+                for k in range(start, min(start + DOCS, batch.num_rows)):
+                    own = []
+                    for x in batch.column(1)[k].as_py() or []:
+                        section, content = x["section"], x["content"]
+                        pieces = (content[a:b] for a, b in windows(content))
+                        own.append((section, -1, content))
+                        own += [(section, part, piece) for part, piece in enumerate(p for p in pieces if p.strip())]
+                    places += [k] * len(own)
+                    numbers += range(len(own))
+                    rows += own
+                section, part, content = ([r[c] for r in rows] for c in range(3))
+                columns = [batch.column(0).take(pa.array(places, pa.int64())), pa.array(numbers, pa.int64()), pa.array(section, pa.int32()), pa.array(part, pa.int64()), pa.array(content, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "chunk_index", "section", "part", "content"])
+
+    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+    both = docs.select(F.col(id_col).alias("id"), kept.alias("kept")).mapInArrow(cut, f"id {id_type}, chunk_index long, section int, part long, content string")
     label = F.concat(F.lit("p"), F.col("section"))
     up, own = chunk_id(F.col("id"), label), chunk_id(F.col("id"), F.concat(label, F.lit("c"), F.col("part")))
     top = F.col("part") < 0
-    return both.select(F.col("id").alias(id_col), index.cast("long").alias("chunk_index"), F.when(top, up).otherwise(own).alias("chunk_id"), F.when(~top, up).alias("parent_chunk_id"), top.alias("is_parent"), "content")
+    return both.select(F.col("id").alias(id_col), "chunk_index", F.when(top, up).otherwise(own).alias("chunk_id"), F.when(~top, up).alias("parent_chunk_id"), top.alias("is_parent"), "content")
 
 
 def redact_documents(docs: DataFrame, clients: list[str], id_col: str = "doc_id", text_col: str = "text", precision: str = "INTERVAL") -> tuple[DataFrame, DataFrame]:
