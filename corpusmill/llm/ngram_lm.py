@@ -29,9 +29,13 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(whole(text), WORDS), "")
 
 
+def hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
 def hashes_of(text: Column) -> Column:
     """A hash of each word of a text."""
-    return F.transform(words_of(text), lambda w: F.xxhash64(w))
+    return hashed(words_of(text))
 
 
 def buckets_of(hashes: Column) -> Column:
@@ -84,9 +88,18 @@ def log_ratios(docs: DataFrame, sample: DataFrame, id_col: str, text_col: str, l
 
 
 def log_ratio_sum(hashes: Column, ratios: Column) -> Column:
-    """Sum over words and word pairs, in micro-nats. ratios: the one array of log_ratios()."""
-    zero = F.lit(0).cast("long")
-    return let(F.struct(ratios.alias("r"), buckets_of(hashes).alias("b")), lambda x: F.aggregate(x["b"], zero, lambda acc, b: acc + F.get(x["r"], b)))
+    """Sum over words and word pairs, in micro-nats. hashes: a lambda variable or a cheap column; ratios: the one array of log_ratios().
+
+    Buckets are those of buckets_of(), both of them a power of two, looked up where they are made.
+    """
+    in_of = lambda h, n: h.bitwiseAND(F.lit(n - 1)).cast("int")
+
+    def both(v: Column, w: Column) -> Column:
+        pair = F.get(ratios, in_of(F.xxhash64(v, w), PAIR_BUCKETS) + WORD_BUCKETS)
+        return F.get(ratios, in_of(v, WORD_BUCKETS)) + F.when(w.isNotNull(), pair).otherwise(0)
+
+    after = F.slice(hashes, 2, F.greatest(F.size(hashes), F.lit(1)))
+    return F.aggregate(F.zip_with(hashes, after, both), F.lit(0).cast("long"), lambda acc, x: acc + x)
 
 
 def best_cut(scores: DataFrame, good: str, score: str, keep: float) -> DataFrame:

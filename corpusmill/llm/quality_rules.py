@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import columns_but, documents, let, quoted, table, unused, whole, written
-from .ngram_lm import LEAST, beside, best_cut, hashes_of, labelled_sample, log_ratio_sum, log_ratios
+from .ngram_lm import LEAST, beside, best_cut, hashed, hashes_of, labelled_sample, log_ratio_sum, log_ratios, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -35,10 +35,10 @@ def repeated_words(words: Column) -> Column:
         n = F.size(s)
         same = lambda i, j: F.coalesce(F.get(s, i)["h"] == F.get(s, j)["h"], F.lit(False))
         hit = F.filter(F.sequence(F.lit(0), n - 1), lambda i: same(i, i - 1) | same(i, i + 1))
-        return let(F.array_sort(F.transform(hit, lambda i: F.get(s, i)["i"])), covered)
+        return let(F.sort_array(F.transform(hit, lambda i: F.get(s, i)["i"])), covered)
 
     def count(h: Column) -> Column:
-        pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(let(pairs, marked))
 
     return F.when(F.size(words) < WINDOW, F.lit(0)).otherwise(let(hashes, count)).cast("long")
@@ -50,12 +50,28 @@ def duplicate_lines(text: Column) -> Column:
     return let(has, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def base_rules(text: Column) -> list[Column]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text column (null: empty)."""
+def base_rules(text: Column, ratios: Column | None = None) -> list[Column]:
+    """Of a text column (null: empty): w (n_words, n_repeat_words, word_chars and, with ratios, score), n_symbols, n_dup_lines.
+
+    A text is cut into words once for all of w. ratios: as in mean_ratio().
+    """
     text = whole(text)
-    symbols = F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
-    words = let(hashes_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
-    return [words.alias("w"), F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"), symbols.cast("long").alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines")]
+
+    def of_hashes(x: Column) -> Column:
+        w = x["w"]
+        fields = [F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words"), x["chars"].alias("word_chars")]
+        return F.struct(*fields, *([] if ratios is None else [mean_ratio(w, x["r"]).alias("score")]))
+
+    def of_words(words: Column) -> Column:
+        held = [F.length(F.array_join(words, "")).cast("long").alias("chars"), hashed(words).alias("w"), *([] if ratios is None else [ratios.alias("r")])]
+        return let(F.struct(*held), of_hashes)
+
+    return [let(words_of(text), of_words).alias("w"), F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"), duplicate_lines(text).alias("n_dup_lines")]
+
+
+def mean_ratio(words: Column, ratios: Column) -> Column:
+    """Micro-nats for each word, rounded down; null without words. words: a lambda variable, the words' hashes; ratios: the one array of log_ratios()."""
+    return F.floor(F.try_divide(log_ratio_sum(words, ratios), F.size(words)))
 
 
 def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: float = 0.99, least: tuple[float, float] = LEAST) -> DataFrame:
@@ -72,14 +88,15 @@ def quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     ratios = log_ratios(docs, sample, id_col, text_col, least)
     held = docs.select(F.col(quoted(id_col)).alias("__id"), F.col(quoted(text_col)).alias("__text")).join(beside(sample.where("__fold = 1")), "__id")
     cut = best_cut(scored(held, "__text", ratios, "s").selectExpr("__good", "s / 1000 as s"), "__good", "s", keep)
-    score, found = unused(docs, "score", "found")
-    fields = F.struct(*base_rules(F.col(quoted(text_col))), F.col(score).alias("score"), (cut.scalar() * 1000).cast("long").alias("cut"))
-    out = scored(docs, text_col, ratios, score).select(*columns_but(docs, "quality"), fields.alias(found))
+    ratio, found = unused(docs, "ratios", "found")
+    fields = F.struct(*base_rules(F.col(quoted(text_col)), F.col(ratio)), (cut.scalar() * 1000).cast("long").alias("cut"))
+    out = docs.withColumn(ratio, ratios.scalar()).select(*columns_but(docs, "quality"), fields.alias(found))
     q = F.col(found)
-    n, r = q["w"]["n_words"], q["w"]["n_repeat_words"]
+    w = q["w"]
+    n, r = w["n_words"], w["n_repeat_words"]
     failed = (n < 10) | (100 * r > 20 * n)
-    kept = ~failed & F.coalesce(q["score"] >= q["cut"], F.lit(True))
-    fields = F.struct(n.alias("n_words"), q["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), r.alias("n_repeat_words"), failed.alias("base_failed"), q["score"].alias("score"), q["cut"].alias("cut"), kept.alias("kept"))
+    kept = ~failed & F.coalesce(w["score"] >= q["cut"], F.lit(True))
+    fields = F.struct(n.alias("n_words"), w["word_chars"].alias("word_chars"), q["n_symbols"].alias("n_symbols"), q["n_dup_lines"].alias("n_dup_lines"), r.alias("n_repeat_words"), failed.alias("base_failed"), w["score"].alias("score"), q["cut"].alias("cut"), kept.alias("kept"))
     return out.select(*columns_but(docs, "quality"), fields.alias("quality"))
 
 
@@ -87,7 +104,7 @@ def scored(docs: DataFrame, text_col: str, ratios: DataFrame, name: str) -> Data
     """docs with the column `name`: micro-nats for each word, rounded down; null without words."""
     (table,) = unused(docs, "ratios")
     ask = F.struct(F.col(table).alias("r"), hashes_of(F.col(quoted(text_col))).alias("w"))
-    score = let(ask, lambda x: F.floor(F.try_divide(log_ratio_sum(x["w"], x["r"]), F.size(x["w"]))))
+    score = let(ask, lambda x: mean_ratio(x["w"], x["r"]))
     return docs.withColumn(table, ratios.scalar()).select(*columns_but(docs), score.alias(name))
 
 
