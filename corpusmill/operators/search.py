@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import catalog_weight, fused
 from ..functions.text import search_tokens
-from ..sources.tables import saved
+from ..sources.tables import ROWS, saved
 from .keyword_index import TERMS, postings_of
 from .vectors import nearest  # noqa: F401  the exact search is part of this module's surface
 
@@ -18,10 +18,11 @@ K1, B = 1.5, 0.75
 BROADCAST_TERMS = 200_000
 
 
-def ranked_scores(postings: DataFrame, df: DataFrame, terms: DataFrame, n: Column, mean: Column, k: int | None, only: DataFrame | None = None) -> DataFrame:
+def ranked_scores(postings: DataFrame, df: DataFrame, terms: DataFrame, n: Column, mean: Column, k: int | None, only: DataFrame | None = None, pairs_a_task: int = ROWS) -> DataFrame:
     """query_id, doc_id, score and, with k, rank, from postings (doc_id, length, term, tf), df (term, df) and terms (query_id, term, times).
 
-    n: number of documents; mean: their mean length. only: the (query_id, doc_id) asked for, with k None.
+    n: number of documents; mean: their mean length. only: the (query_id, doc_id) asked for, with k None; the best scores are then made in as
+    many tasks as hold pairs_a_task of a query's term and a posting each, however many the session asks for.
     """
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -32,7 +33,10 @@ def ranked_scores(postings: DataFrame, df: DataFrame, terms: DataFrame, n: Colum
 
     score = F.round(F.col("raw") / F.col("best"), 4).alias("score")
     if only is not None:  # the best score takes all documents, dealt once by document and not once for each query; the rest only those asked for
-        best = summed(postings.repartition("doc_id"), ["term"]).groupBy("query_id").agg(F.max("raw").alias("best"))
+        spark = postings.sparkSession
+        pairs = df.join(terms, "term").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]  # rows that the sums take
+        tasks = max(-(-pairs // pairs_a_task), int(spark.conf.get("spark.sql.shuffle.partitions")))
+        best = summed(postings.repartition(tasks, "doc_id"), ["term"]).groupBy("query_id").agg(F.max("raw").alias("best"))
         asked = summed(postings.join(only.select("query_id", "doc_id").distinct(), "doc_id"), ["query_id", "term"])
         return asked.join(best, "query_id").select("query_id", "doc_id", score)
     scores = summed(postings, ["term"])
