@@ -26,7 +26,7 @@ def query(sql: str):
 TABLE, EQUATION, IMAGE = "struct<rows: array<array<string>>, header_row: int, caption: string, page: int>", "struct<latex: string, inline: boolean, page: int, surrounding_text: string>", "struct<uri: string, caption: string, page: int>"
 
 
-def parsed(spark, d):
+def parsed(docs, *more):
     id, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
     words = F.transform(F.split(text, r"[ \t\n]+"), lambda w: F.when(F.length(w) % 7 == 0, "").otherwise(w))
     rows = F.transform(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 4)), lambda i: F.slice("words", i * 4 + 1, F.lit(4)))
@@ -37,8 +37,8 @@ def parsed(spark, d):
     equations = F.array(equation(F.concat(F.lit("n = "), F.col("n_chars").cast("string")), id % 3, F.left(text, F.lit(1200))), equation(F.lit("  "), F.lit(1), F.lit("lost")), equation(F.repeat(F.lit("ab"), F.lit(1500)), F.lit(0), F.lit("")))
     image = lambda uri, caption, page: F.struct(uri.alias("uri"), caption.alias("caption"), page.cast("int").alias("page")).cast(IMAGE)
     images = F.array(image(F.concat_ws("/", "source", id.cast("string")), F.col("lang"), id % 6), image(F.col("source"), F.lit(""), F.lit(2)), image(F.lit(""), F.col("source"), F.lit(0)))
-    rows_of = read(spark, d, "documents").withColumn("words", words)
-    return rows_of.select("doc_id", tables.alias("tables"), F.when(id % 5 == 0, equations).alias("equations"), F.when(id % 4 == 1, images).alias("images"))
+    rows_of = docs.withColumn("words", words)
+    return rows_of.select("doc_id", tables.alias("tables"), F.when(id % 5 == 0, equations).alias("equations"), F.when(id % 4 == 1, images).alias("images"), *more)
 
 
 @query(rf"""WITH tc AS ({C.ORACLE_SQL['boundary_chunks']}), nt AS (SELECT doc_id, count(*) AS n FROM tc GROUP BY 1),
@@ -61,8 +61,9 @@ SELECT doc_id, chunk_index, doc_id || '_' || CASE strategy WHEN 'table_row' THEN
 UNION ALL SELECT doc_id, chunk_index, left(md5(doc_id || '::' || chunk_index), 16), 'fixed', sha256(substr(text, start + 1, tc.n_chars)) FROM tc JOIN documents USING (doc_id)""")
 def multimodal_chunks(spark, d):
     """Every document's text, tables, equations and captions as chunks in one numbering."""
-    texts = corpus.boundary_chunks(read(spark, d, "documents")).select("doc_id", "chunk_index", chunk_id(F.col("doc_id"), F.col("chunk_index")).alias("chunk_id"), F.lit("fixed").alias("strategy"), "content")
-    return chunks_of(parsed(spark, d), texts).withColumn("content_sha256", F.sha2("content", 256)).drop("content")
+    docs = corpus.with_boundary_texts(read(spark, d, "documents"), "contents")
+    texts = F.transform("contents", lambda c, i: F.struct(chunk_id(F.col("doc_id"), i).alias("chunk_id"), F.lit("fixed").alias("strategy"), c.alias("content")))
+    return chunks_of(parsed(docs, texts.alias("texts"))).withColumn("content_sha256", F.sha2("content", 256)).drop("content")
 
 
 #: What a document's reply has, by doc_id: a score (missing, in quotes, no number or a number), a decision and a form (fenced, plain, broken).

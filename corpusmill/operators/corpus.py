@@ -10,6 +10,7 @@ from functools import reduce
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import content_hash
 
@@ -161,6 +162,20 @@ def boundary_chunks(docs: DataFrame, size: int = 500, overlap: int = 100, id_col
     return rows.withColumnRenamed("id", id_col)
 
 
+def with_boundary_texts(docs: DataFrame, name: str, size: int = 500, overlap: int = 100, text_col: str = "text") -> DataFrame:
+    """docs with the array `name`: the contents of boundary_chunks, in order, beside the columns of the row they come from."""
+    windows, at = window_cutter(size, overlap), docs.columns.index(text_col)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for a in range(0, len(whole), 500):
+                batch = whole.slice(a, 500)
+                kept = [[t[a:b] for a, b in windows(t or "") if t[a:b].strip()] for t in batch.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept, pa.list_(pa.string()))], [*batch.schema.names, name])
+
+    return docs.mapInArrow(cut, T.StructType([*docs.schema, T.StructField(name, T.ArrayType(T.StringType()))]))
+
+
 def context_windows(chunks: DataFrame, doc: str, index: str, text_col: str, n: int = 2, most: int = 1500) -> DataFrame:
     """Each chunk with up to n neighbours on either side, joined by blank lines and cut."""
     near = Window.partitionBy(doc).orderBy(index).rowsBetween(-n, n)

@@ -71,16 +71,17 @@ def _caption(image: Column) -> Column:
     return F.when(image["caption"] != "", F.concat_ws("\n", F.concat(F.lit("[图像] "), image["caption"]), on_page(image["page"]), ref))
 
 
-def multimodal_chunks(docs: DataFrame, text_chunks: DataFrame) -> DataFrame:
+def multimodal_chunks(docs: DataFrame, text_chunks: DataFrame | None = None) -> DataFrame:
     """doc_id, chunk_index, chunk_id, strategy, content: a document's text chunks, then its tables, equations and images.
 
     docs: doc_id (unique), tables (array of structs: rows, an array of arrays of strings; header_row, caption, page),
     equations (latex, inline, page, surrounding_text), images (uri, caption, page), each in its order. text_chunks: doc_id,
-    chunk_index (from 0, gapless), chunk_id, strategy, content, cut by any strategy. Numbers go on from kind to kind.
+    chunk_index (from 0, gapless), chunk_id, strategy, content, cut by any strategy. Without it docs has them itself: texts,
+    an array of structs (chunk_id, strategy, content) in order, and nothing is joined. Numbers go on from kind to kind.
 
     A header row that a table hasn't is its first. Blank rows, blank equations and images without a caption give nothing
     and take no number. Null cells are blank, null lists empty, a null page or page 0 isn't named, and null ids are left
-    out. Blocks are made where a document is read; only ids, contents and the numbers of text chunks are joined.
+    out. Blocks are made where a document is read; with text_chunks ids, contents and the numbers of text chunks are joined.
     """
     none = F.array().cast("array<string>")
     listed = lambda name, one: F.filter(F.transform(F.coalesce(F.col(name), F.array().cast(docs.schema[name].dataType)), one), lambda x: x.isNotNull())
@@ -90,12 +91,19 @@ def multimodal_chunks(docs: DataFrame, text_chunks: DataFrame) -> DataFrame:
         return F.transform(contents, lambda x: F.struct(F.lit(kind).alias("strategy"), x.alias("content")))
 
     blocks = F.concat(*[of_kind(k, c) for k, c in kinds.items()])
+    columns = ["doc_id", "chunk_index", "chunk_id", "strategy", "content"]
+    mark = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
+    number = F.when(F.col("chunk_index") > 9999, F.col("chunk_index").cast("string")).otherwise(F.lpad(F.col("chunk_index").cast("string"), 4, "0"))
+    id = F.concat(F.col("doc_id").cast("string"), F.lit("_"), mark[F.col("strategy")], number)
+    if text_chunks is None:
+        texts = F.transform(F.coalesce("texts", F.array().cast(docs.schema["texts"].dataType)), lambda x: F.struct(x["strategy"].alias("strategy"), x["content"].alias("content"), x["chunk_id"].alias("chunk_id")))
+        others = F.transform(blocks, lambda x: F.struct(x["strategy"].alias("strategy"), x["content"].alias("content"), F.lit(None).cast("string").alias("chunk_id")))
+        rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(F.concat(texts, others)).alias("chunk_index", "block"))
+        rows = rows.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), "block.*")
+        return rows.withColumn("chunk_id", F.coalesce("chunk_id", id)).select(columns)
     rows = docs.where(F.col("doc_id").isNotNull()).select("doc_id", F.posexplode(blocks).alias("pos", "block"))
     before = text_chunks.groupBy("doc_id").agg(F.count("*").alias("n"))
     index = (F.coalesce("n", F.lit(0)) + F.col("pos")).cast("long")
-    mark = F.create_map(*[F.lit(x) for kv in MARKS.items() for x in kv])
     rows = rows.join(before, "doc_id", "left").select("doc_id", index.alias("chunk_index"), "block.strategy", "block.content")
-    number = F.when(F.col("chunk_index") > 9999, F.col("chunk_index").cast("string")).otherwise(F.lpad(F.col("chunk_index").cast("string"), 4, "0"))
-    rows = rows.withColumn("chunk_id", F.concat(F.col("doc_id").cast("string"), F.lit("_"), mark[F.col("strategy")], number))
-    columns = ["doc_id", "chunk_index", "chunk_id", "strategy", "content"]
+    rows = rows.withColumn("chunk_id", id)
     return text_chunks.where(F.col("doc_id").isNotNull()).select(columns).unionByName(rows.select(columns))
