@@ -109,16 +109,19 @@ class KeywordIndex:
         staged = f"{self.path}/staged/{uuid.uuid4().hex}"
         postings_of(docs, id_col, text_col).write.parquet(staged)  # texts are read and cut once
         rows = self.spark.read.parquet(staged)
-        n_docs, n_tokens = rows.where("term = ''").agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+        here = F.col("term") == ""
+        n_docs, n_tokens, size = rows.agg(F.count_if(here), F.coalesce(F.sum(F.when(here, F.col("length"))), F.lit(0)), F.count_if(~here)).first()
         if not n_docs:
             return
-        new = self._write(rows.where("term <> ''"), n_docs, n_tokens)
         version = live[0]["version"] + 1 if live else 1
-        kept = [tuple(s)[1:] for s in live]
-        while kept and kept[-1][3] < 2 * new[3]:  # a smaller one joins, until each is twice as large as the next
-            other = kept.pop()
-            both = self._read("postings", [other[0], new[0]], self.schema)
-            new = self._write(both.drop("bucket"), other[1] + new[1], other[2] + new[2])
+        kept, joined = [tuple(s)[1:] for s in live], []
+        while kept and kept[-1][3] < 2 * size:  # a smaller one joins, until each is twice as large as the next
+            joined.append(kept.pop())
+            size += joined[-1][3]
+        all_rows = rows.where(~here).select("term", "doc_id", "tf", "length")
+        if joined:  # all that join are written once
+            all_rows = all_rows.unionByName(self._read("postings", [s[0] for s in joined], self.schema).drop("bucket"))
+        new = self._write(all_rows, n_docs + sum(s[1] for s in joined), n_tokens + sum(s[2] for s in joined))
         self._commit(version, [*kept, new])
 
     def search(self, queries: DataFrame, k: int | None = 10, terms_a_pass: int = TERMS) -> DataFrame:
