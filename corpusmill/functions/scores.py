@@ -12,6 +12,11 @@ def clamp(x: Column, low: float = 0.0, high: float = 1.0) -> Column:
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))
 
 
+def rounded(x: Column, digits: int = 4) -> Column:
+    """x rounded at x * 10**digits as a double, halves away from zero, as SQL engines do; Spark's own round goes by the decimal digits."""
+    return F.round(x * 10.0**digits) / 10.0**digits
+
+
 def kpi_retain(density: Column, age_days: Column, redundancy: Column) -> Column:
     """How much a document is worth keeping: density (0 to 10) and freshness over redundancy; no age counts as oldest."""
     fresh = 1 - F.least(F.coalesce(age_days.cast("double"), F.lit(730.0)) / 730, F.lit(1.0))
@@ -55,7 +60,7 @@ FUSION = {"vector": 0.35, "graph": 0.25, "catalog": 0.15, "keyword": 0.25}
 
 
 def fused(scores: dict[str, Column], weights: dict[str, float] = FUSION) -> Column:
-    return F.round(reduce(lambda a, b: a + b, [weights[k] * scores[k] for k in sorted(scores)]), 4)
+    return rounded(reduce(lambda a, b: a + b, [weights[k] * scores[k] for k in sorted(scores)]))
 
 
 def graph_score(n_direct: Column, n_near: Column, n_query: Column, n_doc: Column) -> Column:

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scores import catalog_weight, fused
+from ..functions.scores import catalog_weight, fused, rounded
 from ..functions.text import search_tokens
 from ..sources.tables import ROWS, saved
 from .keyword_index import TERMS, postings_of
@@ -29,9 +29,9 @@ def ranked_scores(postings: DataFrame, df: DataFrame, terms: DataFrame, n: Colum
 
     def summed(rows: DataFrame, on: list[str]) -> DataFrame:
         scored = rows.join(df, "term").join(terms, on).withColumns({"n": n, "mean": mean})
-        return scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 8).alias("raw"))
+        return scored.groupBy("query_id", "doc_id").agg(rounded(F.sum(part), 8).alias("raw"))
 
-    score = F.round(F.col("raw") / F.col("best"), 4).alias("score")
+    score = rounded(F.col("raw") / F.col("best")).alias("score")
     if only is not None:  # the best score takes all documents, dealt once by document and not once for each query; the rest only those asked for
         spark = postings.sparkSession
         pairs = df.join(terms, "term").agg(F.coalesce(F.sum("df"), F.lit(0))).first()[0]  # rows that the sums take
