@@ -30,30 +30,39 @@ def shared_entities(bridge: DataFrame, most: int | None = None, pairs_a_task: in
     """Pairs of documents (a < b) and how many entities they share. bridge: doc, entity.
 
     An entity that n documents have makes n squared pairs, which is the result asked for; most leaves out entities of
-    more documents than that, which say little about any two of them. The first documents of the pairs of an entity with
-    more than SHARED are dealt to parts of about so many, and the second ones go to all of its parts.
+    more documents than that, which say little about any two of them. Rows with a null are left out.
 
-    The pairs are counted beforehand from the sizes of entities, and there are as many tasks as hold pairs_a_task each,
-    however many the session asks for. Where there are more pairs of different documents than that, the pairs of a task are mostly
-    different, so they are dealt by documents as they are; of few documents they are summed before the shuffle.
+    The pairs are counted beforehand from the sizes of entities, and documents are cut into as many ranges as hold
+    about pairs_a_task each at most. No pair is shuffled: an entity's sorted documents go once, as a list, to each range that any of them is in,
+    and the pairs whose first document is in a range are made and summed there. Documents near each other that share
+    entities thus cost little more than their rows. The documents of an entity with more than SHARED are dealt to parts of
+    about so many, and each part's list is put beside those of all the others.
     """
-    rows = dealt(bridge.select("doc", "entity"), "doc", "entity").distinct()
+    rows = bridge.select("doc", "entity").where("doc is not null and entity is not null")
+    rows = dealt(rows, "doc", "entity").distinct()
     if most is not None:
         rare = rows.groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") <= most)
         rows = rows.join(rare.select("entity"), "entity", "left_semi")
     rows = saved(rows.select("doc", "entity"), "bridge")
     n = saved(rows.groupBy("entity").agg(F.count("*").alias("n")), "sizes")
-    made, docs = (x or 0 for x in n.agg(F.sum(F.col("n").cast("double") * F.col("n") / 2), rows.agg(F.count_distinct("doc")).scalar()).first())
+    made = n.agg(F.sum(F.col("n").cast("double") * F.col("n"))).first()[0] or 0  # twice the pairs, as early ranges have up to twice as many as the mean
     tasks = math.ceil(made / pairs_a_task) or 1
     sizes = n.select("entity", F.ceil(F.col("n") / SHARED).cast("int").alias("parts")).where("parts > 1")
-    rows = rows.join(sizes, "entity", "left").select("entity", "doc", F.coalesce("parts", F.lit(1)).alias("parts"))
-    firsts = rows.select("entity", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part"), F.col("doc").alias("a"))
-    seconds = rows.select("entity", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("doc").alias("b"))
-    at = ["entity", "part"]
-    pairs = firsts.repartition(tasks, *at).join(seconds.repartition(tasks, *at), at).where("a < b").select("a", "b")
-    if docs * docs / 2 > pairs_a_task:
-        pairs = pairs.repartition(tasks, "a", "b")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n_shared"))
+    rows = rows.repartitionByRange(tasks, "doc").withColumn("range", F.spark_partition_id()).join(sizes, "entity", "left")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc"), F.col("parts"))).otherwise(0).cast("int")
+    rows = rows.select("entity", part.alias("part"), F.coalesce("parts", F.lit(1)).alias("parts"), "doc", "range")
+    lists = rows.repartition(tasks, "entity", "part").groupBy("entity", "part", "parts").agg(F.sort_array(F.collect_list(F.struct("doc", "range"))).alias("at"))
+    lists = lists.select("entity", "part", "parts", F.col("at.doc").alias("docs"), F.col("at.range").alias("ranges"))
+    each = lists.withColumn("range", F.explode(F.array_distinct("ranges")))
+    start, firsts = F.array_position("ranges", F.col("range")).cast("int"), F.size(F.filter("ranges", lambda r: r == F.col("range")))
+    own = each.select("range", F.slice("docs", start, F.size("docs")).alias("docs"), firsts.alias("firsts"), F.lit(0).alias("skip"))
+    large = each.where("parts > 1").select("entity", "part", "range", F.slice("docs", start, firsts).alias("docs"))
+    others = lists.where("parts > 1").select("entity", F.col("part").alias("other"), F.col("docs").alias("seconds")).join(large, "entity").where("part <> other")
+    later = F.filter("seconds", lambda b: b > F.col("docs")[0])
+    others = others.select("range", F.concat("docs", later).alias("docs"), F.size("docs").alias("firsts"), F.size("docs").alias("skip"))
+    beside = F.transform(F.slice("docs", 1, F.col("firsts")), lambda a, i: F.struct(a.alias("a"), F.slice("docs", F.greatest(i + 2, F.col("skip") + 1), F.size("docs")).alias("b")))
+    pairs = own.union(others).repartitionById(tasks, "range").select("range", F.inline(beside)).select("range", "a", F.explode("b").alias("b")).where("a < b")
+    return pairs.groupBy("range", "a", "b").agg(F.count("*").alias("n_shared")).select("a", "b", "n_shared")
 
 
 def degree_centrality(edges: DataFrame) -> DataFrame:
